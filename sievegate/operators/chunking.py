@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sievegate.functions import fixed_values as fixed
 from sievegate.functions import text as tx
+from sievegate.operators.common import unnest
 
 
 @dataclass(frozen=True)
@@ -65,11 +66,8 @@ def with_sections(docs: DataFrame, text_col: str = "text", mode: str = "compat")
 
 def sections(docs: DataFrame, key: str = "doc_id", mode: str = "compat") -> DataFrame:
     """One row per section: key, section_index, heading, body."""
-    return (
-        with_sections(docs, mode=mode)
-        .select(key, F.posexplode("sections").alias("section_index", "s"))
-        .select(key, "section_index", F.coalesce("s.heading", F.lit("")).alias("heading"), "s.body")
-    )
+    rows = unnest(with_sections(docs, mode=mode), [key], "sections", "s", "section_index")
+    return rows.select(key, "section_index", F.coalesce("s.heading", F.lit("")).alias("heading"), "s.body")
 
 
 # ---- packing ------------------------------------------------------------------
@@ -220,7 +218,7 @@ def chunk_documents(
         key,
         tx.strip(tx.strip_page_header_lines(tx.strip(text_col))).alias("text"),
         pages.alias("_pages"),
-    ).where("text <> ''")
+    )
     packed = with_pieces(with_sections(cleaned, mode=settings.heading_mode), settings)
 
     heads = packed.withColumn(
@@ -229,7 +227,7 @@ def chunk_documents(
             F.sequence(F.lit(1), F.greatest(F.size("pieces"), F.lit(1))),
             lambda i: (i == 1) | (F.element_at("pieces", i)["tokens"] >= settings.min_tokens),
         ),
-    ).where(F.size("pieces") > 0)
+    )
 
     def chunk(start: Column, index: Column) -> Column:
         until = F.when(
@@ -251,9 +249,9 @@ def chunk_documents(
                                       first["section"])).cast("int").alias("local_chunk_index"),
         )
 
-    rows = heads.select(
-        key, "_pages", F.greatest(F.size("sections"), F.lit(1)).alias("_n"),
-        F.explode(F.transform("_starts", chunk)).alias("c"),
+    found = F.when(F.size("pieces") > 0, F.transform("_starts", chunk))
+    rows = unnest(
+        heads, [key, "_pages", F.greatest(F.size("sections"), F.lit(1)).alias("_n")], found, "c"
     )
     return rows.select(
         key,
@@ -427,7 +425,8 @@ def merge_same_section(raw: DataFrame, max_tokens: int, key: str = "doc_id") ->
                      F.array().cast(out_type).alias("out"))
     merged = items.withColumn(
         "_spans", F.aggregate(F.sequence(F.lit(1), F.size("_items")), start, fold, close)
-    ).select(key, "_items", F.size("_spans").alias("_n"), F.posexplode("_spans").alias("chunk_index", "s"))
+    )
+    merged = unnest(merged, [key, "_items", F.size("_spans").alias("_n")], "_spans", "s", "chunk_index")
     members = F.slice("_items", F.col("s.first"), F.col("s.last") - F.col("s.first") + 1)
     joined = merged.select(
         key, "chunk_index", "_n",
@@ -513,8 +512,8 @@ def external_chunks(
     """Chunk rows from parsed lists: label within one level of the document,
     texts over twice the maximum cut into windows."""
     top, lap = settings.max_tokens, settings.overlap_tokens
-    items = parsed.select(
-        key, sensitivity_col, F.size("items").alias("_n"), F.posexplode("items").alias("_i", "_it")
+    items = unnest(
+        parsed, [key, sensitivity_col, F.size("items").alias("_n")], "items", "_it", "_i"
     ).select(
         key, "_n", "_i", tx.strip(F.coalesce("_it.chunk_text", F.lit(""))).alias("_text"),
         tx.strip(F.coalesce("_it.section_heading", F.lit(""))).alias("section_heading"),
@@ -526,7 +525,8 @@ def external_chunks(
         "_parts",
         F.when(tx.estimated_tokens("_text") > 2 * top, tx.hard_split(F.col("_text"), top, lap))
         .otherwise(F.array("_text")),
-    ).select("*", F.posexplode("_parts").alias("_j", "chunk_text"))
+    )
+    pieces = unnest(pieces, ["*"], "_parts", "chunk_text", "_j")
     order = Window.partitionBy(key).orderBy("_i", "_j")
     return pieces.select(
         key, (F.row_number().over(order) - 1).alias("chunk_index"), "chunk_text",
@@ -631,8 +631,9 @@ def table_to_markdown(cells: DataFrame, key: str = "doc_id") -> DataFrame:
 
     start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("n"),
                      F.lit(False).alias("free"))
-    mapping = facts.withColumn("_g", F.aggregate("_cols", start, group)).select(
-        key, F.col("_g.n").alias("_ncols"), F.posexplode("_g.out").alias("_p", "_o")
+    mapping = unnest(
+        facts.withColumn("_g", F.aggregate("_cols", start, group)),
+        [key, F.col("_g.n").alias("_ncols")], "_g.out", "_o", "_p",
     ).select(key, "_ncols", (F.col("_p") + 1).alias("_c"), "_o")
 
     rows = clean.select(key, "row_no").distinct()

@@ -18,7 +18,8 @@ SETTINGS = {
 def local_session(cores: str = "*", app: str = "sievegate", **extra: str) -> SparkSession:
     """A session for tests and benchmarks; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    for key, value in {**SETTINGS, "spark.ui.enabled": "false", **extra}.items():
+    for key, value in {**SETTINGS, "spark.ui.enabled": "false",
+                       "spark.ui.showConsoleProgress": "false", **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
