@@ -43,7 +43,7 @@ def search_tokens(c: Column | str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    return F.size(words(c))
+    return F.regexp_count(col(c), F.lit(r"(?U)\S+"))
 
 
 def estimated_tokens(c: Column | str) -> Column:
@@ -181,7 +181,7 @@ def join_as_flow(lines: Column) -> Column:
 
 # ---- headings and sentences ---------------------------------------------------
 
-def is_heading(line: Column, mode: str = "compat") -> Column:
+def is_heading(line: Column, mode: str = "compat", stripped: bool = False) -> Column:
     """Heading test for one line.
 
     `compat` ignores letter case in every rule; `strict` asks for real capitals
@@ -195,7 +195,7 @@ def is_heading(line: Column, mode: str = "compat") -> Column:
     capital = (
         rf"^\s*\d+[\.\)]\s+[{caps}].{{3,80}}$|^\s*[{caps}]{{4,}}(?:\s+[{caps}]+)*\s*$"
     )
-    line = strip(line)
+    line = line if stripped else strip(line)
     bare = F.regexp_replace(line, r"^\*{1,3}(.*?)\*{1,3}$", "$1")
     # The head word and the closing words decide cheaply before the long patterns run.
     closing = "(?:" + "|".join(fixed.HEADING_NOT_ENDING) + r")\z"

@@ -35,7 +35,8 @@ def with_sections(docs: DataFrame, text_col: str = "text", mode: str = "compat")
         "_heads",
         F.filter(
             F.sequence(F.lit(1), F.size("_lines")),
-            lambda i: tx.is_heading(F.element_at("_lines", i), mode),
+            lambda i: tx.let(tx.strip(F.element_at("_lines", i)),
+                             lambda line: tx.is_heading(line, mode, stripped=True)),
         ),
     )
 
@@ -106,24 +107,29 @@ def _pack(section_of: Column, counts: Column, prefix: Column, max_tokens: int, o
         def fit(s: Column) -> Column:
             start, used, out = s["start"], s["used"], s["out"]
             open_buffer = start < i
-            tail = F.size(
-                F.filter(
-                    F.sequence(F.least(start, i - 1), i - 1),
-                    lambda j: total(j, i - 1) <= overlap,
+
+            def carry(tail_start: Column) -> Column:
+                kept = F.when(tail_start < i, total(F.least(tail_start, i - 1), i - 1))
+                return F.struct(
+                    tail_start.alias("start"),
+                    (F.coalesce(kept, F.lit(0)) + size).cast("int").alias("used"),
+                    add(out, start, i - 1).alias("out"),
                 )
+
+            overflow = tx.let(
+                (i - F.size(
+                    F.filter(
+                        F.sequence(F.least(start, i - 1), i - 1),
+                        lambda j: total(j, i - 1) <= overlap,
+                    )
+                )).cast("int"),
+                carry,
             )
-            tail_start = (i - tail).cast("int")
             oversize = F.struct(
                 (i + 1).cast("int").alias("start"), F.lit(0).alias("used"),
                 add(F.when(open_buffer, add(out, start, i - 1)).otherwise(out), i, F.lit(0))
                 .alias("out"),
             )
-            overflow = F.struct(
-                tail_start.alias("start"),
-                F.when(tail > 0, total(F.least(tail_start, i - 1), i - 1) + size)
-                .otherwise(size).cast("int").alias("used"),
-                add(out, start, i - 1).alias("out"),
-            )
             append = F.struct(
                 start.cast("int").alias("start"), (used + size).cast("int").alias("used"),
                 out.alias("out"),
@@ -162,7 +168,7 @@ def with_pieces(docs: DataFrame, settings: ChunkSettings) -> DataFrame:
     )
     counted = flat.withColumn(
         "_counts", F.transform("_sents", lambda s: tx.word_count(s["text"]))
-    ).withColumn(
+    ).withColumn("_sect", F.transform("_sents", lambda s: s["section"])).withColumn(
         "_prefix",
         F.aggregate(
             "_counts", F.array(F.lit(0)),
@@ -173,8 +179,7 @@ def with_pieces(docs: DataFrame, settings: ChunkSettings) -> DataFrame:
         "_spans",
         F.when(
             F.size("_counts") > 0,
-            _pack(F.transform("_sents", lambda s: s["section"]), F.col("_counts"),
-                  F.col("_prefix"), top, lap),
+            _pack(F.col("_sect"), F.col("_counts"), F.col("_prefix"), top, lap),
         ).otherwise(F.array().cast("array<struct<first:int,last:int>>")),
     )
 
@@ -200,7 +205,7 @@ def with_pieces(docs: DataFrame, settings: ChunkSettings) -> DataFrame:
         )
 
     return spans.withColumn("pieces", F.flatten(F.transform("_spans", piece_texts))).drop(
-        "_sents", "_counts", "_prefix", "_spans"
+        "_sents", "_sect", "_counts", "_prefix", "_spans"
     )
 
 

@@ -374,14 +374,14 @@ def chunk_mode_fallback(spark, sf):
 
 @register("chunk_settings", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'llm_structured' WHEN 1 THEN 'legacy' WHEN 2 THEN 'odd' ELSE 'hybrid' END AS mode,
   CASE WHEN doc_id % 4 IN (1, 3) THEN 32 * (doc_id % 100) ELSE 1500 END::INT max_tokens,
-  CASE WHEN doc_id % 4 = 3 THEN 600 * (doc_id % 2) ELSE 80 END::INT overlap_tokens,
-  CASE WHEN doc_id % 4 = 2 THEN false WHEN doc_id % 4 = 3 THEN (doc_id % 8 = 3)
+  CASE WHEN doc_id % 4 = 3 THEN 100 * (doc_id % 8) ELSE 80 END::INT overlap_tokens,
+  CASE WHEN doc_id % 4 = 2 THEN false WHEN doc_id % 4 = 3 THEN doc_id % 8 = 3 AND 32 * (doc_id % 100) BETWEEN 64 AND 4096
     WHEN doc_id % 4 = 0 THEN true ELSE 32 * (doc_id % 100) BETWEEN 64 AND 4096 END valid FROM documents""")
 def chunk_settings(spark, sf):
     configs = table(spark, sf, "documents").selectExpr("doc_id", """CASE cast(doc_id % 4 as int) WHEN 0 THEN NULL
       WHEN 1 THEN concat('{"mode": "legacy", "max_tokens": ', 32 * (doc_id % 100), '}')
       WHEN 2 THEN '{"mode": "odd"}'
-      ELSE concat('{"mode": "hybrid", "max_tokens": ', 32 * (doc_id % 100), ', "overlap_tokens": ', 600 * (doc_id % 2), '}') END config""")
+      ELSE concat('{"mode": "hybrid", "max_tokens": ', 32 * (doc_id % 100), ', "overlap_tokens": ', 100 * (doc_id % 8), '}') END config""")
     out = ch.chunk_config(configs)
     return out.select("doc_id", "mode", "max_tokens", "overlap_tokens", "valid")
 
