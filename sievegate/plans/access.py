@@ -275,7 +275,7 @@ def review_transitions(spark, sf):
 
 @register("role_decisions", sql("users docs", """
 WITH r AS (SELECT d.doc_id, u.role, u.department own, CASE WHEN d.doc_id % 4 = 0 THEN NULL WHEN d.doc_id % 4 = 1 THEN u.department ELSE 'OTHER' END dep,
-  u.user_id = d.owner_user_id is_owner, d.doc_id % 5 <> 0 can_edit, CASE WHEN d.doc_id % 6 = 0 THEN 'archived' ELSE status END st,
+  u.user_id = d.owner_user_id is_owner, d.doc_id % 5 <> 0 can_edit, CASE WHEN d.doc_id % 6 = 0 THEN 'archived' ELSE d.status END st,
   (['public', 'internal', 'confidential', 'restricted', 'top_secret', ''])[d.doc_id % 6 + 1] cl, (['public', 'internal', 'confidential', 'restricted', 'top_secret'])[d.doc_id // 6 % 5 + 1] lv
   FROM docs d JOIN users u ON u.user_id = d.doc_id % 149),
 k AS (SELECT *, coalesce(list_position(['public', 'internal', 'confidential', 'restricted', 'top_secret'], CASE WHEN cl = '' THEN 'internal' ELSE cl END), 0) ck,
