@@ -42,25 +42,49 @@ def match_starts(text: Column, pattern: str, matches: Column) -> Column:
     )
 
 
+# What a text must contain before a pattern can match, as a cheaper test.
+_NEEDS_AT = {"EMAIL_ADDRESS", "email"}
+_NEEDS_DIGITS = {
+    "PHONE_NUMBER", "SALARY_AMOUNT", "CCCD_CMND", "BANK_ACCOUNT", "DATE_OF_BIRTH", "PASSPORT",
+    "phone", "national_id", "tax_id", "social_insurance", "bank_account",
+}
+
+
+def find_all(text: Column, kind: str, pattern: str) -> Column:
+    """All matches of a pattern, skipping texts that cannot have one."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.array().cast("array<string>")
+    if kind in _NEEDS_AT:
+        return F.when(text.contains("@"), matches).otherwise(none)
+    if kind in _NEEDS_DIGITS:
+        return F.when(text.rlike(r"(?U)\d{3}"), matches).otherwise(none)
+    return F.coalesce(matches, none)
+
+
+def _pattern_spans(text: Column, number: int, kind: str, pattern: str, score: float) -> Column:
+    """Spans of one pattern; texts without a match stop after one scan."""
+    pattern = "(?iuU)" + pattern
+
+    def spans(matches: Column) -> Column:
+        rows = F.zip_with(
+            match_starts(text, pattern, matches), matches,
+            lambda at, m: F.struct(
+                at.alias("start"), (-F.length(m)).alias("rank"), F.lit(number).alias("pattern"),
+                (at + F.length(m)).alias("end"), F.lit(kind).alias("entity_type"),
+                m.alias("text"), F.lit(score).alias("score"),
+            ),
+        )
+        return F.when(F.size(matches) == 0, F.array().cast(_SPAN)).otherwise(rows.cast(_SPAN))
+
+    return tx.let(find_all(text, kind, pattern), spans)
+
+
 def pii_spans(text: Column) -> Column:
     """All personal data spans by start; of equal spans the earliest pattern stays."""
-    found = []
-    for number, (kind, pattern, score) in enumerate(fixed.PII_PATTERNS):
-        pattern = "(?iuU)" + pattern
-
-        def spans(matches, number=number, kind=kind, pattern=pattern, score=score):
-            return F.when(F.size(matches) == 0, F.array().cast(_SPAN)).otherwise(
-                F.zip_with(
-                    match_starts(text, pattern, matches), matches,
-                    lambda at, m: F.struct(
-                        at.alias("start"), (-F.length(m)).alias("rank"), F.lit(number).alias("pattern"),
-                        (at + F.length(m)).alias("end"), F.lit(kind).alias("entity_type"),
-                        m.alias("text"), F.lit(score).alias("score"),
-                    ),
-                ).cast(_SPAN)
-            )
-
-        found.append(tx.let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans))
+    found = [
+        _pattern_spans(text, number, kind, pattern, score)
+        for number, (kind, pattern, score) in enumerate(fixed.PII_PATTERNS)
+    ]
 
     def first_of_equal(spans: Column) -> Column:
         return F.filter(
@@ -234,25 +258,29 @@ def block_message(kind: Column) -> Column:
 
 # ---- structured entities ---------------------------------------------------------------
 
+_ENTITY = "array<struct<label:string,value:string,start:int,end:int>>"
+
+
+def _label_spans(text: Column, label: str, pattern: str, blind: bool, group: int) -> Column:
+    pattern = ("(?iuU)" if blind else "(?U)") + pattern
+
+    def one(at: Column, m: Column) -> Column:
+        # In every grouped pattern the group ends the match.
+        value = F.regexp_extract(m, pattern, 1) if group else m
+        end = at + F.length(m)
+        return F.struct(F.lit(label).alias("label"), value.alias("value"),
+                        (end - F.length(value)).alias("start"), end.alias("end"))
+
+    def spans(matches: Column) -> Column:
+        rows = F.zip_with(match_starts(text, pattern, matches), matches, one)
+        return F.when(F.size(matches) == 0, F.array().cast(_ENTITY)).otherwise(rows.cast(_ENTITY))
+
+    return tx.let(find_all(text, label, pattern), spans)
+
+
 def entities(rows: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, label, value, start, end of every structured entity."""
-    item = "array<struct<label:string,value:string,start:int,end:int>>"
-    found = []
-    for label, pattern, blind, group in fixed.ENTITY_PATTERNS:
-        pattern = ("(?iuU)" if blind else "(?U)") + pattern
-
-        def spans(matches, label=label, pattern=pattern, group=group):
-            # In every grouped pattern the group ends the match.
-            def one(at: Column, m: Column) -> Column:
-                value = F.regexp_extract(m, pattern, 1) if group else m
-                end = at + F.length(m)
-                return F.struct(F.lit(label).alias("label"), value.alias("value"),
-                                (end - F.length(value)).alias("start"), end.alias("end"))
-
-            return F.when(F.size(matches) == 0, F.array().cast(item)).otherwise(
-                F.zip_with(match_starts(F.col(text_col), pattern, matches), matches, one).cast(item))
-
-        found.append(tx.let(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0)), spans))
+    found = [_label_spans(F.col(text_col), *rule) for rule in fixed.ENTITY_PATTERNS]
     flat = rows.select(key, F.flatten(F.array(*found)).alias("_e"))
     return unnest(flat, [key], "_e", "e").select(key, "e.label", "e.value", "e.start", "e.end")
 
@@ -266,6 +294,12 @@ def entity_labels(text: Column) -> Column:
     return F.array_compact(F.array(*hits))
 
 
+def label_rows(rows: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Distinct key, label."""
+    flat = rows.select(key, entity_labels(F.col(text_col)).alias("_l"))
+    return unnest(flat, [key], "_l", "label").select(key, "label")
+
+
 def flag_map(builtin: DataFrame, configured: DataFrame) -> DataFrame:
     """entity_type, flags: configured rows replace built-in ones."""
     ours = configured.groupBy("entity_type").agg(F.first("flags").alias("_flags"))

@@ -23,7 +23,7 @@ BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
 def _sql_spans() -> str:
     parts = []
     for i, (kind, pattern, score) in enumerate(fixed.PII_PATTERNS):
-        parts.append(f"""SELECT doc_id, {i} pno, '{kind}' kind, {score} score, ms[k] m,
+        parts.append(f"""SELECT doc_id, {i} pno, '{kind}' kind, {score}::DOUBLE score, ms[k] m,
           (list_sum(list_transform(ps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0))::BIGINT s
           FROM (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) k FROM (SELECT doc_id,
              regexp_extract_all(text, {quote(pattern)}, 0, 'i') ms, regexp_split_to_array(text, {quote(pattern)}, 'i') ps FROM annotated))""")
@@ -333,7 +333,7 @@ CTE["dpick"] = (["dscore"], """SELECT doc_id, domain_code, conf confidence FROM
 
 
 def domain_rows(spark, sf):
-    labels = dt.entities(fx.annotated(spark, sf)).select("doc_id", "label").distinct()
+    labels = dt.label_rows(fx.annotated(spark, sf))
     outside = fx.domain_scores(spark, sf).where("doc_id % 17 <> 0").withColumn(
         "confidence", F.when(F.col("doc_id") % 5 == 0, F.col("confidence") / 10).otherwise(F.col("confidence")))
     return labels, fx.domain_types(spark, sf), outside, fx.domains(spark, sf)
@@ -360,9 +360,9 @@ CTE["cand"] = (["full_ctx", "dpick", "rules"], f"""SELECT c.doc_id, r.*, CASE WH
 CTE["sel"] = (["cand", "full_ctx"], """SELECT doc_id, rule_code, action, priority, mandatory, max_detail, numeric_granularity, dom, score FROM cand
   UNION ALL SELECT doc_id, 'FALLBACK', 'allow', 0, false, 'summarize', 'exact', 'GLOBAL', 1.0 FROM full_ctx WHERE doc_id NOT IN (SELECT doc_id FROM cand)""")
 CTE["relevance"] = (["docs", "rules"], "SELECT doc_id, rule_code FROM docs, rules WHERE doc_id % 3 <> 0 AND (doc_id + length(rule_code)) % 4 <> 0")
-CTE["rel"] = (["sel", "relevance"], """SELECT * EXCLUDE (judged, n, named, some) FROM (SELECT *, bool_or(named OR mandatory) OVER (PARTITION BY doc_id) some FROM (
+CTE["rel"] = (["sel", "relevance"], """SELECT * EXCLUDE (judged, n, named, any_left) FROM (SELECT *, bool_or(named OR mandatory) OVER (PARTITION BY doc_id) any_left FROM (
     SELECT *, doc_id IN (SELECT doc_id FROM relevance) judged, count(*) OVER (PARTITION BY doc_id) n, (doc_id, rule_code) IN (SELECT (doc_id, rule_code) FROM relevance) named FROM sel))
-  WHERE NOT judged OR n = 1 OR NOT some OR named OR mandatory""")
+  WHERE NOT judged OR n = 1 OR NOT any_left OR named OR mandatory""")
 DET = "coalesce(list_position(['summarize', 'generalize', 'anonymize', 'redact'], max_detail), 0)"
 NUM = "coalesce(list_position(['exact', 'range_only', 'aggregated', 'hidden'], numeric_granularity), 0)"
 
@@ -528,6 +528,6 @@ def domain_summary(spark, sf):
 FROM domain_types JOIN domains USING (domain_code) JOIN ents ON label = entity_type WHERE is_active GROUP BY 1"""))
 def entity_types_in_use(spark, sf):
     live = po.active_entity_types(fx.domain_types(spark, sf), fx.domains(spark, sf))
-    labels = dt.entities(fx.annotated(spark, sf)).select("doc_id", F.col("label").alias("entity_type")).distinct()
+    labels = dt.label_rows(fx.annotated(spark, sf)).withColumnRenamed("label", "entity_type")
     return live.join(labels, "entity_type").groupBy("domain_code").agg(
         F.array_join(F.array_sort(F.collect_set("entity_type")), ",").alias("entity_types"), F.count_distinct("doc_id").alias("n_documents"))

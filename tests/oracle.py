@@ -33,9 +33,10 @@ def table(columns: list[str], rows) -> list[tuple[str, ...]]:
     return sorted(tuple(cell(row[i]) for i in order) for row in rows)
 
 
-def compare(frame, con, sql: str) -> str | None:
+def compare(frame, con, sql: str, got=None) -> str | None:
     """None when equal, else a short description of the difference."""
-    got = table(frame.columns, [tuple(r) for r in frame.collect()])
+    if got is None:
+        got = table(frame.columns, [tuple(r) for r in frame.collect()])
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     want = table(names, result.fetchall())
