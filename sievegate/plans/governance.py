@@ -192,9 +192,14 @@ def flag_table(spark, sf):
     return dt.flag_map(builtin, po.active_entity_types(fx.domain_types(spark, sf), fx.domains(spark, sf)))
 
 
-@register("flag_map", sql("flag_map", "SELECT entity_type, array_to_string(flags, ',') flags FROM flag_map"))
-def flag_map(spark, sf):
-    return flag_table(spark, sf).select("entity_type", F.array_join("flags", ",").alias("flags"))
+@register("flags_in_use", sql("flag_map ents", """SELECT entity_type, array_to_string(any_value(flags), ',') flags, count(DISTINCT doc_id) n_documents
+   FROM flag_map LEFT JOIN ents ON label = entity_type GROUP BY 1"""))
+def flags_in_use(spark, sf):
+    """Flags per entity type, configured over built-in, with the documents they touch."""
+    found = dt.label_rows(fx.annotated(spark, sf)).groupBy(F.col("label").alias("entity_type")).agg(
+        F.count("*").alias("n"))
+    return flag_table(spark, sf).join(found, "entity_type", "left").select(
+        "entity_type", F.array_join("flags", ",").alias("flags"), F.coalesce("n", F.lit(0)).alias("n_documents"))
 
 
 _KEY = ", ".join(f"regexp_matches(text, {quote(p)}, 'i') k_{f}" for f, p in fixed.KEYWORD_FLAGS)
