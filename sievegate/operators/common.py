@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 def unnest(df: DataFrame, keep: list, array: Column | str, value: str, position: str = "_pos") -> DataFrame:
     """One row per array element, with its 0-based position.
 
-    The outer form plus a filter on the position: a plain explode makes the
-    optimizer infer a filter on the array, push it to the scan and evaluate the
-    whole expression that builds the array a second time.
+    The kept columns are computed before the explode, so that its rows do not each
+    carry the whole array. The outer form plus a filter on the position: a plain
+    explode makes the optimizer infer a filter on the array, push it to the scan
+    and evaluate the whole expression that builds the array a second time.
     """
-    rows = df.select(*keep, F.posexplode_outer(array).alias(position, value))
+    array = F.col(array) if isinstance(array, str) else array
+    ready = df.select(*keep, array.alias("_array"))
+    kept = [c for c in ready.columns if c != "_array"]
+    rows = ready.select(*kept, F.posexplode_outer("_array").alias(position, value))
     return rows.where(F.col(position).isNotNull())
 
 

@@ -9,6 +9,7 @@ from sievegate.functions import fixed_values as fixed
 from sievegate.functions import scoring as sc
 from sievegate.operators import detection as dt
 from sievegate.operators.common import top_k
+from sievegate.session import shared_dir
 
 GLOBAL = "GLOBAL"
 
@@ -233,6 +234,7 @@ def resolve_conflicts(selected: DataFrame, key: str) -> DataFrame:
         F.min_by("max_detail", _strictest("max_detail", fixed.DETAIL_ORDER)).alias("_detail"),
         F.min_by("numeric_granularity", _strictest("numeric_granularity", fixed.NUMERIC_ORDER)).alias("_numeric"),
         F.count("*").alias("n_rules"),
+        F.array_join(F.array_sort(F.collect_list("rule_code")), ",").alias("applied_rules"),
     )
 
     def pick(block, conditional, watermark, allow, other) -> Column:
@@ -254,7 +256,7 @@ def resolve_conflicts(selected: DataFrame, key: str) -> DataFrame:
         pick(F.lit("aggregated"), F.coalesce("_numeric", F.lit("aggregated")), F.lit("aggregated"),
              F.lit("aggregated"), F.lit("exact")).alias("numeric_granularity"),
         (F.col("n_rules") > fixed.MAX_RULES_BEFORE_REVIEW).alias("needs_human_review"),
-        "n_rules",
+        "n_rules", "applied_rules",
     )
 
 
@@ -267,7 +269,9 @@ def contracts(
     `contexts`: key, query, role, own_department, item_department, user_level,
     declared_level, effective_clearance, off_hours.
     """
-    scores = domain_scores(labels, types, outside, domains, key)
+    shared_dir(contexts.sparkSession)
+    # A few rows per context, read by several joins below.
+    scores = domain_scores(labels, types, outside, domains, key).checkpoint()
     main = primary_domain(scores, key).withColumnRenamed("domain_code", "primary_domain").drop("confidence")
     base = domains.select(F.col("domain_code").alias("primary_domain"), "base_sensitivity")
     full = (
@@ -284,16 +288,15 @@ def contracts(
     )
     candidates = rule_candidates(full, scores.select(key, "domain_code"), rules, key)
     selected = select_rules(full, candidates, key)
-    review = selected.groupBy(key).agg(
-        (F.count("*") > fixed.MAX_RULES_BEFORE_REVIEW).alias("needs_human_review"))
+    decided = resolve_conflicts(selected, key)
     if relevant is not None:
-        selected = keep_relevant(selected, relevant, key)
-    decided = resolve_conflicts(selected, key).drop("needs_human_review")
-    applied = selected.groupBy(key).agg(
-        F.array_join(F.array_sort(F.collect_list("rule_code")), ",").alias("applied_rules"))
+        # Review is judged on all selected rules, the decision on the relevant ones.
+        review = decided.select(key, "needs_human_review")
+        decided = resolve_conflicts(keep_relevant(selected, relevant, key), key).drop(
+            "needs_human_review").join(review, key)
     listed = scores.groupBy(key).agg(
         F.array_join(F.array_sort(F.collect_list("domain_code")), ",").alias("domains"))
-    out = full.join(decided, key).join(review, key).join(applied, key).join(listed, key, "left")
+    out = full.join(decided, key).join(listed, key, "left")
     return out.select(
         F.concat(F.lit("PC-"), F.substring(
             F.sha2(F.concat_ws("|", F.col(key), "query", "role"), 256), 1, 12)).alias("contract_id"),

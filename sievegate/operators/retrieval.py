@@ -27,22 +27,26 @@ SHARD_ROWS = 20_000              # chunk vectors per grid cell
 
 # ---- lexical ----------------------------------------------------------------------
 
-def token_table(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
-    """chunk_id, dl, token, tf of every chunk that has tokens.
+def token_rows(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
+    """chunk_id, _t: tokens of every chunk, laid out by chunk id.
 
-    The only shuffle is by chunk id. Counting per (chunk, token) and all later
-    work per chunk stay on that layout.
+    The one shuffle of the lexical search. Postings, statistics and vocabulary all
+    start from this same exchange, so texts are tokenised and moved once.
     """
-    rows = chunks.select("chunk_id", tx.search_tokens(text_col).alias("_t")).repartition("chunk_id")
+    return chunks.select("chunk_id", tx.search_tokens(text_col).alias("_t")).repartition("chunk_id")
+
+
+def token_table(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
+    """chunk_id, dl, token, tf; counting per chunk stays on the layout by chunk id."""
     return (
-        unnest(rows, ["chunk_id", F.size("_t").alias("dl")], "_t", "token")
+        unnest(token_rows(chunks, text_col), ["chunk_id", F.size("_t").alias("dl")], "_t", "token")
         .groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
     )
 
 
 def corpus_stats(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
     """One row: n_chunks and avg_length over chunks with tokens."""
-    sizes = chunks.select(F.size(tx.search_tokens(text_col)).alias("dl"))
+    sizes = token_rows(chunks, text_col).select(F.size("_t").alias("dl"))
     return sizes.agg(
         F.count_if(F.col("dl") > 0).alias("n_chunks"),
         (F.sum("dl") / F.count_if(F.col("dl") > 0)).alias("avg_length"),
@@ -51,9 +55,7 @@ def corpus_stats(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
 
 def token_idf(chunks: DataFrame, n_chunks: Column, text_col: str = "chunk_text") -> DataFrame:
     """token, df, idf; a negative idf becomes a share of the mean over the vocabulary."""
-    tokens = unnest(
-        chunks.select(F.array_distinct(tx.search_tokens(text_col)).alias("_t")), [], "_t", "token"
-    )
+    tokens = unnest(token_rows(chunks, text_col), [], F.array_distinct("_t"), "token")
     df = tokens.groupBy("token").agg(F.count("*").alias("df"))
     raw = df.withColumn(
         "idf", F.log(n_chunks - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -78,8 +80,8 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, text_col: str = "chunk_te
     and tokens meet in a salted join, because one token may be in a third of all
     chunks.
     """
-    stats = corpus_stats(chunks, text_col)
-    n_chunks, avg_length = stats.select("n_chunks").scalar(), stats.select("avg_length").scalar()
+    stats = corpus_stats(chunks, text_col).select(F.struct("n_chunks", "avg_length")).scalar()
+    n_chunks, avg_length = stats["n_chunks"], stats["avg_length"]
     terms = query_terms(queries)
     few = terms.limit(QUERY_TERMS_BROADCAST + 1).count() <= QUERY_TERMS_BROADCAST
     idf = token_idf(chunks, n_chunks, text_col)

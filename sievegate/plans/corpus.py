@@ -10,7 +10,7 @@ from sievegate.operators import chunking as ch
 from sievegate.plans import fixtures as fx
 from sievegate.plans.fixtures import quote, sql
 from sievegate.plans.registry import register
-from sievegate.sources.tables import table
+from sievegate.sources.tables import table, text_table
 
 NL = "chr(10)"
 BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
@@ -74,39 +74,39 @@ def sql_heading(line: str, strict: bool = False) -> str:
 
 @register("text_normalize", f"SELECT doc_id, sha256(t) text_hash, length(t) n FROM (SELECT doc_id, {sql_normalize('text')} t FROM documents)")
 def text_normalize(spark, sf):
-    out = table(spark, sf, "documents").select("doc_id", tx.normalize_text("text").alias("t"))
+    out = text_table(spark, sf, "documents").select("doc_id", tx.normalize_text("text").alias("t"))
     return out.select("doc_id", F.sha2("t", 256).alias("text_hash"), F.length("t").alias("n"))
 
 
 @register("text_normalize_light", f"SELECT page_id, sha256(t) text_hash FROM (SELECT page_id, {sql_light('html')} t FROM pages)")
 def text_normalize_light(spark, sf):
-    return table(spark, sf, "pages").select(
+    return text_table(spark, sf, "pages").select(
         "page_id", F.sha2(tx.normalize_light("html"), 256).alias("text_hash"))
 
 
 @register("html_to_text", f"SELECT page_id, sha256(t) text_hash, length(t) n FROM (SELECT page_id, {sql_html('html')} t FROM pages)")
 def html_to_text(spark, sf):
-    out = table(spark, sf, "pages").select("page_id", tx.html_to_text("html").alias("t"))
+    out = text_table(spark, sf, "pages").select("page_id", tx.html_to_text("html").alias("t"))
     return out.select("page_id", F.sha2("t", 256).alias("text_hash"), F.length("t").alias("n"))
 
 
 @register("content_hash", "SELECT doc_id, sha256(text) checksum, octet_length(encode(text)) size_bytes FROM documents")
 def content_hash(spark, sf):
-    return table(spark, sf, "documents").select(
+    return text_table(spark, sf, "documents").select(
         "doc_id", F.sha2("text", 256).alias("checksum"), F.octet_length("text").alias("size_bytes"))
 
 
 @register("token_counts", f"""SELECT doc_id, len({sql_words('text')}) word_count,
   CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, (length(text) + 3) // 4) END estimated FROM documents""")
 def token_counts(spark, sf):
-    return table(spark, sf, "documents").select(
+    return text_table(spark, sf, "documents").select(
         "doc_id", tx.word_count("text").alias("word_count"), tx.estimated_tokens("text").alias("estimated"))
 
 
 @register("accent_strip_tokens", f"""SELECT doc_id, len(list_distinct(t)) distinct_plain, sha256(array_to_string(t, ' ')) plain_hash
   FROM (SELECT doc_id, list_transform({sql_tokens('text')}, lambda x: strip_accents(replace(x, 'đ', 'd'))) t FROM documents)""")
 def accent_strip_tokens(spark, sf):
-    tokens = table(spark, sf, "documents").select(
+    tokens = text_table(spark, sf, "documents").select(
         "doc_id", F.transform(tx.search_tokens("text"), tx.strip_accents).alias("t"))
     return tokens.select("doc_id", F.size(F.array_distinct("t")).alias("distinct_plain"),
                          F.sha2(F.array_join("t", " "), 256).alias("plain_hash"))
@@ -159,7 +159,7 @@ def flow_labels(spark, sf):
 
 def heading_text(spark, sf):
     """Documents with numbered headings put before every sixth line."""
-    docs = table(spark, sf, "documents").withColumn("ls", F.split("text", "\n"))
+    docs = text_table(spark, sf, "documents").withColumn("ls", F.split("text", "\n"))
     return docs.select("doc_id", F.array_join(F.transform(
         "ls", lambda x, i: F.when(i % 6 == 3, F.concat(F.lit("Section "), (i / 6).cast("int"), F.lit(". Topic "), F.col("doc_id") % 9, F.lit("\n"), x))
         .when(i % 11 == 7, F.concat(F.lit("QUY ĐỊNH CHUNG\n"), x)).otherwise(x)), "\n").alias("text"))
@@ -198,7 +198,7 @@ def document_sections(spark, sf):
 @register("sentence_split", f"""SELECT doc_id, len(s) n, sha256(array_to_string(s, '|')) joined_hash
   FROM (SELECT doc_id, {sql_sentences('text')} s FROM documents)""")
 def sentence_split(spark, sf):
-    out = table(spark, sf, "documents").select("doc_id", tx.sentences("text").alias("s"))
+    out = text_table(spark, sf, "documents").select("doc_id", tx.sentences("text").alias("s"))
     return out.select("doc_id", F.size("s").alias("n"), F.sha2(F.array_join("s", "|"), 256).alias("joined_hash"))
 
 
@@ -207,7 +207,7 @@ WITH w AS (SELECT doc_id, {sql_words('text')} ws FROM documents),
 i AS (SELECT doc_id, ws, unnest(range(0, 1 + greatest(0, ceil((len(ws) - 64) / 56.0)::BIGINT))) k FROM w WHERE len(ws) > 0)
 SELECT doc_id, k piece_no, sha256(array_to_string(ws[k * 56 + 1 : k * 56 + 64], ' ')) piece_hash FROM i""")
 def word_windows(spark, sf):
-    out = table(spark, sf, "documents").select("doc_id", F.posexplode(tx.hard_split(F.col("text"), 64, 8)))
+    out = text_table(spark, sf, "documents").select("doc_id", F.posexplode(tx.hard_split(F.col("text"), 64, 8)))
     return out.select("doc_id", F.col("pos").alias("piece_no"), F.sha2("col", 256).alias("piece_hash"))
 
 
@@ -321,7 +321,7 @@ META_SPARK = """CASE cast(doc_id % 5 as int)
    WHEN 1 THEN array_to_string(list_sort(list_distinct([3, 1, doc_id % 6])), ',')
    WHEN 2 THEN array_to_string(list_sort(list_distinct([2, 2 + doc_id % 3])), ',') ELSE '' END page_numbers FROM documents""")
 def metadata_probe(spark, sf):
-    raw = table(spark, sf, "documents").selectExpr("doc_id", META_SPARK + " meta")
+    raw = text_table(spark, sf, "documents").selectExpr("doc_id", META_SPARK + " meta")
     return ch.probe_metadata(raw).select(
         "doc_id", "section_path", F.array_join(F.transform("page_numbers", lambda n: n.cast("string")), ",").alias("page_numbers"))
 
@@ -339,7 +339,7 @@ def external_lists(spark, sf):
            .when(F.col("doc_id") % 6 == 3, F.concat(F.lit("["), two, F.lit("]")))
            .when(F.col("doc_id") % 6 == 4, F.concat(F.lit('answer {note: x, "chunks": ['), two, F.lit("]} end")))
            .otherwise(F.lit("no json here")))
-    return table(spark, sf, "documents").select(
+    return text_table(spark, sf, "documents").select(
         "doc_id", (1 + F.col("doc_id") % 5).cast("int").alias("sensitivity"), raw.alias("raw"))
 
 
@@ -366,7 +366,7 @@ def external_chunk_lists(spark, sf):
 @register("chunk_mode_fallback", sql("", f"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 6 = 5 THEN 'legacy' ELSE 'llm_structured' END chunker_mode
   FROM documents WHERE trim(text, {BLANKS}) <> ''"""))
 def chunk_mode_fallback(spark, sf):
-    docs = table(spark, sf, "documents").selectExpr(
+    docs = text_table(spark, sf, "documents").selectExpr(
         "doc_id", "text", "CASE WHEN doc_id % 4 = 0 THEN 'legacy' ELSE 'llm_structured' END mode")
     out = ch.chunk_by_mode(docs, external_lists(spark, sf), ch.ChunkSettings(max_tokens=40, overlap_tokens=8))
     return out.select("doc_id", "chunker_mode").distinct()
@@ -378,7 +378,7 @@ def chunk_mode_fallback(spark, sf):
   CASE WHEN doc_id % 4 = 2 THEN false WHEN doc_id % 4 = 3 THEN doc_id % 8 = 3 AND 32 * (doc_id % 100) BETWEEN 64 AND 4096
     WHEN doc_id % 4 = 0 THEN true ELSE 32 * (doc_id % 100) BETWEEN 64 AND 4096 END valid FROM documents""")
 def chunk_settings(spark, sf):
-    configs = table(spark, sf, "documents").selectExpr("doc_id", """CASE cast(doc_id % 4 as int) WHEN 0 THEN NULL
+    configs = text_table(spark, sf, "documents").selectExpr("doc_id", """CASE cast(doc_id % 4 as int) WHEN 0 THEN NULL
       WHEN 1 THEN concat('{"mode": "legacy", "max_tokens": ', 32 * (doc_id % 100), '}')
       WHEN 2 THEN '{"mode": "odd"}'
       ELSE concat('{"mode": "hybrid", "max_tokens": ', 32 * (doc_id % 100), ', "overlap_tokens": ', 100 * (doc_id % 8), '}') END config""")
@@ -390,7 +390,7 @@ def chunk_settings(spark, sf):
 
 def pipe_cells(spark, sf):
     """Cells of the pipe tables in documents, with an empty and a split column planted."""
-    rows = table(spark, sf, "documents").where(F.col("text").contains("|")).select(
+    rows = text_table(spark, sf, "documents").where(F.col("text").contains("|")).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("row_no", "line"))
     cells = rows.select("doc_id", "row_no", F.posexplode(F.split("line", r"\|")).alias("k", "cell"))
     return cells.where("k < 6").selectExpr(

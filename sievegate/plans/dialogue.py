@@ -13,7 +13,7 @@ from sievegate.plans.corpus import BLANKS, sql_words
 from sievegate.plans.fixtures import CTE, quote, sql
 from sievegate.plans.registry import register
 from sievegate.plans.search import search_parts
-from sievegate.sources.tables import table
+from sievegate.sources.tables import table, text_table
 
 DONE = ", ".join(f"'{s}'" for s in fixed.DONE_STATUSES)
 TAKEN = """(next_status IN (""" + DONE + f""") OR (next_status = 'streaming' AND length(trim(next_content, {BLANKS})) > 10))"""

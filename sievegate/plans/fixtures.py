@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegate.sources.tables import rows_table, table
+from sievegate.sources.tables import rows_table, table, text_table
 
 NOW = "2024-01-20 00:00:00"
 
@@ -211,7 +211,7 @@ PAGE_LINES = 8
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """Documents cut into pages of eight lines with a running head and foot."""
-    lines = table(spark, sf, "documents").selectExpr("doc_id", "split(text, '\\n') ls")
+    lines = text_table(spark, sf, "documents").selectExpr("doc_id", "split(text, '\\n') ls")
     return lines.selectExpr(
         "doc_id", "ls", f"explode(sequence(0, cast((size(ls) - 1) div {PAGE_LINES} as int))) p"
     ).selectExpr(
@@ -246,7 +246,7 @@ PLANTED = [
 def annotated(spark: SparkSession, sf: str) -> DataFrame:
     """Document text followed by one planted line, so each rule meets some rows."""
     lines = rows_table(spark, "k bigint, planted string", list(enumerate(PLANTED)))
-    docs = table(spark, sf, "documents").selectExpr("doc_id", "text", f"doc_id % {len(PLANTED)} k")
+    docs = text_table(spark, sf, "documents").selectExpr("doc_id", "text", f"doc_id % {len(PLANTED)} k")
     return docs.join(lines, "k").selectExpr("doc_id", "concat(text, '\\n', planted) text")
 
 

@@ -13,7 +13,8 @@ from sievegate.operators.common import unnest
 from sievegate.plans import fixtures as fx
 from sievegate.plans.fixtures import CTE, quote, sql
 from sievegate.plans.registry import register
-from sievegate.sources.tables import rows_table, table
+from sievegate.session import shared_dir
+from sievegate.sources.tables import rows_table, table, text_table
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
 
@@ -391,7 +392,8 @@ CTE["decided_rel"] = (["rel"], _sql_resolve("rel"))
 
 def full_contexts(spark, sf):
     labels, types, outside, domains = domain_rows(spark, sf)
-    scores = po.domain_scores(labels, types, outside, domains)
+    shared_dir(spark)
+    scores = po.domain_scores(labels, types, outside, domains).checkpoint()  # read several times below
     main = po.primary_domain(scores).select("doc_id", F.col("domain_code").alias("primary_domain"))
     base = domains.selectExpr("domain_code primary_domain", "base_sensitivity")
     rows = contexts(spark, sf).join(main, "doc_id", "left").join(base, "primary_domain", "left").withColumn(
@@ -424,7 +426,7 @@ def rule_selection(spark, sf):
 
 @register("conflict_resolution", sql("decided", "SELECT * FROM decided"))
 def conflict_resolution(spark, sf):
-    return po.resolve_conflicts(selected_rules(spark, sf), "doc_id").drop("needs_human_review")
+    return po.resolve_conflicts(selected_rules(spark, sf), "doc_id").drop("needs_human_review", "applied_rules")
 
 
 @register("rule_relevance", sql("decided_rel", "SELECT * FROM decided_rel"))
@@ -433,7 +435,7 @@ def rule_relevance(spark, sf):
     relevant = table(spark, sf, "documents").where("doc_id % 3 <> 0").selectExpr(
         "doc_id", f"explode({codes}) rule_code").where("(doc_id + length(rule_code)) % 4 <> 0")
     kept = po.keep_relevant(selected_rules(spark, sf), relevant, "doc_id")
-    return po.resolve_conflicts(kept, "doc_id").drop("needs_human_review")
+    return po.resolve_conflicts(kept, "doc_id").drop("needs_human_review", "applied_rules")
 
 
 @register("policy_contracts", sql("decided sel full_ctx dpick", f"""
@@ -470,7 +472,7 @@ def restricted_results(spark, sf):
 
 @register("applied_rules", sql("sel decided ctx", """SELECT DISTINCT user_id, s.rule_code, s.action FROM sel s JOIN decided d USING (doc_id) JOIN ctx c USING (doc_id) WHERE d.decision <> 'allow' AND s.action = d.decision"""))
 def applied_rules(spark, sf):
-    selected = selected_rules(spark, sf)
+    selected = selected_rules(spark, sf).checkpoint()
     decided = po.resolve_conflicts(selected, "doc_id")
     users = fx.documents(spark, sf).selectExpr("doc_id", "owner_user_id user_id")
     return po.applied_rules(selected.join(users, "doc_id"), decided, "doc_id", "user_id")

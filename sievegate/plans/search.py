@@ -14,11 +14,11 @@ from sievegate.plans.corpus import BLANKS, sql_tokens
 from sievegate.plans.fixtures import CTE, NOW, sql
 from sievegate.plans.registry import register
 from sievegate.session import shared_dir
-from sievegate.sources.tables import table
+from sievegate.sources.tables import table, text_table
 
 
 def chunk_index(spark, sf):
-    return table(spark, sf, "documents").selectExpr(
+    return text_table(spark, sf, "documents").selectExpr(
         "doc_id chunk_id", "doc_id document_id", "text chunk_text", "cast(1 + doc_id % 5 as int) sensitivity",
         "cast(greatest(1, least(5, 1 + doc_id % 5 + doc_id % 3 - 1)) as int) chunk_sensitivity")
 
@@ -94,8 +94,8 @@ def postings(spark, sf):
 @register("corpus_statistics", sql("idf cs", """SELECT (SELECT n_chunks FROM cs) n_chunks, round((SELECT avg_length FROM cs), 4) avg_length,
    count(*) vocabulary, round(avg(idf), 4) mean_idf, max(df) max_df FROM idf"""))
 def corpus_statistics(spark, sf):
-    stats = rt.corpus_stats(chunk_index(spark, sf))
-    n, avg = stats.select("n_chunks").scalar(), stats.select("avg_length").scalar()
+    stats = rt.corpus_stats(chunk_index(spark, sf)).select(F.struct("n_chunks", "avg_length")).scalar()
+    n, avg = stats["n_chunks"], stats["avg_length"]
     idf = rt.token_idf(chunk_index(spark, sf), n)
     return idf.agg(F.count("*").alias("vocabulary"), F.round(F.avg("idf"), 4).alias("mean_idf"),
                    F.max("df").alias("max_df")).select("*", n.alias("n_chunks"), F.round(avg, 4).alias("avg_length"))
@@ -114,7 +114,7 @@ LANG_SCOPE = "chunk_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"
           .replace("doc_id % 3 - 1))::INT chunk_sensitivity FROM documents", "doc_id % 3 - 1))::INT chunk_sensitivity FROM documents WHERE lang = 'en'"))
 def bm25_scoped(spark, sf):
     """Statistics and scores over one scope: the filter comes before the counts."""
-    scope = table(spark, sf, "documents").where("lang = 'en'").selectExpr("doc_id chunk_id", "text chunk_text")
+    scope = text_table(spark, sf, "documents").where("lang = 'en'").selectExpr("doc_id chunk_id", "text chunk_text")
     return rt.bm25_top(scope, fx.queries(spark, sf)).select(
         "query_id", "chunk_id", "rank", F.round("raw_score", 4).alias("raw_score"))
 
@@ -229,7 +229,7 @@ WITH h AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 slot, coun
 n AS (SELECT doc_id, sqrt(sum(c * c)) nn, max(c) mx, count(*) slots, min(slot) first_slot FROM h GROUP BY 1)
 SELECT doc_id, slots used_slots, round((mx / nn)::FLOAT::DOUBLE, 4) top_weight FROM n""")
 def hashed_embeddings(spark, sf):
-    out = table(spark, sf, "documents").select("doc_id", rt.hashed_embedding("text").alias("v")).where(F.size("v") > 0)
+    out = text_table(spark, sf, "documents").select("doc_id", rt.hashed_embedding("text").alias("v")).where(F.size("v") > 0)
     return out.select(
         "doc_id", F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("used_slots"),
         F.round(F.array_max("v").cast("double"), 4).alias("top_weight"))

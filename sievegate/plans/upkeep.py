@@ -21,7 +21,7 @@ from sievegate.session import shared_dir
 from sievegate.sources import files as fl
 from sievegate.sources import mail as ml
 from sievegate.sources.sinks import append_log, replace_partitions
-from sievegate.sources.tables import rows_table, table
+from sievegate.sources.tables import rows_table, table, text_table
 from sievegate.streaming import ingest as ig
 from sievegate.streaming import state as st
 
@@ -230,7 +230,7 @@ def job_lifecycle(spark, sf):
 @register("ingest_metrics", sql("", f"""SELECT lang, count(*) n_documents, count_if(trim(text, {BLANKS}) = '') n_failed, sum(n_chars)::BIGINT n_chars FROM documents GROUP BY 1"""))
 def ingest_metrics(spark, sf):
     """Chunking of every document with step figures; documents without a chunk are failures."""
-    docs = table(spark, sf, "documents")
+    docs = text_table(spark, sf, "documents")
     chunks = ch.chunk_documents(docs, PACK).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
     rows = docs.select("doc_id", "lang", "n_chars").join(chunks, "doc_id", "left")
     return rows.groupBy("lang").agg(
@@ -240,7 +240,7 @@ def ingest_metrics(spark, sf):
 # ---- mail and files ---------------------------------------------------------------------
 
 def mail_tables(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = text_table(spark, sf, "pages")
     url64 = "rtrim('=', translate(base64(encode({}, 'utf-8')), '+/\\n\\r', '-_'))"
     html = pages.selectExpr("page_id message_id", "'1.2' part_path", "'text/html' mime_type", url64.format("html") + " data")
     plain = pages.where("page_id % 2 = 0").selectExpr(
@@ -295,7 +295,7 @@ def mail_synced_flags(spark, sf):
 @register("parsed_files", f"""SELECT doc_id, (['text', 'text', 'pdf', 'docx', 'image', 'text'])[doc_id % 6 + 1] kind, CASE WHEN doc_id % 6 IN (2, 3, 4) THEN 'needs_reader' ELSE 'ok' END outcome FROM documents WHERE trim(text, {BLANKS}) <> ''""")
 def parsed_files(spark, sf):
     """Bytes with damaged characters, routed by extension and MIME type."""
-    files = table(spark, sf, "documents").select(
+    files = text_table(spark, sf, "documents").select(
         "doc_id", F.expr("concat('f', doc_id, element_at(array('.txt', '.MD', '.pdf', '', '.PNG', '.xyz'), cast(doc_id % 6 as int) + 1))").alias("name"),
         F.when(F.col("doc_id") % 6 == 3, "application/vnd.openxmlformats-officedocument.wordprocessingml.document").otherwise("").alias("mime"),
         F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("FF"))).alias("content"))
