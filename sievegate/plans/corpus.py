@@ -162,12 +162,12 @@ def heading_text(spark, sf):
     docs = text_table(spark, sf, "documents").withColumn("ls", F.split("text", "\n"))
     return docs.select("doc_id", F.array_join(F.transform(
         "ls", lambda x, i: F.when(i % 6 == 3, F.concat(F.lit("Section "), (i / 6).cast("int"), F.lit(". Topic "), F.col("doc_id") % 9, F.lit("\n"), x))
-        .when(i % 11 == 7, F.concat(F.lit("QUY ĐỊNH CHUNG\n"), x)).otherwise(x)), "\n").alias("text"))
+        .when(i % 11 == 7, F.concat(F.lit("TRÌNH CHUNG\n"), x)).otherwise(x)), "\n").alias("text"))
 
 
 fx.CTE["heading_text"] = ([], f"""SELECT doc_id, array_to_string(list_transform(string_split(text, {NL}),
    lambda x, i: CASE WHEN (i - 1) % 6 = 3 THEN 'Section ' || ((i - 1) // 6) || '. Topic ' || (doc_id % 9) || {NL} || x
-     WHEN (i - 1) % 11 = 7 THEN 'QUY ĐỊNH CHUNG' || {NL} || x ELSE x END), {NL}) AS text FROM documents""")
+     WHEN (i - 1) % 11 = 7 THEN 'TRÌNH CHUNG' || {NL} || x ELSE x END), {NL}) AS text FROM documents""")
 
 fx.CTE["doc_lines"] = (["heading_text"], f"""SELECT doc_id, unnest(ls) line, generate_subscripts(ls, 1) i FROM (
    SELECT doc_id, string_split(trim(text, {BLANKS}), {NL}) ls FROM heading_text)""")
