@@ -1,5 +1,6 @@
 """Run registered queries against their SQL: python tests/check.py [prefix ...] [--sf DIR]"""
 
+import os
 import sys
 import time
 import traceback
@@ -19,7 +20,7 @@ if __name__ == "__main__":
         at = args.index("--sf")
         folder = args[at + 1]
         del args[at:at + 2]
-    spark = local_session("8", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = local_session("8", **{"spark.sql.shuffle.partitions": os.environ.get("CHECK_PARTITIONS", "8"), "spark.driver.memory": "8g"})
     con = oracle.connect(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
