@@ -345,25 +345,24 @@ def stream_ingest(spark, sf):
     docs = heading_text(spark, sf)
     append_log(docs.where("doc_id % 2 = 0"), source)
     append_log(docs.where("doc_id % 2 = 1"), source)
-    stream = ig.read_versions(spark, source, docs.schema, files_per_trigger=1)
+    stream = ig.read_versions(spark, source, docs.schema, files_per_trigger=8)
     ig.run_available(stream, ig.ingest_once(index, PACK), run_dir(spark, "cp"))
     return spark.read.parquet(index).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens"))
 
 
 @register("stream_jobs", sql("job_fold", JOB_SQL))
 def stream_jobs(spark, sf):
-    """Job states kept by a stateful stream over two batches of events."""
-    source, out = run_dir(spark, "job-events"), run_dir(spark, "job-state")
+    """Job states kept by a stateful stream that stops and resumes from its checkpoint."""
+    source, out, checkpoint = run_dir(spark, "job-events"), run_dir(spark, "job-state"), run_dir(spark, "cp")
     events = job_events(spark, sf).select("job_id", "event_id", "event")
     half = table(spark, sf, "events").count() // 2
-    append_log(events.where(F.col("event_id") < half).coalesce(1), source)
-    append_log(events.where(F.col("event_id") >= half).coalesce(1), source)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    query = (
-        st.track_jobs(stream).writeStream.outputMode("update")
-        .foreachBatch(lambda b, i: replace_partitions(b.withColumn("batch_id", F.lit(i)), out, ["batch_id"]))
-        .option("checkpointLocation", run_dir(spark, "cp")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+
+    def write(batch, batch_id):
+        replace_partitions(batch.withColumn("batch_id", F.lit(batch_id)), out, ["batch_id"])
+
+    for part in (F.col("event_id") < half, F.col("event_id") >= half):
+        append_log(events.where(part), source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        ig.run_available(st.track_jobs(stream), write, checkpoint, "update")
     return spark.read.parquet(out).groupBy("job_id").agg(
         F.max_by("status", "batch_id").alias("status"), F.max_by("retries", "batch_id").alias("retries"))
