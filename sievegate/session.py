@@ -27,19 +27,18 @@ def local_session(cores: str = "*", app: str = "sievegate", **extra: str) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the session; a temporary one only if none is set.
+    """Folder that all executors reach, from `spark.checkpoint.dir`; also set for checkpoints.
 
-    A cluster names a folder all executors can reach in `spark.checkpoint.dir`.
+    A cluster has to name one. Only a session whose executors are threads of this process, as in
+    tests, gets a temporary folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if configured:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(configured)
-        return configured
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    folder = tempfile.mkdtemp(prefix="sievegate-")
-    context.setCheckpointDir(folder)
-    return folder
+    if not configured and current.isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors reach")
+        configured = tempfile.mkdtemp(prefix="sievegate-")
+    if current.isEmpty():
+        context.setCheckpointDir(configured)
+    return configured or current.get()
