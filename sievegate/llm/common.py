@@ -81,25 +81,21 @@ def running_start(
     the blocks' sums are added up (one row per block, summed before the shuffle), and only rows of
     one block are sorted together. Rows that agree in all of `order` must have the same amount.
     `block` replaces the hash where the blocks' order is to be that of `order`.
-    `extra` may join more columns, by group, to the small table of blocks.
+    `extra` may join more columns to the small table of blocks, by the struct `_group`.
     """
     hashed = F.pmod(F.xxhash64(*order), F.lit(blocks)) if block is None else block
-    keyed = df.withColumn("_block", hashed.cast("int"))
-    keyed = keyed.withColumn("_amount", amount.cast("long"))
-    sums = keyed.groupBy(*group, "_block").agg(F.sum("_amount").alias("_sum"))
-    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # The group as a struct is never null, so that the window and the join share one exchange.
+    keyed = df.withColumns({
+        "_group": F.struct(*group), "_block": hashed.cast("int"), "_amount": amount.cast("long")})
+    sums = keyed.groupBy("_group", "_block").agg(F.sum("_amount").alias("_sum"))
+    before = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_block_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
     starts = (extra(starts) if extra else starts).drop("_sum")
-    for column in group:
-        starts = starts.withColumnRenamed(column, f"_of_{column}")
-    within = Window.partitionBy(*group, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_group", "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = keyed.withColumn("_within", F.coalesce(F.sum("_amount").over(within), F.lit(0)))
-    on = F.col("_block") == F.col("_their_block")
-    for column in group:
-        on = on & F.col(column).eqNullSafe(F.col(f"_of_{column}"))
-    joined = rows.join(starts.withColumnRenamed("_block", "_their_block"), on)
+    joined = rows.join(starts, ["_group", "_block"])
     return joined.withColumn(name, F.col("_block_start") + F.col("_within")).drop(
-        "_block", "_their_block", "_amount", "_block_start", "_within", *[f"_of_{c}" for c in group])
+        "_group", "_block", "_amount", "_block_start", "_within")
 
 
 def apart(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:

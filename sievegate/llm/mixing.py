@@ -75,9 +75,9 @@ def mix_documents(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string"))))
 
     def with_target(starts: DataFrame) -> DataFrame:
-        totals = starts.groupBy("source").agg(F.sum("_sum").alias("source_size"))
-        targets = source_targets(totals, share, limit).withColumnRenamed("source", "_target_of")
-        return starts.join(targets, F.col("source").eqNullSafe(F.col("_target_of"))).drop("_target_of")
+        totals = starts.groupBy("_group").agg(F.sum("_sum").alias("source_size"))
+        targets = source_targets(totals.select("_group.source", "source_size"), share, limit)
+        return starts.join(targets.withColumn("_group", F.struct("source")).drop("source"), "_group")
 
     placed = running_start(
         sized, ["source"], ["_key"], F.col("size"), 16**digits, "_start", with_target,
