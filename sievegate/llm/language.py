@@ -45,45 +45,54 @@ def grams(points: np.ndarray, order: int) -> np.ndarray:
     return total ^ (total >> np.uint64(29))
 
 
-def count_grams(docs: DataFrame, order: int, flush: int = 500_000) -> DataFrame:
+def count_grams(docs: DataFrame, order: int, chunk: int = 1_000_000, flush: int = 1_000_000) -> DataFrame:
     """(lang, gram, n): how often each run of `order` characters occurs over all given texts.
 
-    Tasks count before the shuffle and hand on what they have whenever it is more than `flush` runs.
+    Tasks count some `chunk` characters of a language at a time, add the counts up, and hand them on
+    before the shuffle whenever they hold more than `flush` different runs.
     """
 
     def run(batches):
         letters = letter_table()
-        held: dict[str, list] = {}
-        size = 0
+        waiting: dict[str, list[np.ndarray]] = {}
+        sizes: dict[str, int] = {}
+        held: dict[str, tuple] = {}
+
+        def take_in(lang):
+            found = distinct(waiting.pop(lang), order)
+            held[lang] = add_counts(held[lang], found) if lang in held else found
 
         def out():
-            for lang, parts in held.items():
-                codes, numbers = merge(parts)
+            for lang in list(held):
+                _, numbers, runs = held.pop(lang)
+                grams_ = pa.FixedSizeBinaryArray.from_buffers(
+                    pa.binary(4 * order), len(numbers), [None, pa.py_buffer(runs.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(numbers)), pa.array(codes, pa.binary(4 * order)).cast(pa.binary()),
-                     pa.array(numbers, pa.int64())], names=["lang", "gram", "n"])
+                    [pa.array([lang] * len(numbers)), grams_.cast(pa.binary()), pa.array(numbers)],
+                    names=["lang", "gram", "n"])
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            by_lang: dict[str, list] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), texts):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 points = letters_only(text, letters)
-                if len(points):
-                    by_lang.setdefault(lang, []).append(padded(points, order))
-            for lang, points in by_lang.items():
-                held.setdefault(lang, []).append(distinct(points, order))
-            size += sum(len(parts[-1][1]) for lang, parts in held.items() if lang in by_lang)
-            if size > flush:
+                if not len(points):
+                    continue
+                waiting.setdefault(lang, []).append(padded(points, order))
+                sizes[lang] = sizes.get(lang, 0) + len(points)
+                if sizes[lang] >= chunk:
+                    take_in(lang)
+                    sizes[lang] = 0
+            if sum(len(h[1]) for h in held.values()) > flush:
                 yield from out()
-                held, size = {}, 0
+        for lang in list(waiting):
+            take_in(lang)
         yield from out()
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram binary, n long").groupBy(
         "lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def distinct(texts: list[np.ndarray], order: int) -> tuple[list[bytes], np.ndarray]:
-    """Different runs of `order` characters, never across texts, and how often each occurs."""
+def distinct(texts: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different runs of `order` characters, never across texts: number, how often, characters."""
     points = np.concatenate(texts)
     ends = np.cumsum([len(t) for t in texts])
     codes = grams(points, order)
@@ -91,17 +100,14 @@ def distinct(texts: list[np.ndarray], order: int) -> tuple[list[bytes], np.ndarr
     for end in ends[:-1]:
         whole[max(0, end - order + 1):end] = False
     at = np.nonzero(whole)[0]
-    _, first, numbers = np.unique(codes[at], return_index=True, return_counts=True)
-    rows = points[at[first][:, None] + np.arange(order)].astype("<u4")
-    return [r.tobytes() for r in rows], numbers
+    unique, first, numbers = np.unique(codes[at], return_index=True, return_counts=True)
+    return unique, numbers.astype(np.int64), points[at[first][:, None] + np.arange(order)].astype("<u4")
 
 
-def merge(parts: list) -> tuple[list[bytes], list[int]]:
-    sums: dict[bytes, int] = {}
-    for codes, numbers in parts:
-        for code, n in zip(codes, numbers.tolist()):
-            sums[code] = sums.get(code, 0) + n
-    return list(sums), list(sums.values())
+def add_counts(one: tuple, two: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes, first, place = np.unique(np.concatenate([one[0], two[0]]), return_index=True, return_inverse=True)
+    numbers = np.bincount(place, np.concatenate([one[1], two[1]])).astype(np.int64)
+    return codes, numbers, np.concatenate([one[2], two[2]])[first]
 
 
 class Models:
