@@ -105,6 +105,14 @@ def apart(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     return renamed, lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
-def unsigned(values: pa.Array) -> np.ndarray:
-    """Longs as unsigned 64-bit words."""
-    return values.to_numpy(zero_copy_only=False).view(np.uint64)
+def hashed_sample(df: DataFrame, key: str, size: int) -> DataFrame:
+    """At most `size` rows: those whose hashed key comes first.
+
+    Rows that cannot be among them are left out before any are brought together, so that what one
+    task gathers does not grow with the number of tasks.
+    """
+    total = df.count()
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    if total > 4 * size:
+        df = df.where(place < int((1 << 31) * size / total))
+    return df.orderBy(place, key).limit(size)

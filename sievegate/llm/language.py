@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegate.llm.common import map_batches
+from sievegate.llm.common import hashed_sample, map_batches
 from sievegate.session import shared_dir
 
 ORDER = 4
@@ -297,8 +297,8 @@ def rejection_limits(
     From the right predictions of a bounded sample: the `sample` documents with a language whose
     hashed doc_id comes first.
     """
-    drawn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).orderBy(
-        F.xxhash64("doc_id"), "doc_id").limit(sample).select("lang", "text")
+    drawn = hashed_sample(
+        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), "doc_id", sample).select("lang", "text")
     values: dict[str, list[float]] = {}
     for r in identify(drawn, model).where("lang_pred = lang").select("lang", "cross_entropy").collect():
         values.setdefault(r["lang"], []).append(r["cross_entropy"])

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegate.llm.common import apart, as_bytes, map_batches
+from sievegate.llm.common import apart, as_bytes, hashed_sample, map_batches
 
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 #: Closes every window. Both dictionaries end with it, so that each window compresses at all and a
@@ -174,8 +174,7 @@ def fit(
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy(
         "doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    drawn = [known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-             for kind in (0, 1)]
+    drawn = [hashed_sample(known.where(F.col("toxic") == kind), "doc_id", per_class) for kind in (0, 1)]
     sample = drawn[0].unionByName(drawn[1])
     rows = docs.where(F.octet_length("text") <= longest).select("doc_id", as_bytes().alias("text")).join(
         F.broadcast(sample), "doc_id").collect()  # at most 2 * per_class ids
