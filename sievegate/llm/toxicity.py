@@ -17,7 +17,7 @@ WORD = re.compile(rb"[a-z\x80-\xff]+")
 #: few bytes saved on the word before it are not lost to a stored block.
 GUARD = b"0123456789ABCDEFGHIJKLMNOPQRSTUV"
 LEVEL = 13
-ORDINARY_BYTES, TOXIC_BYTES = 16384, 2048
+ORDINARY_BYTES, TOXIC_BYTES = 32768, 2048
 #: Thresholds of a window: bytes saved, and the share saved of what the window costs by itself.
 STEPS = (2, 3, 4, 6)
 SHARES = (0.3, 0.4, 0.5, 0.6)
@@ -42,12 +42,13 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
 class Distance:
     """Bytes that a window saves with the toxic dictionary against the ordinary one.
 
-    The toxic dictionary has the ordinary one behind its own part, at the same distance from the
-    window, so that ordinary words cost the same with both.
+    The toxic dictionary is the ordinary one and then its own part, next to the window; where that
+    part is, the ordinary one has bytes that no window has. So ordinary words are as far away, and
+    cost the same, with both.
     """
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.compressors = [self.compressor(ordinary), self.compressor(toxic + ordinary)]
+        self.compressors = [self.compressor(ordinary + bytes(len(toxic))), self.compressor(ordinary + toxic)]
         self.memo: dict[bytes, tuple[int, float]] = {}
         self.empty = len(self.compressors[0].compress(b" " + GUARD))
 
