@@ -55,11 +55,12 @@ NO_ANSWER_PHRASES = [
 ]
 
 # --- Fixed values: stopwords ---------------------------------------------------
-STOPWORDS = (
-    "là của và có được này đó các cho với tại về như từ trong khi để theo những "
-    "một đã sẽ thì mà hay hoặc nên vì do bị bởi ra vào lên xuống đang rất cũng "
-    "không còn nữa nào gì ai sao bao nhiêu"
-).split()
+STOPWORDS = [
+    "là", "của", "và", "có", "được", "này", "đó", "các", "cho", "với", "tại", "về", "như", "từ",
+    "trong", "khi", "để", "theo", "những", "một", "đã", "sẽ", "thì", "mà", "hay", "hoặc", "nên",
+    "vì", "do", "bị", "bởi", "ra", "vào", "lên", "xuống", "đang", "rất", "cũng", "không", "còn",
+    "nữa", "nào", "gì", "ai", "sao", "bao", "nhiêu",
+]
 
 # --- Fixed values: heading words, page header words ----------------------------
 HEADING_CAPITALS = "A-ZÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚĂĐĨŨƠƯ"
@@ -69,7 +70,7 @@ HEADING_NOT_ENDING = [
     "có", "về", "với", "tại", "cho", "từ", "như", "này",
 ]
 PAGE_HEADER_LINE = (
-    r"^.{0,150}?(CÔNG TY TNHH TMGROUP\s*\|\s*Quy định|Mã tài liệu|Lần ban hành|Ngày hiệu lực).*$"
+    r"^.{0,150}?(CÔNG TY TNHH [^|\n]{1,80}\|\s*Quy định|Mã tài liệu|Lần ban hành|Ngày hiệu lực).*$"
 )
 PAGE_HEADER_WORDS = r"CÔNG TY TNHH|Mã tài liệu|Lần ban hành|Ngày hiệu lực"
 
@@ -186,7 +187,7 @@ FLAG_WEIGHTS = {
 # --- Fixed values: sensitivity patterns by level -------------------------------------
 LEVEL_PATTERNS = {
     4: [
-        r"hồ\s+sơ\s+nhân\s+viên", r"TMG-EMP-\d+", r"mức\s+lương\s+cơ\s+bản",
+        r"hồ\s+sơ\s+nhân\s+viên", r"[A-Z]{2,5}-EMP-\d+", r"mức\s+lương\s+cơ\s+bản",
         r"tổng\s+thu\s+nhập", r"lịch\s+sử\s+kỷ\s+luật", r"đánh\s+giá\s+nhân\s+viên",
         r"người\s+liên\s+hệ\s+khẩn\s+cấp", r"bảng\s+lương",
         r"thông\s+tin\s+tài\s+khoản\s+ngân\s+hàng",
@@ -206,6 +207,7 @@ LEVEL_PATTERNS = {
 LEVEL_NAMES = ["Public", "Internal", "Confidential", "Restricted", "TopSecret"]
 ROLE_LEVEL_RANKS = {"public": 1, "internal": 2, "confidential": 3, "restricted": 4, "top_secret": 5}
 EDIT_ROLES = ["department_manager", "director", "admin_auditor"]
+ALL_JOB_ROLES = ["director", "admin_auditor"]
 
 # --- Fixed values: intent keywords in match order, risk weights ------------------------
 INTENT_KEYWORDS = [

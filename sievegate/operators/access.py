@@ -81,16 +81,25 @@ def invalid_assignments(held: DataFrame, positions: DataFrame, nodes: DataFrame)
     )
 
 
-def profiles(held: DataFrame, nodes: DataFrame, types: DataFrame) -> DataFrame:
-    """user_id, max_clearance (at least 1), is_corp_member, n_positions."""
+def profiles(
+    held: DataFrame, nodes: DataFrame, types: DataFrame, users: DataFrame | None = None,
+) -> DataFrame:
+    """user_id, max_clearance (at least 1), is_corp_member, n_positions.
+
+    With `users`, those without a position are there too: level 1, no member, no positions.
+    """
     typed = held.join(nodes.select("oui_id", "ou_id"), "oui_id").join(
         types.select("ou_id", "parent_ou_id"), "ou_id"
     )
-    return typed.groupBy("user_id").agg(
+    found = typed.groupBy("user_id").agg(
         F.greatest(F.lit(1), F.max("clearance")).alias("max_clearance"),
         F.bool_or(F.col("parent_ou_id").isNull()).alias("is_corp_member"),
         F.count("*").alias("n_positions"),
     )
+    if users is None:
+        return found
+    return users.select("user_id").distinct().join(found, "user_id", "left").na.fill(
+        {"max_clearance": 1, "is_corp_member": False, "n_positions": 0})
 
 
 def corp_members(held: DataFrame, nodes: DataFrame, types: DataFrame) -> DataFrame:
@@ -144,8 +153,8 @@ def document_tuples(
     )
 
 
-def user_subjects(held: DataFrame, pairs: DataFrame) -> DataFrame:
-    """user_id, subject: every subject a user counts as."""
+def group_subjects(held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """user_id, subject: every subject a user counts as through a position."""
     own = held.select("user_id", "oui_id").distinct()
     below = own.select("user_id", F.col("oui_id").alias("ancestor_id")).join(
         pairs, "ancestor_id").select("user_id", "oui_id")
@@ -153,8 +162,13 @@ def user_subjects(held: DataFrame, pairs: DataFrame) -> DataFrame:
     ancestor = own.unionByName(below).select(
         "user_id", F.concat(F.lit("oui:"), "oui_id", F.lit("#ancestor_member")).alias("subject")
     ).distinct()
-    person = own.select("user_id", F.concat(F.lit("user:"), F.col("user_id")).alias("subject")).distinct()
-    return member.unionByName(ancestor).unionByName(person)
+    return member.unionByName(ancestor)
+
+
+def user_subjects(users: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """user_id, subject: every subject a user counts as, the user in person included."""
+    person = users.select("user_id", F.concat(F.lit("user:"), F.col("user_id")).alias("subject")).distinct()
+    return group_subjects(held, pairs).unionByName(person)
 
 
 def viewable_documents(
@@ -165,17 +179,53 @@ def viewable_documents(
     Subjects near the root stand in a tuple of every document, so tuples are
     salted by document before they meet the users of that subject.
     """
-    wanted = held.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    subjects = user_subjects(wanted, pairs).join(
-        clearance.select("user_id", "max_clearance"), "user_id")
+    asking = users.select("user_id").distinct()
+    subjects = user_subjects(asking, held.join(asking, "user_id", "left_semi"), pairs).join(
+        clearance.select("user_id", "max_clearance"), "user_id", "left")
+    level = F.coalesce("max_clearance", F.lit(1))
     met = salted_join(tuples, subjects, ["subject"], "doc_id").where(
-        (F.col("relation") == "owner") | (F.col("max_clearance") >= F.col("required_clearance"))
+        (F.col("relation") == "owner") | (level >= F.col("required_clearance"))
     )
     return met.groupBy("user_id", "doc_id").agg(
         F.bool_or(F.col("relation").isin("owner", "editor")).alias("can_edit")
     )
 
 
+def view_summary(
+    users: DataFrame, docs: DataFrame, tuples: DataFrame, held: DataFrame, pairs: DataFrame, clearance: DataFrame,
+) -> DataFrame:
+    """user_id, n_view, n_edit, id_sum for every user who may view a document.
+
+    Users with the same subjects and level see the same documents but for their own. Documents are
+    listed once per such class, of which the organisation has few, and never per user; own
+    documents are added where the class does not see or edit them.
+    """
+    subjects = group_subjects(held.join(users.select("user_id"), "user_id", "left_semi"), pairs)
+    marks = subjects.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("subject")).alias("_x"),
+        F.sum(F.xxhash64("subject").cast("decimal(38,0)")).alias("_s"))
+    marked = marks.join(clearance.select("user_id", "max_clearance"), "user_id", "left").withColumn(
+        "max_clearance", F.coalesce("max_clearance", F.lit(1)))
+    same = ["_n", "_x", "_s", "max_clearance"]
+    named = marked.groupBy(*same).agg(F.min("user_id").alias("class_id"))
+    classes = marked.join(named, same).select("user_id", "class_id")
+    heads = named.select(F.col("class_id").alias("user_id"))
+    seen = viewable_documents(heads, tuples.where("relation <> 'owner'"), held, pairs, clearance)
+    sums = seen.groupBy(F.col("user_id").alias("class_id")).agg(
+        F.count(F.lit(1)).alias("n_view"), F.count_if("can_edit").alias("n_edit"), F.sum("doc_id").alias("id_sum"))
+    own = docs.select(F.col("owner_user_id").alias("user_id"), "doc_id").join(
+        users.select("user_id"), "user_id", "left_semi").join(classes, "user_id", "left")
+    theirs = seen.select(F.col("user_id").alias("class_id"), "doc_id", "can_edit")
+    more = own.join(theirs, ["class_id", "doc_id"], "left").groupBy("user_id").agg(
+        F.count_if(F.col("can_edit").isNull()).alias("_view"),
+        F.count_if(~F.coalesce("can_edit", F.lit(False))).alias("_edit"),
+        F.sum(F.when(F.col("can_edit").isNull(), F.col("doc_id")).otherwise(0)).alias("_ids"))
+    total = lambda a, b: (F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))).alias(a)
+    return users.select("user_id").join(classes.join(sums, "class_id"), "user_id", "left").join(
+        more, "user_id", "left").select(
+        "user_id", total("n_view", "_view"), total("n_edit", "_edit"), total("id_sum", "_ids")).where("n_view > 0")
+
+
 def access_of_pairs(
     wanted: DataFrame, docs: DataFrame, doc_nodes: DataFrame, nodes: DataFrame, edges: DataFrame,
     pairs: DataFrame, held: DataFrame, clearance: DataFrame,
@@ -191,7 +241,7 @@ def access_of_pairs(
         docs.join(ids, "doc_id", "left_semi"), doc_nodes.join(ids, "doc_id", "left_semi"),
         nodes, edges, pairs,
     )
-    subjects = user_subjects(
+    subjects = group_subjects(
         held.join(asked.select("user_id").distinct(), "user_id", "left_semi"), pairs)
     owner = asked.join(docs.select("doc_id", "owner_user_id"), "doc_id").where(
         "user_id = owner_user_id").select("user_id", "doc_id", F.lit("owner").alias("relation"))
@@ -425,14 +475,23 @@ def update_decision(
     )
 
 
-def visible_jobs(jobs: DataFrame, viewers: DataFrame, corp: DataFrame) -> DataFrame:
-    """user_id, job_id: own jobs, and every job for top members.
+def visible_jobs(jobs: DataFrame, viewers: DataFrame) -> DataFrame:
+    """user_id, job_id: own jobs of the viewers; who sees all jobs needs no list."""
+    return jobs.join(viewers.select(F.col("user_id").alias("created_by")), "created_by").select(
+        F.col("created_by").alias("user_id"), "job_id")
 
-    Own jobs meet on the creator. The all-jobs part pairs each job with the top
-    members among the viewers, which is its true output.
+
+def job_summary(jobs: DataFrame, viewers: DataFrame, corp: DataFrame, users: DataFrame) -> DataFrame:
+    """user_id, n_jobs, id_sum of the jobs a viewer sees: own ones, or all.
+
+    Top members and elevated roles see every job; they get the totals of one aggregate, so that
+    no job is paired with a viewer.
     """
-    own = jobs.join(viewers.select(F.col("user_id").alias("created_by")), "created_by").select(
-        F.col("created_by").alias("user_id"), "job_id")
-    every = viewers.join(corp, "user_id", "left_semi").select("user_id", F.lit("all").alias("_scope"))
-    seen = salted_join(jobs.select("job_id", F.lit("all").alias("_scope")), every, ["_scope"], "job_id")
-    return own.unionByName(seen.select("user_id", "job_id")).distinct()
+    elevated = users.where(F.col("role").isin(fixed.ALL_JOB_ROLES)).select("user_id")
+    every = viewers.join(corp.select("user_id").unionByName(elevated).distinct(), "user_id", "left_semi")
+    totals = jobs.agg(F.count("job_id").alias("n_jobs"), F.sum("job_id").alias("id_sum"))
+    own = visible_jobs(jobs, viewers.join(every, "user_id", "left_anti")).groupBy("user_id").agg(
+        F.count("job_id").alias("n_jobs"), F.sum("job_id").alias("id_sum"))
+    whole = every.select(
+        "user_id", totals.select("n_jobs").scalar().alias("n_jobs"), totals.select("id_sum").scalar().alias("id_sum"))
+    return own.unionByName(whole.where("n_jobs > 0"))

@@ -17,9 +17,13 @@ from sievegate.operators.common import top_k, unnest
 TIME = ("created_s", "message_id")
 
 
-def first_messages(messages: DataFrame, limit: int = fixed.HISTORY_MESSAGES) -> DataFrame:
-    """The first `limit` messages of every conversation."""
-    return top_k(messages, ["conv_id"], [F.col(c).asc() for c in TIME], limit, "position")
+def first_messages(messages: DataFrame, limit: int | None = None) -> DataFrame:
+    """The first `limit` messages of every conversation, or all, with their position."""
+    order = [F.col(c).asc() for c in TIME]
+    if limit is None:
+        place = F.row_number().over(Window.partitionBy("conv_id").orderBy(*order))
+        return messages.withColumn("position", place - 1)
+    return top_k(messages, ["conv_id"], order, limit, "position")
 
 
 def finished(rows: DataFrame) -> DataFrame:
@@ -29,7 +33,7 @@ def finished(rows: DataFrame) -> DataFrame:
         & F.col("content").isNotNull() & (F.col("content") != ""))
 
 
-def qa_pairs(messages: DataFrame, limit: int = fixed.HISTORY_MESSAGES) -> DataFrame:
+def qa_pairs(messages: DataFrame, limit: int | None = None) -> DataFrame:
     """conv_id, pair_no, question, answer with ids: a user row directly followed by a usable reply."""
     rows = first_messages(messages, limit)
     order = Window.partitionBy("conv_id").orderBy("position")
@@ -127,12 +131,12 @@ def recent_turns(messages: DataFrame, k: int = 3) -> DataFrame:
         F.coalesce("question", F.lit("")).alias("question"), F.col("content").alias("answer"))
 
 
-def flat_messages(messages: DataFrame, sources: DataFrame, limit: int = 1_000) -> DataFrame:
+def flat_messages(messages: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
     """User messages with their last finished reply and its sources.
 
     `sources`: message_id, source_no, document_id.
     """
-    asked = top_k(messages.where("role = 'user'"), ["conv_id"], [F.col(c).asc() for c in TIME], limit)
+    asked = first_messages(messages.where("role = 'user'"), limit).withColumnRenamed("position", "rank")
     replies = finished(messages).where("parent_message_id IS NOT NULL").groupBy(
         F.col("parent_message_id").alias("message_id")
     ).agg(F.max_by(F.struct("message_id", "content", "status"), F.struct(*TIME)).alias("r"))

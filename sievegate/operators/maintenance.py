@@ -90,7 +90,7 @@ def outbox_rows(actions: DataFrame, event_type: str, payload: list[str]) -> Data
         F.sha2(F.concat_ws("|", F.lit(event_type), F.col("resource_id").cast("string"),
                            F.col("created_at").cast("string")), 256).alias("event_id"),
         F.lit(event_type).alias("event_type"), F.to_json(F.struct(*payload)).alias("payload"),
-        F.lit("queued").alias("status"), "created_at")
+        F.lit("queued").alias("status"), "resource_id", "created_at")
 
 
 def merged_settings(defaults: DataFrame, stored: DataFrame) -> DataFrame:

@@ -207,13 +207,25 @@ def _best_of_block(sims: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.n
     return out
 
 
-def _scan_block(query_ids, matrix, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Local k best per query over all batches of one task."""
+def _by_length(vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and unit rows of the vectors of each length."""
+    lengths = np.array([len(v) for v in vectors])
+    return {
+        int(n): (at, _unit_rows([vectors[i] for i in at], int(n)))
+        for n in np.unique(lengths) for at in [np.flatnonzero(lengths == n)]}
+
+
+def _scan_block(query_ids, groups, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Local k best per query over all batches of one task; vectors of unequal length score 0."""
     best = None
     for batch in batches:
         if batch.empty:
             continue
-        sims = np.round(matrix @ _unit_rows(batch["embedding"].to_numpy(), matrix.shape[1]).T, 12)
+        sims = np.zeros((len(query_ids), len(batch)))
+        for length, (at, rows) in _by_length(batch["embedding"].to_numpy()).items():
+            if length in groups:
+                asked, matrix = groups[length]
+                sims[np.ix_(asked, at)] = np.round(matrix @ rows.T, 12)
         ids = batch["chunk_id"].to_numpy()
         rows = _best_of_block(sims, np.broadcast_to(ids, sims.shape), k)
         if best is not None:
@@ -253,15 +265,14 @@ def cosine_top(
             return slim.limit(0).select(
                 F.lit(None).cast(schema["query_id"].dataType).alias("query_id"), "chunk_id",
                 F.lit(0).alias("rank"), F.lit(0.0).alias("similarity"), F.lit(0.0).alias("distance"))
-        width = max(len(r["embedding"]) for r in rows)
         sent = slim.sparkSession.sparkContext.broadcast(
             (np.array([r["query_id"] for r in rows]),
-             _unit_rows([r["embedding"] for r in rows], width))
+             _by_length([r["embedding"] for r in rows]))
         )
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
-            yield from _scan_block(ids, matrix, k, batches)
+            ids, groups = sent.value
+            yield from _scan_block(ids, groups, k, batches)
 
         local = slim.mapInPandas(scan, schema)
     else:
@@ -287,10 +298,8 @@ def _grid_scan(slim: DataFrame, wanted: DataFrame, k: int, block: int, schema) -
         empty = pd.DataFrame({n: [] for n in schema.names})
         if queries.empty or chunks.empty:
             return empty
-        width = int(queries["embedding"].map(len).max())
         found = list(_scan_block(
-            queries["query_id"].to_numpy(), _unit_rows(queries["embedding"].to_numpy(), width),
-            k, iter([chunks])))
+            queries["query_id"].to_numpy(), _by_length(queries["embedding"].to_numpy()), k, iter([chunks])))
         return found[0] if found else empty
 
     return query_side.groupBy("_slice", "_salt").cogroup(
@@ -454,7 +463,8 @@ def gate_results(
 ) -> DataFrame:
     """Access flags per result row; rows the user may not even see as restricted go.
 
-    `index`: chunk_id, document_id, chunk_sensitivity; `clearance`: user_id,
+    `index`: chunk_id, document_id, chunk_sensitivity, sensitivity (the document's, for chunks
+    without a level of their own: null or 0); `clearance`: user_id,
     max_clearance; `viewable` and `grants`: user_id, document_id. Everything is
     keyed by the few candidate rows, never by all users and documents.
     """
@@ -468,7 +478,8 @@ def gate_results(
               ["user_id", "document_id"], "left")
     )
     level = F.coalesce("max_clearance", F.lit(1))
-    above = F.coalesce("chunk_sensitivity", F.lit(1)) > level
+    own = F.coalesce(F.nullif("chunk_sensitivity", F.lit(0)), F.nullif("sensitivity", F.lit(0)), F.lit(1))
+    above = own > level
     allowed, granted = F.col("_view").isNotNull(), F.col("_grant").isNotNull()
     flagged = keyed.where(allowed | ~above).withColumn(
         "chunk_blurred", allowed & above & ~granted

@@ -28,9 +28,9 @@ def org_closure(spark, sf):
     return ac.closure(fx.node_parents(spark, sf))
 
 
-@register("org_direct_parents", sql("node_parents", "SELECT oui_id, parent_oui_id FROM node_parents WHERE oui_id LIKE 'n%'"))
+@register("org_direct_parents", sql("node_parents", "SELECT oui_id, parent_oui_id FROM node_parents"))
 def org_direct_parents(spark, sf):
-    return fx.node_parents(spark, sf).where("oui_id LIKE 'n%'")
+    return fx.node_parents(spark, sf)
 
 
 @register("org_roots", sql("roots", "SELECT oui_id, root_id FROM roots"))
@@ -70,15 +70,16 @@ def assignment_validity(spark, sf):
 
 
 @register("user_profiles", sql("users user_positions nodes org_types positions", """
-SELECT u.user_id, u.status, greatest(1, coalesce(max(p.clearance), 1)) max_clearance, coalesce(bool_or(t.parent_ou_id IS NULL), false) is_corp_member,
-  string_agg(p.oui_id || ':' || n.oui_name || ':' || t.ou_name || ':' || p.clearance, '|' ORDER BY p.oui_id) places
-FROM users u JOIN user_positions p USING (user_id) JOIN nodes n USING (oui_id) JOIN org_types t USING (ou_id) GROUP BY u.user_id, u.status"""))
+SELECT u.user_id, u.status, greatest(1, coalesce(max(p.clearance), 1)) max_clearance, coalesce(bool_or(t.ou_id IS NOT NULL AND t.parent_ou_id IS NULL), false) is_corp_member,
+  coalesce(string_agg(p.oui_id || ':' || n.oui_name || ':' || t.ou_name || ':' || p.clearance, '|' ORDER BY p.oui_id), '') places
+FROM users u LEFT JOIN user_positions p USING (user_id) LEFT JOIN nodes n USING (oui_id) LEFT JOIN org_types t USING (ou_id) GROUP BY u.user_id, u.status"""))
 def user_profiles(spark, sf):
     held, nodes, types = fx.user_positions(spark, sf), fx.nodes(spark, sf), fx.org_types(spark, sf)
     named = held.join(nodes, "oui_id").join(types, "ou_id").groupBy("user_id").agg(
         F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "oui_id", "oui_name", "ou_name", "clearance"))), "|").alias("places"))
-    return fx.users(spark, sf).join(ac.profiles(held, nodes, types), "user_id").join(named, "user_id").select(
-        "user_id", "status", "max_clearance", "is_corp_member", "places")
+    users = fx.users(spark, sf)
+    return users.join(ac.profiles(held, nodes, types, users), "user_id").join(named, "user_id", "left").select(
+        "user_id", "status", "max_clearance", "is_corp_member", F.coalesce("places", F.lit("")).alias("places"))
 
 
 @register("corp_members", sql("user_positions nodes org_types", """
@@ -113,9 +114,7 @@ def document_tuples(spark, sf):
 SELECT user_id, count(*) n_view, count_if(can_edit) n_edit, sum(doc_id)::BIGINT id_sum FROM viewable GROUP BY 1"""))
 def viewable_documents(spark, sf):
     held, nodes, pairs, profile = access_inputs(spark, sf)
-    view = ac.viewable_documents(fx.users(spark, sf), all_tuples(spark, sf, pairs, nodes), held, pairs, profile)
-    return view.groupBy("user_id").agg(
-        F.count("*").alias("n_view"), F.count_if("can_edit").alias("n_edit"), F.sum("doc_id").alias("id_sum"))
+    return ac.view_summary(fx.users(spark, sf), fx.documents(spark, sf), all_tuples(spark, sf, pairs, nodes), held, pairs, profile)
 
 
 CTE["asked"] = ([], "SELECT DISTINCT user_id, event_id % (SELECT count(*) FROM documents) doc_id FROM events")
@@ -133,16 +132,14 @@ def view_edit_flags(spark, sf):
                               fx.node_parents(spark, sf), pairs, held, profile)
 
 
-@register("viewable_or_owned", sql("docs viewable", """
-SELECT owner_user_id user_id, count(*) n_documents FROM (SELECT DISTINCT u.user_id owner_user_id, d.doc_id FROM (SELECT DISTINCT user_id FROM viewable WHERE user_id < 20) u
-  JOIN docs d ON d.owner_user_id = u.user_id OR (u.user_id, d.doc_id) IN (SELECT (user_id, doc_id) FROM viewable)) GROUP BY 1"""))
+@register("viewable_or_owned", sql("docs users viewable", """
+SELECT user_id, count(*) n_documents FROM (SELECT user_id, doc_id FROM viewable UNION
+  SELECT owner_user_id, doc_id FROM docs JOIN users ON user_id = owner_user_id) GROUP BY 1"""))
 def viewable_or_owned(spark, sf):
-    users = fx.users(spark, sf).where("user_id < 20")
     held, nodes, pairs, profile = access_inputs(spark, sf)
-    docs = fx.documents(spark, sf)
-    view = ac.viewable_documents(users, all_tuples(spark, sf, pairs, nodes), held, pairs, profile).select("user_id", "doc_id")
-    owned = docs.select(F.col("owner_user_id").alias("user_id"), "doc_id").join(users, "user_id", "left_semi")
-    return view.unionByName(owned).distinct().groupBy("user_id").agg(F.count("*").alias("n_documents"))
+    return ac.view_summary(
+        fx.users(spark, sf), fx.documents(spark, sf), all_tuples(spark, sf, pairs, nodes), held, pairs, profile,
+    ).select("user_id", F.col("n_view").alias("n_documents"))
 
 
 @register("tuple_resync", sql("tuples docs", """
@@ -190,9 +187,9 @@ def latest_requests(spark, sf):
     return ac.latest_requests(fx.access_requests(spark, sf)).select("user_id", "doc_id", "request_id", "status")
 
 
-@register("request_status_map", sql("requests", "SELECT user_id, doc_id, arg_max(status, (created_at, request_id)) status FROM requests WHERE doc_id % 2 = 0 GROUP BY ALL"))
+@register("request_status_map", sql("requests", "SELECT user_id, doc_id, arg_max(status, (created_at, request_id)) status FROM requests GROUP BY ALL"))
 def request_status_map(spark, sf):
-    return fx.access_requests(spark, sf).where("doc_id % 2 = 0").groupBy("user_id", "doc_id").agg(
+    return fx.access_requests(spark, sf).groupBy("user_id", "doc_id").agg(
         F.max_by("status", F.struct("created_at", "request_id")).alias("status"))
 
 
@@ -298,14 +295,13 @@ def role_decisions(spark, sf):
                            F.col("role"), F.col("cl"), F.col("lv")).alias("update_reason"))
 
 
-@register("job_visibility", sql("jobs profiles", """
-SELECT v.user_id, count(*) n_jobs, sum(job_id)::BIGINT id_sum FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 60) v LEFT JOIN profiles p USING (user_id)
-JOIN jobs j ON j.created_by = v.user_id OR is_corp_member GROUP BY 1"""))
+@register("job_visibility", sql("jobs profiles users", """
+SELECT v.user_id, count(*) n_jobs, sum(job_id)::BIGINT id_sum FROM (SELECT DISTINCT user_id FROM events) v LEFT JOIN profiles p USING (user_id) LEFT JOIN users u USING (user_id)
+JOIN jobs j ON j.created_by = v.user_id OR is_corp_member OR u.role IN ('director', 'admin_auditor') GROUP BY 1"""))
 def job_visibility(spark, sf):
-    viewers = table(spark, sf, "events").where("user_id < 60").select("user_id").distinct()
+    viewers = table(spark, sf, "events").select("user_id").distinct()
     corp = ac.corp_members(fx.user_positions(spark, sf), fx.nodes(spark, sf), fx.org_types(spark, sf))
-    return ac.visible_jobs(fx.jobs(spark, sf), viewers, corp).groupBy("user_id").agg(
-        F.count("*").alias("n_jobs"), F.sum("job_id").alias("id_sum"))
+    return ac.job_summary(fx.jobs(spark, sf), viewers, corp, fx.users(spark, sf))
 
 
 @register("request_listing", sql("requests docs users", """SELECT request_id, title, user_name requester, r.status FROM requests r LEFT JOIN docs d USING (doc_id) LEFT JOIN users u USING (user_id)"""))

@@ -328,7 +328,7 @@ def metadata_probe(spark, sf):
 
 def external_lists(spark, sf):
     """Chunk lists as an outside model would write them, some broken in known ways."""
-    head = F.replace(F.replace(F.substring("text", 1, 400), F.lit('"'), F.lit("'")), F.lit("\n"), F.lit(" "))
+    head = F.replace(F.replace(F.col("text"), F.lit('"'), F.lit("'")), F.lit("\n"), F.lit(" "))
     item = F.concat(F.lit('{"section_heading": "H'), F.col("doc_id") % 5, F.lit('", "chunk_text": "'), head,
                     F.lit('", "sensitivity": '), F.col("doc_id") % 7, F.lit("}"))
     two = F.concat(item, F.lit(', {"section_heading": "", "chunk_text": "tail '), F.col("doc_id"), F.lit('"}'))
@@ -344,7 +344,7 @@ def external_lists(spark, sf):
 
 
 EXTERNAL_SQL = f"""WITH d AS (SELECT doc_id, (1 + doc_id % 5)::INT s, doc_id % 7 raw,
-    trim(replace(replace(text[1:400], '"', ''''), {NL}, ' '), {BLANKS}) t FROM documents WHERE doc_id % 6 <> 5),
+    trim(replace(replace(text, '"', ''''), {NL}, ' '), {BLANKS}) t FROM documents WHERE doc_id % 6 <> 5),
 i AS (SELECT doc_id, 0 k, t, 'H' || (doc_id % 5) h, CASE WHEN raw = 0 THEN s ELSE raw END r, s FROM d
   UNION ALL SELECT doc_id, 1, 'tail ' || doc_id, '', s, s FROM d),
 w AS (SELECT *, {sql_words('t')} ws FROM i WHERE t <> ''),
@@ -393,14 +393,14 @@ def pipe_cells(spark, sf):
     rows = text_table(spark, sf, "documents").where(F.col("text").contains("|")).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("row_no", "line"))
     cells = rows.select("doc_id", "row_no", F.posexplode(F.split("line", r"\|")).alias("k", "cell"))
-    return cells.where("k < 6").selectExpr(
+    return cells.selectExpr(
         "doc_id", "row_no", "k * 2 + (row_no + k) % 2 col_no", "CASE WHEN k = 2 THEN ' ' ELSE cell END cell")
 
 
 @register("table_markdown", f"""
 WITH RECURSIVE r AS (SELECT doc_id, unnest(ls) line, generate_subscripts(ls, 1) - 1 row_no FROM (SELECT doc_id, string_split(text, {NL}) ls FROM documents WHERE contains(text, '|'))),
 k AS (SELECT doc_id, row_no, unnest(cs) cell, generate_subscripts(cs, 1) - 1 k FROM (SELECT doc_id, row_no, string_split(line, '|') cs FROM r)),
-c AS (SELECT doc_id, row_no, k * 2 + (row_no + k) % 2 col_no, CASE WHEN k = 2 THEN '' ELSE trim(cell, {BLANKS}) END cell FROM k WHERE k < 6),
+c AS (SELECT doc_id, row_no, k * 2 + (row_no + k) % 2 col_no, CASE WHEN k = 2 THEN '' ELSE trim(cell, {BLANKS}) END cell FROM k),
 cols AS (SELECT doc_id, col_no, row_number() OVER (PARTITION BY doc_id ORDER BY col_no) n FROM (SELECT DISTINCT doc_id, col_no FROM c WHERE cell <> '')),
 f AS (SELECT doc_id, row_no, n, cell FROM c JOIN cols USING (doc_id, col_no) WHERE cell <> ''),
 clash AS (SELECT DISTINCT a.doc_id, a.n FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.row_no = b.row_no AND b.n = a.n + 1 AND a.cell <> b.cell),

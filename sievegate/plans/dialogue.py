@@ -38,7 +38,7 @@ CTE["pairs"] = (["threads"], CTE["pairs"][1].replace("FROM messages", "FROM thre
 
 
 def pairs(spark, sf):
-    return cv.qa_pairs(long_messages(spark, sf))
+    return cv.qa_pairs(long_messages(spark, sf), fixed.HISTORY_MESSAGES)
 
 
 @register("qa_pairs", sql("pairs", "SELECT conv_id, pair_no, user_message_id, reply_id, sha256(question || '|' || answer) pair_hash FROM pairs"))
@@ -136,11 +136,11 @@ def cited_answers(spark, sf):
     rows = fx.messages(spark, sf).where("role = 'assistant'")
     marks = "CASE WHEN turn % 4 = 3 THEN '' ELSE concat(' [', conv_id % 4 + 1, '] x [', turn % 3 + 2, '] y [', conv_id % 4 + 1, '] z [9]') END"
     return rows.selectExpr(
-        "message_id answer_id", f"concat(substring(content, 1, 30), {marks}) answer",
+        "message_id answer_id", f"concat(content, {marks}) answer",
         "transform(sequence(0, 4), k -> named_struct('document_id', (conv_id + k) % 3, 'restricted', (turn + k) % 2 = 0)) sources")
 
 
-CTE["cited"] = (["messages"], """SELECT message_id, conv_id, turn, content[1:30] head, turn % 4 = 3 plain, list_sort(list_distinct([conv_id % 4 + 1, turn % 3 + 2, 9])) ns FROM messages WHERE role = 'assistant'""")
+CTE["cited"] = (["messages"], """SELECT message_id, conv_id, turn, content head, turn % 4 = 3 plain, list_sort(list_distinct([conv_id % 4 + 1, turn % 3 + 2, 9])) ns FROM messages WHERE role = 'assistant'""")
 
 
 @register("citations", sql("cited", """SELECT message_id answer_id, sha256(CASE WHEN plain THEN head ELSE head || ' [' || list_position(ns, conv_id % 4 + 1) || '] x [' || list_position(ns, turn % 3 + 2) || '] y ['
@@ -201,11 +201,11 @@ def markdown_wrap(spark, sf):
 def retrieved(spark, sf):
     chunks, vecs, queries, qv = search_parts(spark, sf)
     found = rt.search(chunks, vecs, queries, qv)
-    texts = chunks.select("chunk_id", F.substring("chunk_text", 1, 500).alias("document_text"))
+    texts = chunks.select("chunk_id", F.col("chunk_text").alias("document_text"))
     return found.join(texts, "chunk_id").withColumn("page", F.when(F.col("chunk_id") % 2 == 0, F.col("chunk_id") % 9))
 
 
-CTE["top5"] = (["scored", "chunk_index"], """SELECT s.*, chunk_text[1:500] document_text, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) - 1 rank FROM scored) s
+CTE["top5"] = (["scored", "chunk_index"], """SELECT s.*, chunk_text document_text, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) - 1 rank FROM scored) s
    JOIN chunk_index USING (chunk_id) WHERE rank < 5""")
 
 

@@ -146,7 +146,8 @@ def user_positions(spark: SparkSession, sf: str) -> DataFrame:
         "c_custkey user_id", "concat('r', c_nationkey % 5) oui_id", "1 ou_id",
         "cast(1 + (c_custkey + 2) % 5 as int) clearance",
     )
-    return first.unionByName(second).selectExpr(
+    # One in 37 users has no position at all.
+    return first.unionByName(second).where("user_id % 37 <> 5").selectExpr(
         "user_id", "oui_id", "concat(ou_id, '-', clearance) position_id", "clearance"
     )
 
@@ -155,7 +156,7 @@ CTE["user_positions"] = ([], """SELECT user_id, oui_id, ou_id || '-' || clearanc
     SELECT c_custkey user_id, CASE WHEN c_custkey % 50 = 0 THEN 'c' ELSE 'n' || c_nationkey END oui_id,
       CASE WHEN c_custkey % 50 = 0 THEN 0 ELSE 2 END ou_id, (1 + c_custkey % 5)::INT clearance FROM customer
     UNION ALL SELECT c_custkey, 'r' || (c_nationkey % 5), 1, (1 + (c_custkey + 2) % 5)::INT
-    FROM customer WHERE c_custkey % 6 = 1 AND c_custkey % 50 <> 0)""")
+    FROM customer WHERE c_custkey % 6 = 1 AND c_custkey % 50 <> 0) WHERE user_id % 37 <> 5""")
 
 CTE["profiles"] = (["user_positions", "nodes", "org_types"], """SELECT up.user_id,
     greatest(1, max(clearance)) max_clearance, bool_or(t.parent_ou_id IS NULL) is_corp_member

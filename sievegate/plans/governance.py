@@ -260,9 +260,9 @@ def _sql_intent(t: str) -> str:
 
 
 @register("intent_classes", f"""SELECT conv_id, turn, {_sql_intent('text')} intent, {_sql_intent('text')} = 'lookup' AND regexp_matches(text, {quote(fixed.AMBIGUOUS_QUERY)}, 'i') ambiguous FROM
-  (SELECT conv_id, turn, text || (['', ' xuất csv', ' so sánh', ' list all', ' ý chính', ' thống kê'])[turn % 6 + 1] AS text FROM conversations WHERE role = 'user')""")
+  (SELECT conv_id, turn, text || (['', ' xuất csv', ' so sánh', ' list all', ' ý chính', ' thống kê'])[turn % 6 + 1] AS text FROM conversations)""")
 def intent_classes(spark, sf):
-    rows = table(spark, sf, "conversations").where("role = 'user'").withColumn("text", F.expr(
+    rows = table(spark, sf, "conversations").withColumn("text", F.expr(
         "concat(text, element_at(array('', ' xuất csv', ' so sánh', ' list all', ' ý chính', ' thống kê'), cast(turn % 6 as int) + 1))"))
     return rows.select("conv_id", "turn", po.intent_class(F.col("text")).alias("intent"), po.is_ambiguous(F.col("text")).alias("ambiguous"))
 
@@ -502,15 +502,15 @@ def rule_actions(spark, sf):
         "derived", po.derived_action(F.col("violation"), F.col("detail")))
 
 
-@register("suggested_types", f"""WITH w AS (SELECT conv_id, turn, list_filter(string_split(lower(text), ' '), lambda x: x <> '')[1:15] ws FROM conversations),
-x AS (SELECT conv_id, p0 + turn * 100 pos, replace(trim(w, {BLANKS}), ' ', '_') et FROM (SELECT conv_id, turn, unnest(ws) w, generate_subscripts(ws, 1) - 1 p0 FROM w)),
+@register("suggested_types", f"""WITH w AS (SELECT conv_id, turn, list_filter(string_split(lower(text), ' '), lambda x: x <> '') ws FROM conversations),
+x AS (SELECT conv_id, p0 + turn * 1000000 pos, replace(trim(w, {BLANKS}), ' ', '_') et FROM (SELECT conv_id, turn, unnest(ws) w, generate_subscripts(ws, 1) - 1 p0 FROM w)),
 d AS (SELECT conv_id, et, min(pos) pos FROM x WHERE et <> '' GROUP BY ALL)
 SELECT conv_id, et entity_type, CASE WHEN pos % 2 = 0 THEN 'has_pii' ELSE 'has_hr,has_legal' END flags FROM d QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos) <= 10""")
 def suggested_types(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.slice(F.filter(F.split(F.lower("text"), " "), lambda x: x != ""), 1, 15).alias("w"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.filter(F.split(F.lower("text"), " "), lambda x: x != "").alias("w"))
     raw = unnest(rows, ["conv_id", "turn"], "w", "entity_type").select(
-        "conv_id", (F.col("_pos") + F.col("turn") * 100).alias("position"), tx.strip("entity_type").alias("entity_type"),
-        F.expr("CASE WHEN (_pos + turn * 100) % 2 = 0 THEN array('x', 'has_pii') ELSE array('has_hr', 'zz', 'has_legal') END").alias("flags"))
+        "conv_id", (F.col("_pos") + F.col("turn") * 1000000).alias("position"), tx.strip("entity_type").alias("entity_type"),
+        F.expr("CASE WHEN (_pos + turn * 1000000) % 2 = 0 THEN array('x', 'has_pii') ELSE array('has_hr', 'zz', 'has_legal') END").alias("flags"))
     return po.suggested_types(raw, "conv_id").select("conv_id", "entity_type", F.array_join("flags", ",").alias("flags"))
 
 

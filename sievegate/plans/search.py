@@ -188,11 +188,11 @@ def hybrid_search(spark, sf):
 
 def mail_chunks(spark, sf):
     """Conversation turns as the mail collection, owned by a user."""
-    return table(spark, sf, "conversations").where("role = 'user'").selectExpr(
+    return table(spark, sf, "conversations").selectExpr(
         "concat('m', conv_id, '-', turn) chunk_id", "conv_id % 150 owner_id", "text chunk_text")
 
 
-CTE["mail_index"] = ([], "SELECT 'm' || conv_id || '-' || turn chunk_id, conv_id % 150 owner_id, text AS chunk_text FROM conversations WHERE role = 'user'")
+CTE["mail_index"] = ([], "SELECT 'm' || conv_id || '-' || turn chunk_id, conv_id % 150 owner_id, text AS chunk_text FROM conversations")
 
 
 @register("collection_switch", sql("mail_index queries scored", f"""
@@ -246,7 +246,8 @@ def gated_rows(spark, sf, queries, scored):
     shared_dir(spark)
     scored = scored.checkpoint()  # a few rows per query, used by several joins
     held, nodes, pairs, profile = access_inputs(spark, sf)
-    index = chunk_index(spark, sf).select("chunk_id", "document_id", "chunk_sensitivity")
+    index = chunk_index(spark, sf).select("chunk_id", "document_id", "sensitivity", F.expr(
+        "CASE chunk_id % 7 WHEN 3 THEN NULL WHEN 5 THEN 0 ELSE chunk_sensitivity END").alias("chunk_sensitivity"))
     wanted = scored.join(queries, "query_id").join(index, "chunk_id").select(
         "user_id", F.col("document_id").alias("doc_id"))
     view = ac.access_of_pairs(wanted, fx.documents(spark, sf), fx.document_nodes(spark, sf), nodes,
@@ -267,20 +268,20 @@ CTE["tuples"] = (["docs", "doc_nodes", "roots", "closure", "node_parents"], """S
    UNION ALL SELECT doc_id, 'oui:' || root_id || '#member', 'editor', least(sensitivity, 5) FROM docs JOIN doc_nodes USING (doc_id) JOIN roots USING (oui_id)
    UNION ALL SELECT doc_id, 'oui:' || c.oui_id || '#member', 'viewer', 1 FROM docs JOIN doc_nodes d USING (doc_id) JOIN closure c ON c.ancestor_id = d.oui_id WHERE sensitivity = 1)
    GROUP BY ALL""")
-CTE["subjects"] = (["user_positions", "closure"], """SELECT DISTINCT user_id, subject FROM (
+CTE["subjects"] = (["user_positions", "closure", "users"], """SELECT DISTINCT user_id, subject FROM (
    SELECT user_id, 'oui:' || oui_id || '#member' subject FROM user_positions
    UNION ALL SELECT user_id, 'oui:' || oui_id || '#ancestor_member' FROM user_positions
    UNION ALL SELECT user_id, 'oui:' || c.oui_id || '#ancestor_member' FROM user_positions p JOIN closure c ON c.ancestor_id = p.oui_id
-   UNION ALL SELECT user_id, 'user:' || user_id FROM user_positions)""")
+   UNION ALL SELECT user_id, 'user:' || user_id FROM users)""")
 CTE["viewable"] = (["tuples", "subjects", "profiles"], """SELECT user_id, doc_id, bool_or(relation IN ('owner', 'editor')) can_edit
-   FROM tuples JOIN subjects USING (subject) JOIN profiles USING (user_id)
-   WHERE relation = 'owner' OR max_clearance >= required_clearance GROUP BY user_id, doc_id""")
+   FROM tuples JOIN subjects USING (subject) LEFT JOIN profiles USING (user_id)
+   WHERE relation = 'owner' OR coalesce(max_clearance, 1) >= required_clearance GROUP BY user_id, doc_id""")
 CTE["grants"] = (["requests"], f"SELECT DISTINCT user_id, doc_id FROM requests WHERE status = 'approved' AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}')")
 CTE["gated"] = (["scored", "queries", "chunk_index", "profiles", "viewable", "grants"], """
    SELECT *, NOT allowed OR max(chunk_blurred) OVER (PARTITION BY query_id, document_id) doc_restricted FROM (
    SELECT s.*, q.user_id, i.document_id, i.chunk_sensitivity, v.doc_id IS NOT NULL allowed,
      v.doc_id IS NOT NULL AND i.chunk_sensitivity > coalesce(max_clearance, 1) AND g.doc_id IS NULL chunk_blurred
-   FROM scored s JOIN queries q USING (query_id) JOIN chunk_index i USING (chunk_id) LEFT JOIN profiles p ON p.user_id = q.user_id
+   FROM scored s JOIN queries q USING (query_id) JOIN (SELECT * REPLACE (CASE WHEN chunk_id % 7 IN (3, 5) THEN sensitivity ELSE chunk_sensitivity END AS chunk_sensitivity) FROM chunk_index) i USING (chunk_id) LEFT JOIN profiles p ON p.user_id = q.user_id
    LEFT JOIN viewable v ON v.user_id = q.user_id AND v.doc_id = i.document_id LEFT JOIN grants g ON g.user_id = q.user_id AND g.doc_id = i.document_id
    WHERE v.doc_id IS NOT NULL OR i.chunk_sensitivity <= coalesce(max_clearance, 1))""")
 

@@ -74,12 +74,12 @@ def job_step_times(spark, sf):
 
 
 @register("settings", """WITH w AS (SELECT (['rag.top_k', 'rag.similarity_threshold', 'other', 'query_scope_mode'])[event_id % 4 + 1] setting,
-    (['"branch_only"', '7', '0.25', '1'])[(event_id + 1) % 4 + 1] v, ts, event_id FROM events WHERE event_type = 'error' AND event_id % 4 <> 1),
+    (['"branch_only"', '7', '0.25', '1'])[(event_id + 1) % 4 + 1] v, ts, event_id FROM events WHERE event_id % 4 <> 1),
   l AS (SELECT setting, arg_max(CASE setting WHEN 'rag.top_k' THEN (event_id % 20)::VARCHAR WHEN 'query_scope_mode' THEN 'branch_only' ELSE 'x' END, (ts, event_id)) v FROM w GROUP BY 1)
   SELECT d.setting, coalesce(l.v, d.v) AS "value" FROM (VALUES ('rag.top_k', '5'), ('rag.similarity_threshold', '0.0'), ('rag.hybrid_search', 'true'), ('query_scope_mode', 'full_db')) d(setting, v) LEFT JOIN l ON l.setting = d.setting""")
 def settings(spark, sf):
     """Last write per key over the defaults; unknown keys are refused."""
-    writes = table(spark, sf, "events").where("event_type = 'error' AND event_id % 4 <> 1").selectExpr(
+    writes = table(spark, sf, "events").where("event_id % 4 <> 1").selectExpr(
         "element_at(array('rag.top_k', 'rag.similarity_threshold', 'other', 'query_scope_mode'), cast(event_id % 4 as int) + 1) setting",
         "event_id", "ts").withColumn("value", F.expr(
             "CASE setting WHEN 'rag.top_k' THEN cast(event_id % 20 as string) WHEN 'query_scope_mode' THEN '\"branch_only\"' ELSE 'x' END"))
@@ -116,11 +116,11 @@ def base_rows(spark, sf):
 CTE["base"] = ([], "SELECT 'k' || doc_id chunk_id, doc_id, n_chars amount, 0 batch FROM documents")
 
 
-@register("upsert_latest", sql("base", """WITH u AS (SELECT 'k' || (event_id % 2000) chunk_id, event_id % 2000 doc_id, event_id amount, (event_id // 2000)::INT batch FROM events WHERE event_type = 'purchase')
+@register("upsert_latest", sql("base", """WITH u AS (SELECT 'k' || (event_id % 2000) chunk_id, event_id % 2000 doc_id, event_id amount, (event_id // 2000)::INT batch FROM events)
 SELECT chunk_id, doc_id, amount, batch FROM u QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY batch DESC) = 1
 UNION ALL SELECT * FROM base WHERE chunk_id NOT IN (SELECT chunk_id FROM u)"""))
 def upsert_latest(spark, sf):
-    changes = table(spark, sf, "events").where("event_type = 'purchase'").selectExpr(
+    changes = table(spark, sf, "events").selectExpr(
         "concat('k', event_id % 2000) chunk_id", "event_id % 2000 doc_id", "event_id amount", "cast(event_id div 2000 as int) batch")
     return mt.upsert_latest(base_rows(spark, sf), changes, "chunk_id", [F.col("batch").desc()])
 
@@ -272,7 +272,7 @@ def mail_headers(spark, sf):
 
 
 @register("mail_documents", f"""SELECT page_id message_id, url subject, sha256(trim('Subject: ' || url || chr(10) || 'From: u' || (page_id % 9) || chr(10) || 'Date: ' || chr(10) || chr(10)
-  || coalesce(nullif({MAIL_BODY}, ''), 'snip ' || page_id), {BLANKS})[1:8000]) text_hash FROM pages""")
+  || coalesce(nullif({MAIL_BODY}, ''), 'snip ' || page_id), {BLANKS})) text_hash FROM pages""")
 def mail_documents(spark, sf):
     messages, parts = mail_tables(spark, sf)
     return ml.mail_documents(messages, parts).select("message_id", "subject", F.sha2("text", 256).alias("text_hash"))
@@ -326,8 +326,7 @@ def outbox_pending(spark, sf):
     """Outbox rows appended in two writes, then read as a stream of queued events."""
     path, out = run_dir(spark, "outbox"), run_dir(spark, "outbox-seen")
     actions = table(spark, sf, "events").selectExpr("event_id resource_id", "ts created_at", "event_type kind", "user_id")
-    rows = mt.outbox_rows(actions, "doc.changed", ["kind", "user_id"]).join(
-        actions.select("created_at", "resource_id"), "created_at").withColumn(
+    rows = mt.outbox_rows(actions, "doc.changed", ["kind", "user_id"]).withColumn(
         "status", F.when(F.col("resource_id") % 3 == 0, "sent").otherwise("queued")).drop("resource_id")
     append_log(rows.where("status = 'queued'"), path)
     append_log(rows.where("status = 'sent'"), path)
@@ -336,18 +335,45 @@ def outbox_pending(spark, sf):
     return spark.read.parquet(out).groupBy(F.get_json_object("payload", "$.kind").alias("event_type")).agg(F.count("*").alias("n"))
 
 
-@register("stream_ingest", sql("packed_chunks", "SELECT doc_id, count(*) n_chunks, sum(token_count)::BIGINT n_tokens FROM packed_chunks GROUP BY 1"))
+@register("stream_ingest", sql("packed_chunks", """SELECT doc_id, (1 + doc_id % 3)::INT version_no, count(*) n_chunks, sum(token_count)::BIGINT n_tokens
+FROM packed_chunks GROUP BY 1"""))
 def stream_ingest(spark, sf):
-    """Versions arrive as files, each is chunked once; the result equals the batch."""
+    """Versions arrive as files, some twice, each is chunked once; the latest equal the batch."""
     from sievegate.plans.corpus import heading_text
 
     source, index = run_dir(spark, "versions"), run_dir(spark, "index")
-    docs = heading_text(spark, sf)
-    append_log(docs.where("doc_id % 2 = 0"), source)
-    append_log(docs.where("doc_id % 2 = 1"), source)
+    docs = heading_text(spark, sf).withColumn("last", (1 + F.col("doc_id") % 3).cast("int")).withColumn(
+        "version_no", F.explode(F.sequence(F.lit(1), "last"))).withColumn(
+        "text", F.when(F.col("version_no") == F.col("last"), F.col("text")).otherwise(
+            F.concat(F.lit("Old words. "), "text"))).drop("last")
+    append_log(docs.where("version_no <> 2"), source)
+    append_log(docs.where("version_no >= 2 OR doc_id % 5 = 0"), source)
     stream = ig.read_versions(spark, source, docs.schema, files_per_trigger=8)
     ig.run_available(stream, ig.ingest_once(index, PACK), run_dir(spark, "cp"))
-    return spark.read.parquet(index).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens"))
+    return ig.latest_versions(spark.read.parquet(index)).groupBy("doc_id", "version_no").agg(
+        F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens"))
+
+
+@register("stream_grants", sql("requests", """SELECT request_id, 'revoked' AS state
+FROM requests WHERE status = 'approved' AND request_id % 4 <> 2 AND expires_at < TIMESTAMP '2024-03-01'"""))
+def stream_grants(spark, sf):
+    """Approvals end by event time; one in four was made endless by a later row and does not."""
+    source, out = run_dir(spark, "grant-events"), run_dir(spark, "grant-states")
+    rows = fx.access_requests(spark, sf).select(
+        "request_id", "status", F.col("created_at").cast("timestamp").alias("created_at"),
+        F.col("expires_at").cast("timestamp").alias("expires_at"))
+    longer = rows.where("status = 'approved' AND request_id % 4 = 2").withColumns({
+        "created_at": F.expr("created_at + INTERVAL 1 SECOND"), "expires_at": F.lit(None).cast("timestamp")})
+    clock = rows.limit(1).withColumns({
+        "request_id": F.lit(-1).cast(rows.schema["request_id"].dataType), "status": F.lit("pending"),
+        "created_at": F.expr("TIMESTAMP '2024-03-01 00:00:00'"), "expires_at": F.lit(None).cast("timestamp")})
+    for part in (rows.unionByName(longer).coalesce(4), clock, clock.withColumn("request_id", F.col("request_id") - 1)):
+        append_log(part, source)
+    # All of the first write in one batch, so that the clock's rows come after it.
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    ig.run_available(st.expire_grants(stream), lambda b, i: replace_partitions(
+        b.withColumn("batch_id", F.lit(i)), out, ["batch_id"]), run_dir(spark, "cp"))
+    return spark.read.parquet(out).where("status = 'revoked'").select("request_id", F.col("status").alias("state"))
 
 
 @register("stream_jobs", sql("job_fold", JOB_SQL))

@@ -50,6 +50,9 @@ def expire_grants(requests: DataFrame, late: str = "0 seconds") -> DataFrame:
             return
         rows = pd.concat(list(batches)).sort_values("created_at")
         last = rows.iloc[-1]
+        if state.exists:
+            # A later row replaces what was known: its end alone decides, or nothing does.
+            state.remove()
         yield pd.DataFrame({"request_id": [key[0]], "status": [last["status"]]})
         if last["status"] == "approved" and not pd.isna(last["expires_at"]):
             state.update((str(last["status"]),))

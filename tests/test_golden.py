@@ -54,50 +54,34 @@ def test_markers_and_small_rules(spark):
 
 # ---- chunks --------------------------------------------------------------------
 
-def pack_by_hand(counts, top, lap):
-    out, buf = [], []
-    for i, n in enumerate(counts):
-        if n > top:
-            out += [buf] if buf else []
-            out.append([i])
-            buf = []
-            continue
-        if buf and sum(counts[j] for j in buf) + n > top:
-            out.append(buf)
-            tail = []
-            for j in reversed(buf):
-                if sum(counts[x] for x in tail) + counts[j] > lap:
-                    break
-                tail.insert(0, j)
-            buf = tail
-        buf = buf + [i]
-    return out + ([buf] if buf else [])
-
-
-def test_packing_against_brute_force(spark):
+def test_packing_by_example(spark):
+    """Sentences of 5, 5, 5 and 30 words; at most 12 in a chunk, at most 5 of overlap."""
+    sents = [" ".join(f"s{i}w{j}" for j in range(n - 1)) + f" end{i}." for i, n in enumerate((5, 5, 5, 30))]
+    rows = ch.chunk_documents(one(spark, doc_id=1, text=" ".join(sents)), ch.ChunkSettings(12, 5, 0, "strict"))
+    long = sents[3].split()
+    assert [r["chunk_text"] for r in rows.orderBy("chunk_index").collect()] == [
+        " ".join(sents[0:2]), " ".join(sents[1:3]), " ".join(long[0:12]), " ".join(long[7:19]),
+        " ".join(long[14:26]), " ".join(long[21:30])]
+
+
+def test_packing_keeps_what_it_promises(spark):
+    """Nothing lost, order kept, overlap within its bound; a chunk is over its size by the overlap at most."""
     rng = random.Random(7)
-    texts, expected = [], []
+    texts = []
     for case in range(30):
         counts = [rng.choice([1, 2, 3, 5, 8, 30]) for _ in range(rng.randint(1, 25))]
-        sents = [" ".join(f"w{case}x{i}y{j}" for j in range(n - 1)) + f" e{i}." for i, n in enumerate(counts)]
-        sents = [s.strip() for s in sents]
-        texts.append((case, " ".join(sents)))
-        pieces = []
-        for group in pack_by_hand(counts, 12, 5):
-            if len(group) == 1 and counts[group[0]] > 12:
-                words, start = sents[group[0]].split(), 0
-                while True:
-                    pieces.append(" ".join(words[start:start + 12]))
-                    if start + 12 >= len(words):
-                        break
-                    start += 7
-            else:
-                pieces.append(" ".join(sents[i] for i in group))
-        expected.append(pieces)
+        texts.append((case, " ".join(
+            " ".join([*(f"w{case}x{i}y{j}" for j in range(n - 1)), f"e{i}."]) for i, n in enumerate(counts))))
     docs = spark.createDataFrame(texts, "doc_id int, text string")
     rows = ch.chunk_documents(docs, ch.ChunkSettings(12, 5, 0, "strict")).orderBy("doc_id", "chunk_index").collect()
-    got = [[r["chunk_text"] for r in rows if r["doc_id"] == case] for case in range(30)]
-    assert got == expected
+    for case, text in texts:
+        chunks = [r["chunk_text"].split() for r in rows if r["doc_id"] == case]
+        assert all(0 < len(c) <= 12 + 5 for c in chunks)
+        joined = list(chunks[0])
+        for last, chunk in zip(chunks, chunks[1:]):
+            shared = max(k for k in range(6) if k == 0 or last[-k:] == chunk[:k])
+            joined += chunk[shared:]
+        assert joined == text.split()
 
 
 def test_small_piece_joins_and_keeps_hash(spark):
@@ -270,3 +254,27 @@ def test_citations_by_hand(spark):
 def test_level_names(spark):
     df = one(spark, t="Restricted")
     assert column(df, sc.level_rank("t")) == 3 and column(df, sc.level_rank(F.lit("odd"))) == 0
+
+
+def test_vectors_of_other_lengths_score_zero(spark):
+    """One odd vector on either side changes nothing for the others, in both paths."""
+    vectors = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [-1.0, 0.0])], "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0])], "query_id long, embedding array<double>")
+    for block in (10, 1):
+        rows = rt.cosine_top(vectors, queries, 4, block).collect()
+        got = {(r["query_id"], r["chunk_id"]): r["similarity"] for r in rows}
+        assert got == {(1, 1): 1.0, (1, 2): 0.0, (1, 3): 0.0, (1, 4): -1.0,
+                       (2, 3): 1.0, (2, 1): 0.0, (2, 2): 0.0, (2, 4): 0.0}
+
+
+def test_gate_falls_back_to_the_level_of_the_document(spark):
+    scored = spark.createDataFrame([(1, c, 1.0) for c in (1, 2, 3, 4)], "query_id long, chunk_id long, rrf_score double")
+    index = spark.createDataFrame(
+        [(1, 10, None, 5), (2, 20, 0, 5), (3, 30, None, None), (4, 40, 2, 1)],
+        "chunk_id long, document_id long, chunk_sensitivity int, sensitivity int")
+    queries = spark.createDataFrame([(1, 7)], "query_id long, user_id long")
+    levels = spark.createDataFrame([(7, 1)], "user_id long, max_clearance int")
+    none = spark.createDataFrame([], "user_id long, document_id long")
+    rows = rt.gate_results(scored, index, queries, levels, none, none).collect()
+    assert [r["chunk_id"] for r in rows] == [3]

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from sievegate.operators import access as ac
+from sievegate.operators.chunking import ChunkSettings
 from sievegate.plans.upkeep import run_dir
 from sievegate.sources.sinks import append_log, replace_partitions
 from sievegate.streaming import ingest as ig
@@ -29,6 +30,40 @@ def test_grants_expire_by_event_time(spark):
     assert got == {r["request_id"] for r in batch.where("status = 'revoked'").collect()} == {1}
 
 
+def test_extended_and_shortened_grants(spark):
+    """The last row of a request decides: made endless, made shorter, taken back before its end."""
+    day = timedelta(days=1)
+    rows = [[(1, "approved", T0, T0 + 5 * day), (2, "approved", T0, T0 + 30 * day), (3, "approved", T0, T0 + 5 * day)],
+            [(1, "approved", T0 + day, None), (2, "approved", T0 + day, T0 + 4 * day), (3, "rejected", T0 + day, None)],
+            [(9, "pending", T0 + 8 * day, None)], [(10, "pending", T0 + 9 * day, None)]]
+    schema = "request_id long, status string, created_at timestamp, expires_at timestamp"
+    source, out = run_dir(spark, "longer"), run_dir(spark, "longer-out")
+    for part in rows:
+        append_log(spark.createDataFrame(part, schema).coalesce(1), source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    ig.run_available(st.expire_grants(stream), lambda b, i: append_log(b.withColumn("b", F.lit(i)), out), run_dir(spark, "cp"))
+    assert [r["request_id"] for r in spark.read.parquet(out).where("status = 'revoked'").collect()] == [2]
+
+
+def test_versions_do_not_depend_on_batches(spark):
+    """Two versions of a document in one micro-batch or in two, one delivered twice: the same rows."""
+    schema = "doc_id long, version_no int, text string"
+    files = [[(1, 1, "First text here."), (2, 1, "Other.")], [(1, 2, "Second text. It is longer.")],
+             [(1, 1, "First text here."), (2, 1, "Other.")]]
+    source = run_dir(spark, "texts")
+    for part in files:
+        append_log(spark.createDataFrame(part, schema).coalesce(1), source)
+    results = []
+    for per_trigger in (1, 16):
+        index = run_dir(spark, "texts-index")
+        stream = ig.read_versions(spark, source, spark.read.parquet(source).schema, per_trigger)
+        ig.run_available(stream, ig.ingest_once(index, ChunkSettings(50, 0, 0)), run_dir(spark, "cp"))
+        rows = spark.read.parquet(index)
+        results.append(sorted((r["doc_id"], r["version_no"], r["chunk_text"]) for r in rows.collect()))
+        assert {(r["doc_id"], r["version_no"]) for r in ig.latest_versions(rows).collect()} == {(1, 2), (2, 1)}
+    assert results[0] == results[1] and len(results[0]) == 3
+
+
 def test_repeated_requests_are_dropped(spark):
     schema = "idempotency_key string, created_at timestamp"
     source, out = run_dir(spark, "requests"), run_dir(spark, "requests-out")
