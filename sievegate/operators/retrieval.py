@@ -28,35 +28,43 @@ SHARD_ROWS = 20_000              # chunk vectors per grid cell
 # ---- lexical ----------------------------------------------------------------------
 
 def token_rows(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
-    """chunk_id, _t: tokens of every chunk, laid out by chunk id.
+    """chunk_id, _t: tokens of every chunk, where the chunk lies.
 
-    The one shuffle of the lexical search. Postings, statistics and vocabulary all
-    start from this same exchange, so texts are tokenised and moved once.
+    No token array is shuffled: counts are summed in the task that reads the text, and
+    only sums per token, or the tokens somebody asks for, move.
     """
-    return chunks.select("chunk_id", tx.search_tokens(text_col).alias("_t")).repartition("chunk_id")
+    return chunks.select("chunk_id", tx.search_tokens(text_col).alias("_t"))
 
 
-def token_table(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
-    """chunk_id, dl, token, tf; counting per chunk stays on the layout by chunk id."""
-    return (
-        unnest(token_rows(chunks, text_col), ["chunk_id", F.size("_t").alias("dl")], "_t", "token")
-        .groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
-    )
+def token_table(chunks: DataFrame, text_col: str = "chunk_text", wanted: DataFrame | None = None) -> DataFrame:
+    """chunk_id, dl, token, tf, of all tokens or of the `wanted` ones (token; to be broadcast)."""
+    rows = unnest(token_rows(chunks, text_col), ["chunk_id", F.size("_t").alias("dl")], "_t", "token")
+    if wanted is not None:
+        rows = rows.join(F.broadcast(wanted), "token", "left_semi")
+    return rows.groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
+
+
+def vocabulary(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
+    """token, df, total; the empty token stands for the corpus: chunks with tokens, and all tokens.
+
+    One pass over the texts, summed before the shuffle, serves both statistics.
+    """
+    tokens = F.concat(F.array_distinct("_t"), F.array(F.lit("")))
+    rows = unnest(token_rows(chunks, text_col), [F.size("_t").alias("dl")], tokens, "token")
+    return rows.groupBy("token").agg(F.count_if(F.col("dl") > 0).alias("df"), F.sum("dl").alias("total"))
 
 
 def corpus_stats(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
     """One row: n_chunks and avg_length over chunks with tokens."""
-    sizes = token_rows(chunks, text_col).select(F.size("_t").alias("dl"))
-    return sizes.agg(
-        F.count_if(F.col("dl") > 0).alias("n_chunks"),
-        (F.sum("dl") / F.count_if(F.col("dl") > 0)).alias("avg_length"),
+    return vocabulary(chunks, text_col).where("token = ''").agg(
+        F.coalesce(F.sum("df"), F.lit(0)).alias("n_chunks"),
+        (F.sum("total") / F.nullif(F.sum("df"), F.lit(0))).alias("avg_length"),
     )
 
 
 def token_idf(chunks: DataFrame, n_chunks: Column, text_col: str = "chunk_text") -> DataFrame:
     """token, df, idf; a negative idf becomes a share of the mean over the vocabulary."""
-    tokens = unnest(token_rows(chunks, text_col), [], F.array_distinct("_t"), "token")
-    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    df = vocabulary(chunks, text_col).where("token <> ''").select("token", "df")
     raw = df.withColumn(
         "idf", F.log(n_chunks - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     )
@@ -88,7 +96,7 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, text_col: str = "chunk_te
     weighted = idf.join(F.broadcast(terms) if few else terms, "token").select(
         "query_id", "token", (F.col("idf") * F.col("times")).alias("weight")
     )
-    tokens = token_table(chunks, text_col)
+    tokens = token_table(chunks, text_col, terms.select("token").distinct() if few else None)
     hits = (
         tokens.join(F.broadcast(weighted), "token") if few
         else salted_join(tokens, weighted, ["token"], "chunk_id")
