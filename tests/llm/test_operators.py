@@ -368,3 +368,26 @@ def test_stages_keep_columns_as_given(spark, odd):
     assert Counter(r["doc_id"] for r in left.collect()) == Counter({1: 1, 2: 1, 3: 1, 4: 1, None: 2, 5: 1, 7: 1, 8: 1})
     mixed = ordered_mix(odd, columns=odd.columns)
     assert mixed.columns == odd.columns and {r["score"] for r in mixed.collect()} == {"x"}
+
+
+def test_what_is_collected_is_bounded():
+    """Every collect of the operators, and what bounds it."""
+    import pathlib
+
+    import sievegate.llm
+
+    bounded = {
+        "decontamination.py": 1,  # benchmark items, in blocks
+        "language.py": 3,  # language names; the model's runs per language; a sample's entropies
+        "licenses.py": 1,  # one row per licence word
+        "quality.py": 1,  # patterns of votes
+        "toxicity.py": 2,  # two label counts; the sample's texts
+        "urls.py": 1,  # split points
+    }
+    seen = {}
+    for path in pathlib.Path(sievegate.llm.__file__).parent.glob("*.py"):
+        body = path.read_text()
+        assert "localCheckpoint" not in body and "crossJoin" not in body and "toPandas(" not in body
+        if n := len(re.findall(r"\.(?:collect|toLocalIterator|toArrow)\(\)", body)):
+            seen[path.name] = n
+    assert seen == bounded
