@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from sievegate.llm.decontamination import decontaminate  # noqa: E402
 from sievegate.llm.mixing import ordered_mix  # noqa: E402
 from sievegate.llm.queries import SHARDS  # noqa: E402
-from sievegate.llm.sharding import shard_documents  # noqa: E402
+from sievegate.llm.sharding import shard_documents, with_place  # noqa: E402
 from sievegate.llm.similar import one_of_each  # noqa: E402
 from sievegate.llm.toxicity import fit, remove_toxic  # noqa: E402
 from sievegate.session import shared_dir  # noqa: E402
@@ -44,8 +44,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard, and their slot in it."""
-    return shard_documents(docs, SHARDS)
+    """Documents with their shard, and their slot in it, in training order."""
+    return shard_documents(with_place(docs, "_place"), SHARDS, place="_place")
 
 
 STAGES = [

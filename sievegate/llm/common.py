@@ -72,7 +72,7 @@ def map_batches(
 
 
 def running_start(
-    df: DataFrame, group: list[str], order: list[str], amount: Column, blocks: int, name: str,
+    df: DataFrame, group: list[str | Column], order: list[str], amount: Column, blocks: int, name: str,
     extra: Callable[[DataFrame], DataFrame] | None = None, block: Column | None = None,
 ) -> DataFrame:
     """Sum of `amount` over the rows before each row of its group, in an order set by a hash.
@@ -86,7 +86,7 @@ def running_start(
     hashed = F.pmod(F.xxhash64(*order), F.lit(blocks)) if block is None else block
     # The group as a struct is never null, so that the window and the join share one exchange.
     keyed = df.withColumns({
-        "_group": F.struct(*group), "_block": hashed.cast("int"), "_amount": amount.cast("long")})
+        "_group": F.struct(*group), "_block": hashed.cast("long"), "_amount": amount.cast("long")})
     sums = keyed.groupBy("_group", "_block").agg(F.sum("_amount").alias("_sum"))
     before = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_block_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))

@@ -98,6 +98,27 @@ def mix_documents(
     }).drop("_copies", "_start", "_key", "slope")
 
 
+def in_training_order(mixed: DataFrame) -> DataFrame:
+    """Mixed documents, range-sorted by the time of their first reading; those not taken come last."""
+    first = F.try_element_at("positions", F.lit(1))
+    return mixed.orderBy(first.asc_nulls_last(), "doc_id")
+
+
+def rank_readings(mixed: DataFrame, columns: list[str], blocks: int = 4096) -> DataFrame:
+    """One row per reading: `columns`, reading (from 1), position and rank (from 1) in ordered_mix's order.
+
+    Positions lie between 0 and 1 and are dense everywhere there, so equal intervals of them are the
+    blocks that are sorted, each by a task of its own. Readings of the same position and doc_id, which
+    nothing tells apart, have consecutive ranks.
+    """
+    readings = mixed.select(*columns, F.posexplode("positions").alias("_at", "position")).withColumn(
+        "reading", F.col("_at") + 1).drop("_at")
+    ranked = running_start(
+        readings, [F.lit(0).alias("_all")], ["position", "doc_id"], F.lit(1), blocks, "_before",
+        block=F.floor(F.col("position") * blocks))
+    return ranked.select(*columns, "reading", "position", (F.col("_before") + 1).alias("rank"))
+
+
 def ordered_mix(docs: DataFrame, columns: list[str] | None = None, **settings) -> DataFrame:
     """One row per reading, sorted by position over the whole output.
 

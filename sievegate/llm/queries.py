@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievegate.llm.decontamination import mark_benchmark
 from sievegate.llm.language import identify, rejection_limits, train, training_rows
 from sievegate.llm.licenses import scan_licenses
-from sievegate.llm.mixing import mix_documents
+from sievegate.llm.mixing import in_training_order, mix_documents, rank_readings
 from sievegate.llm.quality import judge_quality
 from sievegate.llm.secrets import scan_secrets
 from sievegate.llm.sharding import shard_documents
@@ -123,8 +123,43 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
     ELSE 0 END AS BIGINT) AS taken
 FROM placed""")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    return mix_documents(texts(spark, folder, "source"), drop=("text",)).select(
-        "doc_id", "size", "source_size", "target", "taken")
+    mixed = mix_documents(texts(spark, folder, "source"), drop=("text",))
+    return in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op9_curriculum_order", r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+  FROM documents),
+keyed AS (SELECT *, md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', CAST(size AS VARCHAR))) AS k FROM sized),
+totals AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM keyed GROUP BY source),
+weighed AS (
+  SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3]::DOUBLE AS w,
+    row_number() OVER (ORDER BY source ASC NULLS LAST) AS rk, 2.0::DOUBLE * source_size AS cap FROM totals),
+levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))
+    / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+  FROM weighed
+  WINDOW before AS (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (SELECT source, source_size, least(cap, w * max(level) OVER ()) AS target,
+  [-0.6, 0.0, 0.6][1 + (rk - 1) % 3]::DOUBLE AS slope FROM levels),
+placed AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.slope,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY k
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2 AS middle
+  FROM keyed d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+readings AS (
+  SELECT p.doc_id, p.slope, r.reading, ((r.reading - 1) * p.source_size + p.middle) / p.target AS part
+  FROM placed p, range(1, 4) r(reading)
+  WHERE p.size > 0 AND (r.reading - 1) * p.source_size + p.middle <= p.target),
+timed AS (
+  SELECT doc_id, reading,
+    2 * part / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * part)) AS position FROM readings)
+SELECT doc_id, CAST(reading AS INT) AS reading, position,
+  row_number() OVER (ORDER BY position, doc_id ASC NULLS FIRST) AS rank
+FROM timed""")
+def op9_order(spark: SparkSession, folder: str) -> DataFrame:
+    return rank_readings(mix_documents(texts(spark, folder, "source"), drop=("text",)), ["doc_id"])
 
 
 @register("op10_kneser_ney_language")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +41,14 @@ def jump_shard(key: Column, shards: int) -> Column:
 
 def shard_documents(
     docs: DataFrame, shards: int, key: str = "doc_id", grown: int | None = None, blocks: int = 1024,
+    place: str | None = None,
 ) -> DataFrame:
     """Add law, shard, grown_shard (with `grown` shards, one more by default) and slot.
 
     The shard depends on the key and the shard count alone: equal keys, repeated rows and null
     keys (one key of their own) stay together. Slots count from 0 without gaps in each shard, in
-    an order of hashed blocks, then key, text checksum and size. Null texts count as empty. An
+    an order of hashed blocks, then key, text checksum and size; with `place`, in the order of this
+    column of different longs, which is left out of the result. Null texts count as empty. An
     empty table gives an empty result. Columns named like the added ones are replaced.
     """
     added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
@@ -59,4 +62,21 @@ def shard_documents(
         "shard": jump_shard(F.col(key), shards),
         "grown_shard": jump_shard(F.col(key), grown or shards + 1),
     })
-    return running_start(placed, ["shard"], [key, "text_crc32", "size"], F.lit(1), blocks, "slot")
+    if place is None:
+        return running_start(placed, ["shard"], [key, "text_crc32", "size"], F.lit(1), blocks, "slot")
+    return running_start(
+        placed, ["shard"], [place], F.lit(1), blocks, "slot", block=F.shiftright(place, 13)).drop(place)
+
+
+def with_place(docs: DataFrame, name: str) -> DataFrame:
+    """Add the place of each row in the order in which the rows were written.
+
+    Of files this is the number of the part file, then the row in it, however the scan deals the files
+    to tasks: a range sort writes its partitions as part files in order. Rows that come from no file
+    have the order of their partitions.
+    """
+    try:
+        part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+        return docs.select("*", (F.shiftleft(part, 40) + F.col("_metadata.row_index")).alias(name))
+    except AnalysisException:
+        return docs.withColumn(name, F.monotonically_increasing_id())
