@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ NO_LANGUAGE = "und"
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 SPACE = np.uint32(32)
+PLACES = 1 << 20
 
 
 def letter_table() -> np.ndarray:
@@ -46,10 +48,11 @@ def grams(points: np.ndarray, order: int) -> np.ndarray:
 
 
 def count_grams(docs: DataFrame, order: int, chunk: int = 1_000_000, flush: int = 1_000_000) -> DataFrame:
-    """(lang, gram, n): how often each run of `order` characters occurs over all given texts.
+    """(lang, gram, place, n): how often each run of `order` characters occurs over all given texts.
 
     Tasks count some `chunk` characters of a language at a time, add the counts up, and hand them on
-    before the shuffle whenever they hold more than `flush` different runs.
+    before the shuffle whenever they hold more than `flush` different runs. `place` is that of the
+    run, see `places`.
     """
 
     def run(batches):
@@ -68,8 +71,9 @@ def count_grams(docs: DataFrame, order: int, chunk: int = 1_000_000, flush: int
                 grams_ = pa.FixedSizeBinaryArray.from_buffers(
                     pa.binary(4 * order), len(numbers), [None, pa.py_buffer(runs.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(numbers)), grams_.cast(pa.binary()), pa.array(numbers)],
-                    names=["lang", "gram", "n"])
+                    [pa.array([lang] * len(numbers)), grams_.cast(pa.binary()),
+                     pa.array(places(runs[:, -3], runs[:, -2])), pa.array(numbers)],
+                    names=["lang", "gram", "place", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -87,8 +91,17 @@ def count_grams(docs: DataFrame, order: int, chunk: int = 1_000_000, flush: int
             take_in(lang)
         yield from out()
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram binary, n long").groupBy(
-        "lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(run, "lang string, gram binary, place int, n long").groupBy(
+        "lang", "gram", "place").agg(F.sum("n").alias("n"))
+
+
+def places(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Place, below PLACES, of a run by the two characters before its last.
+
+    All runs after one context, and all that end with the same three characters, are in one place:
+    the counts of the two highest orders need no other.
+    """
+    return (grams_of(np.stack([one, two], axis=1)) % np.uint64(PLACES)).astype(np.int32)
 
 
 def distinct(texts: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,20 +129,27 @@ class Models:
     A row of the highest order holds the interpolated probability of the gram's last character
     after its context in every language. For a gram that no language has, the next lower order
     applies, with the weight that each language leaves to unseen characters after that context.
+    The runs are those of part `part` of `parts` by place; `pairs` has the continuation counts of all
+    runs of two characters, over all parts, from which the two lowest orders and the alphabet come.
     """
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int):
-        self.order, self.langs = order, sorted(counts)
+    def __init__(
+        self, counts: dict[str, tuple[np.ndarray, np.ndarray]], pairs: dict[str, tuple[np.ndarray, np.ndarray]],
+        order: int, part: int = 0, parts: int = 1,
+    ):
+        self.order, self.langs, self.part, self.parts = order, sorted(counts), part, parts
         width = len(self.langs)
-        alphabet = np.unique(np.concatenate([g.ravel() for g, _ in counts.values()]))
+        alphabet = np.unique(np.concatenate([g[:, -1] for g, _ in pairs.values()]))
         self.floor = 1.0 / (len(alphabet) + 1)
         self.keys, self.probabilities, self.contexts, self.left = [None] * (order + 1), {}, {}, {}
         tables = {}
         for n in range(1, order + 1):
             per = []
             for lang in self.langs:
-                runs, numbers = counts[lang]
-                if n < order:
+                runs, numbers = counts[lang] if n > 2 else pairs[lang]
+                if n == 1:
+                    runs, numbers = np.unique(runs[:, 1:], axis=0, return_counts=True)
+                elif 2 < n < order:
                     # Kneser-Ney: a shorter run counts once for each character that stands before it.
                     longer = np.unique(runs[:, order - n - 1:], axis=0)
                     runs, numbers = np.unique(longer[:, 1:], axis=0, return_counts=True)
@@ -162,48 +182,77 @@ class Models:
                           lambda size, rows: grams_of(runs[rows][:, n - size:-1]), n)
 
     def score(self, codes: np.ndarray, ending, context, n: int) -> np.ndarray:
-        keys = self.keys[n]
-        at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-        out = self.probabilities[n][at]
-        missing = np.nonzero(keys[at] != codes)[0]
+        at, hit = find(self.keys[n], codes)
+        out = np.zeros((len(codes), len(self.langs)), dtype=np.float32)
+        out[hit] = self.probabilities[n][at[hit]]
+        missing = np.nonzero(~hit)[0]
         if len(missing):
-            out = out.copy()
-            out[missing] = 0.0
             size = n
             while len(missing):
                 # After a context that no language has, all weight goes to the lower order.
-                before, where = self.contexts[size], context(size, missing)
-                c = np.minimum(np.searchsorted(before, where), len(before) - 1)
-                known = before[c] == where
+                c, known = find(self.contexts[size], context(size, missing))
                 out[missing[known]] += self.left[size][c[known]]
                 size -= 1
                 if not size:
                     out[missing] += np.float32(np.log(self.floor))
                     break
-                codes_now, keys = ending(size, missing), self.keys[size]
-                at = np.minimum(np.searchsorted(keys, codes_now), len(keys) - 1)
-                hit = keys[at] == codes_now
+                at, hit = find(self.keys[size], ending(size, missing))
                 out[missing[hit]] += self.probabilities[size][at[hit]]
                 missing = missing[~hit]
         return out
 
-    def cross_entropy(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Mean bits per character of each text under each language; the texts lie end to end."""
+    def bits(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Bits of each text's runs in this part under each language; the texts lie end to end."""
         n = self.order
-        codes = grams(points, n)
+        at = np.arange(len(points) - n + 1)
+        if self.parts > 1:
+            at = at[places(points[at + n - 3], points[at + n - 2]) % self.parts == self.part]
 
         def ending(size, rows):
-            return grams_of(points[rows[:, None] + np.arange(n - size, n)])
+            return grams_of(points[at[rows][:, None] + np.arange(n - size, n)])
 
         def context(size, rows):
-            return grams_of(points[rows[:, None] + np.arange(n - size, n - 1)])
+            return grams_of(points[at[rows][:, None] + np.arange(n - size, n - 1)])
+
+        logs = self.score(grams(points, n)[at], ending, context, n)
+        sums = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0, dtype=np.float64)])
+        ends = np.append(starts[1:], len(points)) - n + 1
+        return -(sums[np.searchsorted(at, ends)] - sums[np.searchsorted(at, starts)]) / np.log(2)
+
+
+def find(keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each code in the sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(codes), dtype=np.int64), np.zeros(len(codes), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+    return at, keys[at] == codes
+
 
-        logs = self.score(codes, ending, context, n)
-        ends = np.append(starts[1:], len(points))
-        lengths = ends - starts - (n - 1)
-        sums = np.cumsum(logs, axis=0, dtype=np.float64)
-        sums = np.concatenate([np.zeros((1, logs.shape[1])), sums])
-        return -(sums[ends - n + 1] - sums[starts]) / lengths[:, None] / np.log(2)
+class Parts:
+    """The models of all languages, a part of bounded size at a time; all counts stay in Spark."""
+
+    def __init__(self, counted: DataFrame, pairs: dict[str, tuple[np.ndarray, np.ndarray]], order: int, parts: int):
+        self.counted, self.pairs, self.order, self.parts = counted, pairs, order, parts
+
+    def part(self, number: int) -> Models:
+        rows = self.counted.where(F.col("place") % self.parts == number).select("lang", "gram", "n").toArrow()
+        by = {}
+        for lang in self.pairs:
+            own = rows.filter(pc.equal(rows.column("lang"), lang))
+            by[lang] = (code_points(own.column("gram"), self.order), own.column("n").to_numpy())
+        return Models(by, self.pairs, self.order, number, self.parts)
+
+    def lookup(self, runs: np.ndarray, n: int) -> np.ndarray:
+        """Log probabilities of the last characters of runs of n >= 3 characters, all languages."""
+        of = places(runs[:, -3], runs[:, -2]) % self.parts
+        out = np.zeros((len(runs), len(self.pairs)), dtype=np.float32)
+        for number in np.unique(of).tolist():
+            out[of == number] = self.part(number).lookup(runs[of == number], n)
+        return out
+
+
+def code_points(runs: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(runs.to_pylist()), dtype="<u4").reshape(-1, width)
 
 
 def grams_of(runs: np.ndarray) -> np.ndarray:
@@ -219,27 +268,30 @@ def padded(points: np.ndarray, order: int) -> np.ndarray:
     return np.concatenate([np.full(order - 2, SPACE), points]).astype(np.uint32)
 
 
-def train(docs: DataFrame, order: int = ORDER, most: int = 1_000_000) -> Models | None:
+def train(docs: DataFrame, order: int = ORDER, most: int = 1_000_000) -> Parts | None:
     """Models from all texts with a language; null languages and texts teach nothing.
 
-    Counts are over all documents. The model that goes to every task is bounded: of each language
-    the `most` most frequent runs of `order` characters, ties by the run itself. Four characters of
-    an alphabetic language stay below that; what is left out is scored by the lower orders.
+    Counts are over all documents and all of them are in the models. The runs of `order` (3 or more)
+    characters are cut by place into as many parts as keep each part of each language near `most`
+    runs; the driver and the tasks hold one part at a time, and the runs of two characters.
     """
     shared_dir(docs.sparkSession)
     counted = count_grams(
         docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), order).checkpoint()
-    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
-    counts = {}
-    for lang in langs:
-        rows = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(most).toArrow()
-        runs = np.frombuffer(b"".join(rows.column("gram").to_pylist()), dtype="<u4").reshape(-1, order)
-        counts[lang] = (runs, rows.column("n").to_numpy())
-    return Models(counts, order) if counts else None
+    ending = lambda n: F.expr(f"substring(gram, length(gram) - {4 * n - 1}, {4 * n})")
+    triples = counted.groupBy("lang", ending(3).alias("gram")).agg(F.count("*").alias("longer"))
+    rows = triples.groupBy("lang", ending(2).alias("gram")).agg(
+        F.count("*").alias("n"), F.sum("longer").alias("longer")).orderBy("lang", "gram").toArrow()
+    pairs, largest = {}, 0
+    for lang in sorted(pc.unique(rows.column("lang")).to_pylist()):
+        own = rows.filter(pc.equal(rows.column("lang"), lang))
+        pairs[lang] = (code_points(own.column("gram"), 2), own.column("n").to_numpy())
+        largest = max(largest, pc.sum(own.column("longer")).as_py())
+    return Parts(counted, pairs, order, -(-largest // most)) if pairs else None
 
 
 def identify(
-    docs: DataFrame, model: Models | None, limits: dict[str, float] | None = None, block: int = 1_000_000,
+    docs: DataFrame, model: Parts | None, limits: dict[str, float] | None = None, block: int = 1_000_000,
     drop: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add lang_pred, score, cross_entropy and rejected to every document.
@@ -248,45 +300,62 @@ def identify(
     first name. The score, between 0 and 1, is the language's posterior if the text's entropies
     held over 50 characters, or over its own length if that is less. A text is rejected if its entropy exceeds the language's limit, or
     without a letter. Null texts and texts without letters are `und` with score 0. Texts are scored
-    some `block` characters at a time. Columns in `drop` are left out; columns of the added names are replaced.
+    some `block` characters at a time. A model of more parts takes a pass over the texts for each: the
+    bits of a text's runs in the parts before are carried in a column, written between passes.
+    Columns in `drop` are left out; columns of the added names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     limits = limits or {}
+    parts = model.parts if model else 1
+    order, langs = (model.order, sorted(model.pairs)) if model else (ORDER, [])
     added = "lang_pred string, score double, cross_entropy double, rejected boolean"
-
-    def start():
-        letters, models = letter_table(), shared.value
-        order = models.order if models else ORDER
-
-        def some(texts, at, out):
-            starts = np.cumsum([0] + [len(t) for t in texts[:-1]])
-            entropy = models.cross_entropy(np.concatenate(texts), starts)
-            best = np.argmin(entropy, axis=1)
-            evidence = np.minimum([len(t) - order + 1 for t in texts], 50)[:, None]
-            weights = np.exp2(-(entropy - entropy.min(axis=1, keepdims=True)) * evidence)
-            for i, k in enumerate(best.tolist()):
-                lang, bits = models.langs[k], float(entropy[i, k])
-                out[at[i]] = (lang, float(1 / weights[i].sum()), bits, bits > limits.get(lang, np.inf))
-
-        def work(texts):
-            out = [(NO_LANGUAGE, 0.0, None, True)] * len(texts)
-            waiting, at, size = [], [], 0
-            for i, text in enumerate(texts.to_pylist()):
-                points = letters_only(text, letters) if text and models else ()
-                if len(points):
-                    waiting.append(padded(points, order))
-                    at.append(i)
-                    size += len(points)
-                if size >= block:
-                    some(waiting, at, out)
-                    waiting, at, size = [], [], 0
-            if waiting:
-                some(waiting, at, out)
-            return list(zip(*out))
-
-        return work
-
-    return map_batches(docs, [F.col("text").cast("string")], added, start, drop)
+    text, carried = F.col("text").cast("string"), F.lit(None).cast("array<double>")
+
+    def judged(bits, length):
+        entropy = bits / length
+        best = int(np.argmin(entropy))
+        weights = np.exp2(-(entropy - entropy[best]) * min(length, 50))
+        lang, value = langs[best], float(entropy[best])
+        return lang, float(1 / weights.sum()), value, value > limits.get(lang, np.inf)
+
+    def starter(shared, last):
+        def start():
+            letters, models = letter_table(), shared.value
+
+            def some(texts, at, before, out):
+                starts = np.cumsum([0] + [len(t) for t in texts[:-1]])
+                for i, t, bits in zip(at, texts, models.bits(np.concatenate(texts), starts)):
+                    if before[i] is not None:
+                        bits = bits + before[i]
+                    out[i] = judged(bits, len(t) - order + 1) if last else bits.tolist()
+
+            def work(texts, before):
+                before = before.to_pylist()
+                out = [(NO_LANGUAGE, 0.0, None, True) if last else None] * len(texts)
+                waiting, at, size = [], [], 0
+                for i, text in enumerate(texts.to_pylist()):
+                    points = letters_only(text, letters) if text and models else ()
+                    if len(points):
+                        waiting.append(padded(points, order))
+                        at.append(i)
+                        size += len(points)
+                    if size >= block:
+                        some(waiting, at, before, out)
+                        waiting, at, size = [], [], 0
+                if waiting:
+                    some(waiting, at, before, out)
+                return list(zip(*out)) if last else (out,)
+
+            return work
+
+        return start
+
+    for number in range(parts):
+        shared = docs.sparkSession.sparkContext.broadcast(model.part(number) if model else None)
+        if number == parts - 1:
+            return map_batches(docs, [text, carried], added, starter(shared, True), (*drop, "_bits"))
+        docs = map_batches(docs, [text, carried], "_bits array<double>", starter(shared, False)).checkpoint()
+        carried = F.col("_bits")
+        shared.unpersist()
 
 
 def rejection_limits(

@@ -3,8 +3,10 @@
 from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
 
 from sievegate.llm import queries
+from sievegate.llm.language import identify, train
 from sievegate.llm.mixing import mix_documents, ordered_mix
 from sievegate.llm.sharding import with_place
 
@@ -40,3 +42,16 @@ def test_slots_follow_the_training_order(spark, tmp_path):
     for i in order:
         want[shard[i]].append(i)
     assert slots == want
+
+
+def test_language_parts_lose_no_run(spark):
+    """A bound far below the runs of each language changes how many parts there are, and nothing else."""
+    frame = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    whole, cut = train(frame), train(frame, most=1500)
+    assert whole.parts == 1 and 1 < cut.parts < 20
+    one, two = ({r["doc_id"]: r for r in identify(frame, m).collect()} for m in (whole, cut))
+    for i, r in one.items():
+        assert r["lang_pred"] == two[i]["lang_pred"]
+        assert abs(r["cross_entropy"] - two[i]["cross_entropy"]) < 1e-4
+    runs = np.array([[32, 97, b, c] for b in range(97, 123) for c in range(97, 123)], dtype=np.uint32)
+    assert np.allclose(whole.lookup(runs, 4), cut.lookup(runs, 4), atol=1e-4)
