@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegate.llm.common import hashed_sample, map_batches
+from sievegate.llm.common import map_batches
 from sievegate.session import shared_dir
 
 ORDER = 4
@@ -291,20 +291,18 @@ def train(docs: DataFrame, order: int = ORDER, most: int = 1_000_000) -> Parts |
 
 
 def identify(
-    docs: DataFrame, model: Parts | None, limits: dict[str, float] | None = None, block: int = 1_000_000,
-    drop: tuple[str, ...] = (),
+    docs: DataFrame, model: Parts | None, block: int = 1_000_000, drop: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add lang_pred, score, cross_entropy and rejected to every document.
 
     The language with the lowest cross-entropy per character over the whole text; ties go to the
     first name. The score, between 0 and 1, is the language's posterior if the text's entropies
-    held over 50 characters, or over its own length if that is less. A text is rejected if its entropy exceeds the language's limit, or
-    without a letter. Null texts and texts without letters are `und` with score 0. Texts are scored
-    some `block` characters at a time. A model of more parts takes a pass over the texts for each: the
+    held over 50 characters, or over its own length if that is less. A text without a letter is rejected; `reject` adds
+    those above their language's limit. Null texts and texts without letters are `und` with score 0.
+    Texts are scored some `block` characters at a time. A model of more parts takes a pass over the texts for each: the
     bits of a text's runs in the parts before are carried in a column, written between passes.
     Columns in `drop` are left out; columns of the added names are replaced.
     """
-    limits = limits or {}
     parts = model.parts if model else 1
     order, langs = (model.order, sorted(model.pairs)) if model else (ORDER, [])
     added = "lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -315,7 +313,7 @@ def identify(
         best = int(np.argmin(entropy))
         weights = np.exp2(-(entropy - entropy[best]) * min(length, 50))
         lang, value = langs[best], float(entropy[best])
-        return lang, float(1 / weights.sum()), value, value > limits.get(lang, np.inf)
+        return lang, float(1 / weights.sum()), value, False
 
     def starter(shared, last):
         def start():
@@ -358,20 +356,23 @@ def identify(
         shared.unpersist()
 
 
-def rejection_limits(
-    docs: DataFrame, model: Models | None, sample: int = 8_000, quantile: float = 0.999, margin: float = 0.5,
-) -> dict[str, float]:
+def rejection_limits(scored: DataFrame, quantile: float = 0.999, margin: float = 0.5) -> dict[str, float]:
     """Highest cross-entropy that a text of each language may have: a quantile and a margin in bits.
 
-    From the right predictions of a bounded sample: the `sample` documents with a language whose
-    hashed doc_id comes first.
+    Over all right predictions among `scored` (lang, lang_pred and cross_entropy), by a sketch that
+    is off by a hundred-thousandth of a language's rows at most. A language of which no text is
+    predicted right has no limit.
     """
-    drawn = hashed_sample(
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), "doc_id", sample).select("lang", "text")
-    values: dict[str, list[float]] = {}
-    for r in identify(drawn, model).where("lang_pred = lang").select("lang", "cross_entropy").collect():
-        values.setdefault(r["lang"], []).append(r["cross_entropy"])
-    return {lang: float(np.quantile(v, quantile)) + margin for lang, v in values.items()}
+    rows = scored.where("lang_pred = lang").groupBy("lang").agg(
+        F.percentile_approx("cross_entropy", quantile, 100_000).alias("limit"))
+    return {r["lang"]: r["limit"] + margin for r in rows.collect()}
+
+
+def reject(scored: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """Reject also what lies above the limit of its language."""
+    known = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.create_map().cast("map<string,double>")
+    above = F.coalesce(F.col("cross_entropy") > F.try_element_at(known, F.col("lang_pred")), F.lit(False))
+    return scored.withColumn("rejected", F.col("rejected") | above)
 
 
 def training_rows(column: str, parts: int, held: int) -> Column:

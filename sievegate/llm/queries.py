@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievegate.llm.decontamination import mark_benchmark
-from sievegate.llm.language import identify, rejection_limits, train, training_rows
+from sievegate.llm.language import identify, reject, rejection_limits, train, training_rows
 from sievegate.llm.licenses import scan_licenses
 from sievegate.llm.mixing import in_training_order, mix_documents, rank_readings
 from sievegate.llm.quality import judge_quality
@@ -165,11 +165,11 @@ def op9_order(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_kneser_ney_language")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = texts(spark, folder, "lang")
-    teaching = docs.where(training_rows("doc_id", 4, 2))
-    model = train(teaching)
-    limits = rejection_limits(teaching, model)
-    return identify(docs.drop("lang"), model, limits, drop=("text",)).select(
-        "doc_id", (~training_rows("doc_id", 4, 2)).alias("held_out"), "lang_pred", "score", "rejected")
+    teaching = training_rows("doc_id", 4, 2)
+    # Scored once: the limits come from the scores of all teaching documents.
+    scored = identify(docs, train(docs.where(teaching)), drop=("text",)).checkpoint()
+    return reject(scored, rejection_limits(scored.where(teaching))).select(
+        "doc_id", (~teaching).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 @register("op4_compression_toxicity")

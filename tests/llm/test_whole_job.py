@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 
 from sievegate.llm import queries
-from sievegate.llm.language import identify, train
+from sievegate.llm.language import identify, reject, rejection_limits, train
 from sievegate.llm.mixing import mix_documents, ordered_mix
 from sievegate.llm.sharding import with_place
 
@@ -55,3 +55,15 @@ def test_language_parts_lose_no_run(spark):
         assert abs(r["cross_entropy"] - two[i]["cross_entropy"]) < 1e-4
     runs = np.array([[32, 97, b, c] for b in range(97, 123) for c in range(97, 123)], dtype=np.uint32)
     assert np.allclose(whole.lookup(runs, 4), cut.lookup(runs, 4), atol=1e-4)
+
+
+def test_rejection_limits_are_from_all_rows(spark):
+    """A language in 3 of 40,003 rows has a limit of its own, and null ids are no one row."""
+    common = spark.range(40_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'en' AS lang", "id / 10000D AS cross_entropy")
+    rare = spark.range(3).selectExpr("id AS doc_id", "'xx' AS lang", "id + 1D AS cross_entropy")
+    rows = common.unionByName(rare).selectExpr("*", "lang AS lang_pred", "false AS rejected")
+    limits = rejection_limits(rows)
+    assert abs(limits["en"] - 4.496) < 1e-3 and limits["xx"] == 3.5
+    odd = spark.createDataFrame([("xx", 3.6), ("xx", 3.4), ("en", 4.4), ("zz", 9.0), ("und", None)], "lang_pred string, cross_entropy double")
+    assert [r["rejected"] for r in reject(odd.selectExpr("*", "false AS rejected"), limits).collect()] == [True, False, False, False, False]
+    assert not reject(odd.selectExpr("*", "false AS rejected"), {}).where("rejected").count()
