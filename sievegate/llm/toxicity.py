@@ -17,12 +17,14 @@ WORD = re.compile(rb"[a-z\x80-\xff]+")
 #: few bytes saved on the word before it are not lost to a stored block.
 GUARD = b"0123456789ABCDEFGHIJKLMNOPQRSTUV"
 LEVEL = 13
-ORDINARY_BYTES, TOXIC_BYTES = 32768, 2048
+ORDINARY_BYTES = 32768
 #: Thresholds of a window: bytes saved, and the share saved of what the window costs by itself.
 STEPS = (2, 3, 4, 6)
 SHARES = (0.3, 0.4, 0.5, 0.6)
 MEMO = 300_000
 FOLDS = 4
+#: Lengths of the windows of several words.
+PHRASE_WORDS = (2, 3)
 STEM = 6
 
 
@@ -31,6 +33,10 @@ def windows(text: bytes | None) -> list[bytes]:
     return WORD.findall(text.lower()) if text else []
 
 
+def several(words: list[bytes], n: int) -> list[bytes]:
+    return [b" ".join(x) for x in zip(*(words[k:] for k in range(n)))]
+
+
 def dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary; of samples too few to train on, the samples themselves."""
     try:
@@ -47,8 +53,12 @@ class Distance:
     cost the same, with both.
     """
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.compressors = [self.compressor(ordinary + bytes(len(toxic))), self.compressor(ordinary + toxic)]
+    def __init__(self, ordinary: bytes, toxic: bytes, phrases: list[bytes] = ()):
+        self.phrases = frozenset(phrases)
+        # Phrases have a part of their own, so that the ordinary words in them stay ordinary.
+        several = b" " + b" ".join(phrases) + b" "
+        pair = lambda own: [self.compressor(ordinary + bytes(len(own))), self.compressor(ordinary + own)]
+        self.compressors, self.for_phrases = pair(toxic), pair(several) if phrases else None
         self.memo: dict[bytes, tuple[int, float]] = {}
         self.empty = len(self.compressors[0].compress(b" " + GUARD))
 
@@ -66,15 +76,20 @@ class Distance:
         if known is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            ordinary, toxic = (len(c.compress(b" " + window + b" " + GUARD)) for c in self.compressors)
+            ordinary, toxic = (len(c.compress(b" " + window + b" " + GUARD)) for c in (
+                self.for_phrases if b" " in window else self.compressors))
             saved = ordinary - toxic
             known = self.memo[window] = (saved, saved / max(1, ordinary - self.empty))
         return known
 
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """Windows of several words: those that were learned. Others save no more than their words do."""
+        return [p for n in PHRASE_WORDS for p in several(words, n) if p in self.phrases] if self.phrases else []
+
     def features(self, text: bytes | None) -> np.ndarray:
-        """Share and number of the windows above each threshold."""
+        """Share and number of the windows above each threshold: the words, and the phrases learned."""
         words = windows(text)
-        found = [f for f in map(self.saved, words) if f[0] > 0]
+        found = [f for f in map(self.saved, [*words, *self.known(words)]) if f[0] > 0]
         counts = np.array([sum(n >= s for n, _ in found) for s in STEPS]
                           + [sum(r >= s for _, r in found) for s in SHARES], dtype=float)
         share = counts / max(1, len(words))
@@ -99,7 +114,7 @@ def logistic(rows: np.ndarray, labels: np.ndarray, weight: np.ndarray, ridge: fl
 
 
 class ToxicityModel:
-    """Dictionaries and calibrated thresholds; picklable, a few kilobytes."""
+    """Dictionaries and calibrated thresholds; picklable, some 32 KB and the toxic vocabulary."""
 
     def __init__(self, toxic: list[bytes], ordinary: list[bytes], odds: float = 1.0):
         """`odds`: toxic to ordinary texts, as the calibration is to take them."""
@@ -121,36 +136,44 @@ class ToxicityModel:
 
     def train(self, toxic: list[bytes], ordinary: list[bytes]) -> Distance | None:
         """Both dictionaries; None if no word tells the texts apart."""
-        contrast = self.contrast(toxic, ordinary)
-        if not contrast or not ordinary:
+        words, phrases = self.contrast(toxic, ordinary)
+        if not (words or phrases) or not ordinary:
             return None
         self.ordinary = dictionary([b" " + b" ".join(windows(t)) + b" " for t in ordinary], ORDINARY_BYTES)
-        self.toxic = dictionary(contrast, TOXIC_BYTES)
-        return Distance(self.ordinary, self.toxic)
+        self.toxic = b" " + b" ".join(words) + b" "
+        self.phrases = phrases
+        return Distance(self.ordinary, self.toxic, self.phrases)
 
     @staticmethod
-    def contrast(toxic: list[bytes], ordinary: list[bytes], share: float = 0.02, lift: float = 20) -> list[bytes]:
-        """Toxic texts reduced to the words that ordinary texts hardly have.
-
-        A word stays if it, or its first STEM bytes, are in at least `share` of the toxic texts and
-        `lift` times as frequent there as in ordinary ones.
+    def contrast(
+        toxic: list[bytes], ordinary: list[bytes], least: int = 3, lift: float = 20,
+    ) -> tuple[list[bytes], list[bytes]]:
+        """Words and phrases of toxic texts that ordinary texts hardly have, the most frequent last.
+
+        A word teaches if it, or its first STEM bytes, are in at least `least` toxic texts and `lift`
+        times as frequent there as in ordinary ones, a phrase if it is so itself and no word in it is.
+        The toxic dictionary holds each of them once, so its size is that of its vocabulary.
         """
-        def units(texts):
-            return Counter(u for t in texts for u in {x for w in windows(t) for x in (w, w[:STEM])})
-
-        in_toxic, in_ordinary = units(toxic), units(ordinary)
-        words = {
-            w for w, n in in_toxic.items()
-            if len(w) > 3 and n >= max(3, share * len(toxic))
-            and n * len(ordinary) >= lift * len(toxic) * (in_ordinary[w] + 0.5)}
-        kept = [[w for w in windows(t) if w in words or w[:STEM] in words] for t in toxic]
-        return [b" " + b" ".join(k) + b" " for k in kept if k]
+        def lifted(units):
+            in_toxic, in_ordinary = (Counter(u for t in texts for u in units(t)) for texts in (split[1], split[0]))
+            return {
+                u: n for u, n in in_toxic.items()
+                if n >= least and n * len(ordinary) >= lift * len(toxic) * (in_ordinary[u] + 0.5)}
+
+        split = [[windows(t) for t in texts] for texts in (ordinary, toxic)]
+        found = lifted(lambda t: {x for w in t for x in (w, w[:STEM])})
+        # A stem teaches through the words that it begins.
+        words = Counter(w for t in split[1] for w in set(t) if w in found or w[:STEM] in found)
+        phrases = {p: k for n in PHRASE_WORDS for p, k in lifted(lambda t: set(several(t, n))).items()
+                   if not any(w in words for w in p.split(b" "))}
+        ordered = lambda units: sorted(units, key=lambda u: (units[u], u))
+        return ordered(words), ordered(phrases)
 
     def scorer(self):
         """Score of one text; 0 for all where there was nothing to learn from."""
         if self.weights is None:
             return lambda text: 0.0
-        distance, weights = Distance(self.ordinary, self.toxic), self.weights
+        distance, weights = Distance(self.ordinary, self.toxic, self.phrases), self.weights
 
         def score(text: bytes | None) -> float:
             total = float(distance.features(text) @ weights[:-1] + weights[-1])

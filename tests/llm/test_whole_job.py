@@ -9,6 +9,7 @@ from sievegate.llm import queries
 from sievegate.llm.language import identify, reject, rejection_limits, train
 from sievegate.llm.mixing import mix_documents, ordered_mix
 from sievegate.llm.sharding import with_place
+from sievegate.llm.toxicity import ToxicityModel
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -67,3 +68,21 @@ def test_rejection_limits_are_from_all_rows(spark):
     odd = spark.createDataFrame([("xx", 3.6), ("xx", 3.4), ("en", 4.4), ("zz", 9.0), ("und", None)], "lang_pred string, cross_entropy double")
     assert [r["rejected"] for r in reject(odd.selectExpr("*", "false AS rejected"), limits).collect()] == [True, False, False, False, False]
     assert not reject(odd.selectExpr("*", "false AS rejected"), {}).where("rejected").count()
+
+
+def test_rare_short_and_several_toxic_words_count():
+    """Terms in 1 % of the toxic texts: a short word, a phrase of ordinary words, and a large vocabulary."""
+    rng = np.random.default_rng(2)
+    common, vile = (["".join(rng.choice(list(letters), 8)) for _ in range(n)] for letters, n in (
+        ("abcdefghijklm", 150), ("nopqrstuvwxyz", 98)))
+    common += ["go", "back", "home", "now"]
+    terms = [*vile, "zog", "go back home"]
+    text = lambda *more: " ".join([*rng.choice(common, 30), *more, *rng.choice(common, 30)]).encode()
+    toxic = [text(terms[i % 100]) for i in range(2000)]
+    ordinary = [text() for _ in range(2000)]
+    model = ToxicityModel(toxic, ordinary)
+    words, phrases = model.contrast(toxic, ordinary)
+    assert set(words) == {t.encode() for t in terms[:99]} and b"go back home" in phrases
+    score = model.scorer()
+    assert all(score(text(t)) >= 0.5 for t in terms)
+    assert sum(score(text()) >= 0.5 for _ in range(300)) < 6
