@@ -105,6 +105,19 @@ def apart(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     return renamed, lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Columns but the text under names that clash with no working column, and the names they got."""
+    names = {c: c if c == "text" else f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(quoted(c)).alias(n) for c, n in names.items()]), names
+
+
+def given_back(df: DataFrame, names: dict[str, str], added: list[str], drop=()) -> DataFrame:
+    """Columns of `renamed` under their own names, without those in `drop`, then the added ones in place of their like."""
+    gone = {n.lower() for n in (*drop, *added)}
+    kept = [F.col(n).alias(c) for c, n in names.items() if c.lower() not in gone]
+    return df.select(*kept, *added)
+
+
 def hashed_sample(df: DataFrame, key: str, size: int) -> DataFrame:
     """At most `size` rows: those whose hashed key comes first.
 

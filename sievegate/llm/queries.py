@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievegate.llm.decontamination import mark_benchmark
 from sievegate.llm.language import identify, reject, rejection_limits, train, training_rows
 from sievegate.llm.licenses import scan_licenses
+from sievegate.llm.lines import mark_lines
 from sievegate.llm.mixing import in_training_order, mix_documents, rank_readings
 from sievegate.llm.quality import judge_quality
 from sievegate.llm.secrets import scan_secrets
@@ -183,3 +184,23 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(texts(spark, folder)).select(
         "doc_id", "class_id", "n_links", "rep_id", "copies", "n_texts")
+
+
+@register("op12_line_dedup", r"""
+WITH cut AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+  FROM documents),
+keyed AS (
+  SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM cut),
+firsts AS (SELECT k, min(doc_id) AS first, count(DISTINCT doc_id) AS n FROM keyed WHERE length(k) >= 10 GROUP BY k),
+judged AS (
+  SELECT c.doc_id, c.line, c.place, coalesce(f.n >= 2 AND c.doc_id <> f.first, false) AS gone
+  FROM keyed c LEFT JOIN firsts f USING (k))
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return mark_lines(texts(spark, folder), drop=("text",)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
