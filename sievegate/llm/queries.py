@@ -17,6 +17,7 @@ from sievegate.llm.secrets import scan_secrets
 from sievegate.llm.sharding import shard_documents
 from sievegate.llm.similar import near_duplicates
 from sievegate.llm.toxicity import fit, held_out, score_toxicity
+from sievegate.llm.tries import conversation_trie
 from sievegate.llm.urls import judge_urls
 from sievegate.sources.tables import rows_table, table
 
@@ -31,6 +32,14 @@ URL_RULES = [
 ]
 
 
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text in SQL."""
+    step = "xor(s >> 1, (s & 1) * 3988292384)"
+    byte = f"list_reduce([xor(a, b)] || [0::BIGINT for i in range(8)], lambda s, n: {step})"
+    codes = f"[ord(c)::BIGINT for c in string_split({text}, '')]"
+    return f"xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || {codes}, lambda a, b: {byte}))"
+
+
 def register(name: str, sql: str | None = None):
     def keep(fn):
         QUERIES[name] = fn
@@ -204,3 +213,44 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
 FROM judged GROUP BY doc_id""")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return mark_lines(texts(spark, folder), drop=("text",)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+@register("op13_conversation_trie", rf"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id
+      ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h, conv_id - conv_id % 20 AS base
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+pieces AS (
+  SELECT i.conv_id, 0 AS part, t.p, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.base AND t.p < i.h
+  UNION ALL
+  SELECT i.conv_id, 1, t.p, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.p >= i.h),
+placed AS (
+  SELECT conv_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+    row_number() OVER w AS depth, md5(string_agg(md5(role || chr(1) || md5(text)), '') OVER w) AS node
+  FROM pieces WINDOW w AS (PARTITION BY conv_id ORDER BY part, p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+steps AS (
+  SELECT conv_id, depth, node, words, lag(node, 1, '') OVER (PARTITION BY conv_id ORDER BY depth) AS parent,
+    depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM placed
+  UNION ALL
+  SELECT conv_id, 0, '', 0, NULL, conv_id NOT IN (SELECT conv_id FROM placed) FROM ids),
+nodes AS (
+  SELECT node, min(depth) AS depth, min(conv_id) AS conv_id, min(parent) AS parent, count(*) AS n_convs,
+    (count(*) - 1) * min(words) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM steps GROUP BY node),
+families AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+full_nodes AS (SELECT n.*, coalesce(f.n_children, 0) AS n_children FROM nodes n LEFT JOIN families f USING (node)),
+reach AS (
+  SELECT DISTINCT a.node, b.node AS under FROM steps a JOIN steps b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (
+  SELECT r.node, sum(u.saved) AS saved_tokens, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves
+  FROM reach r JOIN full_nodes u ON u.node = r.under GROUP BY r.node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN sums s USING (node) LEFT JOIN nodes p ON n.parent = p.node""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(table(spark, folder, "conversations"))
