@@ -19,6 +19,7 @@ from sievegate.llm.similar import near_duplicates
 from sievegate.llm.toxicity import fit, held_out, score_toxicity
 from sievegate.llm.tries import conversation_trie
 from sievegate.llm.urls import judge_urls
+from sievegate.llm.variants import group_variants, vocabulary
 from sievegate.sources.tables import rows_table, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,3 +255,8 @@ SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id,
 FROM full_nodes n JOIN sums s USING (node) LEFT JOIN nodes p ON n.parent = p.node""")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie(table(spark, folder, "conversations"))
+
+
+@register("op11_spelling_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return group_variants(vocabulary(texts(spark, folder))).select("word", "form", "root", "n", "n_near", "form_n")
