@@ -8,6 +8,7 @@ from sievegate.functions import scoring as sc
 from sievegate.functions import text as tx
 from sievegate.operators import access as ac
 from sievegate.operators import retrieval as rt
+from sievegate.operators import scoped as scp
 from sievegate.operators.common import top_k
 from sievegate.plans import fixtures as fx
 from sievegate.plans.corpus import BLANKS, sql_tokens
@@ -189,37 +190,78 @@ def hybrid_search(spark, sf):
 def mail_chunks(spark, sf):
     """Conversation turns as the mail collection, owned by a user."""
     return table(spark, sf, "conversations").selectExpr(
-        "concat('m', conv_id, '-', turn) chunk_id", "conv_id % 150 owner_id", "text chunk_text")
-
-
-CTE["mail_index"] = ([], "SELECT 'm' || conv_id || '-' || turn chunk_id, conv_id % 150 owner_id, text AS chunk_text FROM conversations")
-
-
-@register("collection_switch", sql("mail_index queries scored", f"""
-WITH mt AS (SELECT chunk_id, owner_id, len(tk) dl, unnest(tk) token FROM (SELECT *, {sql_tokens('chunk_text')} tk FROM mail_index)),
-mtf AS (SELECT chunk_id, owner_id, token, any_value(dl) dl, count(*) tf FROM mt GROUP BY ALL),
-mcs AS (SELECT count(*) n, avg(dl) a FROM (SELECT chunk_id, any_value(dl) dl FROM mt GROUP BY 1)),
-mi0 AS (SELECT token, ln((SELECT n FROM mcs) - count(*) + 0.5) - ln(count(*) + 0.5) idf FROM mtf GROUP BY 1),
-mi AS (SELECT token, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM mi0) ELSE idf END idf FROM mi0),
-ms AS (SELECT query_id, chunk_id, any_value(owner_id) owner_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT a FROM mcs)))), 9) raw FROM qt JOIN mi USING (token) JOIN mtf USING (token) GROUP BY ALL HAVING raw > 0),
-mo AS (SELECT s.query_id, s.chunk_id, s.raw FROM ms s JOIN queries q ON q.query_id = s.query_id AND q.user_id = s.owner_id),
-mr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) r FROM mo),
-al AS (SELECT 'documents' collection, query_id, 'd' || chunk_id chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) r FROM scored) WHERE r <= 5
-  UNION ALL SELECT 'mail', query_id, chunk_id, round(1 / (1 + exp(-raw / 5)), 6) FROM mr WHERE r <= 5)
-SELECT query_id, collection, chunk_id, rank, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, collection, chunk_id) - 1)::INT rank FROM al) WHERE rank < 5"""))
+        "concat('m', conv_id, '-', turn) chunk_id", "conv_id % 150 owner_user_id", "text chunk_text",
+        "conv_id * 8 + turn vec_id")
+
+
+def mail_vectors(spark, sf):
+    """Vectors of the mails that have one."""
+    return mail_chunks(spark, sf).join(table(spark, sf, "embeddings"), "vec_id").select(
+        "chunk_id", "owner_user_id", "embedding")
+
+
+CTE["mail_index"] = ([], """SELECT 'm' || conv_id || '-' || turn chunk_id, conv_id % 150 owner_user_id, text AS chunk_text,
+   conv_id * 8 + turn vec_id FROM conversations""")
+# Everything of a mail search is per owner: the filter comes before the statistics.
+CTE["mail_tf"] = (["mail_index"], f"""SELECT chunk_id, owner_user_id, token, any_value(dl) dl, count(*) tf FROM (
+   SELECT chunk_id, owner_user_id, len(tk) dl, unnest(tk) token FROM (SELECT *, {sql_tokens('chunk_text')} tk FROM mail_index)) GROUP BY ALL""")
+CTE["mail_cs"] = (["mail_tf"], """SELECT owner_user_id, count(*) n, avg(dl) a FROM (
+   SELECT owner_user_id, chunk_id, any_value(dl) dl FROM mail_tf GROUP BY ALL) GROUP BY 1""")
+CTE["mail_idf0"] = (["mail_tf", "mail_cs"], """SELECT owner_user_id, token, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) idf
+   FROM mail_tf JOIN mail_cs USING (owner_user_id) GROUP BY ALL""")
+CTE["mail_idf"] = (["mail_idf0"], """SELECT owner_user_id, token,
+   CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER (PARTITION BY owner_user_id) ELSE idf END idf FROM mail_idf0""")
+CTE["mail_bm"] = (["mail_idf", "mail_tf", "mail_cs", "qt", "queries"], """SELECT query_id, chunk_id,
+   round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))), 9) raw FROM qt JOIN queries USING (query_id)
+   JOIN mail_idf i ON i.owner_user_id = user_id AND i.token = qt.token JOIN mail_tf t ON t.owner_user_id = user_id AND t.token = qt.token
+   JOIN mail_cs c ON c.owner_user_id = user_id GROUP BY ALL HAVING raw > 0""")
+CTE["mail_cos"] = (["query_vectors", "queries", "mail_index"], """SELECT query_id, chunk_id, round(
+     list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))
+     / sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 12) sim
+   FROM query_vectors q JOIN queries USING (query_id) JOIN mail_index m ON m.owner_user_id = user_id JOIN embeddings v USING (vec_id)""")
+
+
+def fused_sql(lists: str, k: int) -> str:
+    """Both lists of `lists` (cosine, bm25 tables) cut to k, fused and scored like `scored`."""
+    cosine, lexical = lists.split()
+    return f"""SELECT *, round(CASE WHEN sd IS NULL THEN {KW_RAW} WHEN raw IS NULL THEN {SIM_SD} ELSE 0.6 * {SIM_SD} + 0.4 * ({KW_RAW}) END, 6) score FROM (
+   SELECT query_id, chunk_id, round(sum(1.0 / (61 + rank)), 6) rrf_score, string_agg(source, ',' ORDER BY source) sources, max(sd) sd, max(raw) raw FROM (
+     SELECT query_id, chunk_id, 'semantic' source, 1 - sim sd, NULL::DOUBLE raw, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) - 1 rank FROM {cosine}
+     UNION ALL SELECT query_id, chunk_id, 'lexical', NULL, raw, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) - 1 FROM {lexical})
+   WHERE rank < {k} GROUP BY query_id, chunk_id)"""
+
+
+KW_RAW = "CASE WHEN raw > 0 THEN 1 / (1 + exp(-raw / 5)) ELSE 0 END"
+SIM_SD = "greatest(0, least(1, 1 - sd))"
+CTE["mail20"] = (["mail_cos", "mail_bm"], fused_sql("mail_cos mail_bm", 20))
+CTE["mail40"] = (["mail_cos", "mail_bm"], fused_sql("mail_cos mail_bm", 40))
+MAIL_CANDIDATES = 40
+
+
+@register("collection_switch", sql("scored mail20 mail40", """
+WITH d AS (SELECT 'documents' collection, query_id, 'd' || chunk_id chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) r FROM scored),
+m AS (SELECT 'mail' collection, query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) r FROM mail20),
+g AS (SELECT 'mail' collection, query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) r FROM mail40),
+al AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, collection, chunk_id) rank FROM (SELECT * FROM d WHERE r <= 5 UNION ALL SELECT * FROM m WHERE r <= 5))
+SELECT 'all' AS mode, query_id, collection, chunk_id, (rank - 1)::INT AS rank, score FROM al WHERE rank <= 5
+UNION ALL SELECT 'documents', query_id, collection, chunk_id, (r - 1)::INT, score FROM d WHERE r <= 5
+UNION ALL SELECT 'mail', query_id, collection, chunk_id, (r - 1)::INT, score FROM g WHERE r <= 5"""))
 def collection_switch(spark, sf):
-    """Documents and the user's own mail, merged by shown score."""
+    """Three sources: documents, the user's own mail with more candidates, and both merged by shown score."""
     chunks, vecs, queries, qv = search_parts(spark, sf)
-    docs = rt.search(chunks, vecs, queries, qv).selectExpr(
-        "'documents' collection", "query_id", "concat('d', chunk_id) chunk_id", "score")
-    mail = mail_chunks(spark, sf)
-    own = rt.bm25_scores(mail, queries).join(mail.select("chunk_id", "owner_id"), "chunk_id").join(
-        queries.selectExpr("query_id", "user_id owner_id"), ["query_id", "owner_id"], "left_semi")
-    best = top_k(own, ["query_id"], [F.col("raw_score").desc(), F.col("chunk_id").asc()], 5)
-    mail_rows = best.select(F.lit("mail").alias("collection"), "query_id", "chunk_id",
-                            F.round(sc.keyword_score("raw_score"), 6).alias("score"))
-    return rt.merge_collections([docs, mail_rows], 5).select(
-        "query_id", "collection", "chunk_id", "rank", "score")
+    shared_dir(spark)
+    named = lambda rows, collection: rows.select(
+        F.lit(collection).alias("collection"), "query_id", "chunk_id", "rank", "score")
+    docs = named(rt.search(chunks, vecs, queries, qv), "documents").withColumn(
+        "chunk_id", F.concat(F.lit("d"), "chunk_id")).checkpoint()
+    asked = qv.join(queries.select("query_id", "user_id"), "query_id")
+    box = (mail_chunks(spark, sf), mail_vectors(spark, sf), queries, asked)
+    few = named(scp.collection_of_each(*box), "mail")
+    more = named(scp.collection_of_each(*box, candidates=MAIL_CANDIDATES), "mail")
+    both = rt.merge_collections([docs.drop("rank"), few.drop("rank")], 5).select(docs.columns)
+    out = both.withColumn("mode", F.lit("all")).unionByName(docs.withColumn("mode", F.lit("documents"))).unionByName(
+        more.withColumn("mode", F.lit("mail")))
+    return out.select("mode", "query_id", "collection", "chunk_id", F.col("rank").cast("int").alias("rank"), "score")
 
 
 # ---- embeddings ---------------------------------------------------------------------------------
@@ -320,15 +362,86 @@ WITH b AS (SELECT user_id, oui_id FROM user_positions UNION SELECT user_id, ance
 s AS (SELECT user_id, doc_id FROM viewable UNION SELECT user_id, doc_id FROM b JOIN doc_nodes USING (oui_id))
 SELECT user_id, count(*) n_documents, sum(doc_id)::BIGINT id_sum FROM s WHERE user_id IN (SELECT user_id FROM queries) GROUP BY 1"""))
 def branch_scope(spark, sf):
-    """Documents in reach of each searching user: own branch plus viewable ones."""
+    """Documents in reach of each searching user: own branch plus viewable ones, summed by cell."""
+    persons, scopes = scope_tables(spark, sf)
+    docs = chunk_cells(table(spark, sf, "documents"), "doc_id").select("doc_id", "cell", "owner_user_id")
+    return scp.scope_listing(docs, persons, scopes)
+
+
+def chunk_cells(rows, doc_id):
+    """Metadata that every chunk carries: nodes, level and owner of its document, and the cell they make."""
+    nodes = F.expr(f"""filter(array(concat('n', {doc_id} % 25), CASE WHEN {doc_id} % 7 = 0 THEN concat('r', {doc_id} % 5) END,
+        CASE WHEN {doc_id} % 31 = 0 THEN 'c' END), x -> x IS NOT NULL)""")
+    level = F.expr(f"cast(1 + {doc_id} % 5 as int)")
+    return rows.withColumns({
+        "oui_ids": nodes, "sensitivity": level, "owner_user_id": F.expr(f"{doc_id} % 150")}).withColumn(
+        "cell", scp.cell_key("oui_ids", "sensitivity"))
+
+
+def scope_tables(spark, sf):
+    """Persons with their class, and the cells that each class reaches."""
+    shared_dir(spark)
     users = fx.queries(spark, sf).select("user_id").distinct()
     held, nodes, pairs, profile = access_inputs(spark, sf)
-    doc_nodes = fx.document_nodes(spark, sf)
-    tuples = ac.document_tuples(fx.documents(spark, sf), doc_nodes, nodes, fx.node_parents(spark, sf), pairs)
-    view = ac.viewable_documents(users, tuples, held, pairs, profile).select("user_id", "doc_id")
-    branch = ac.branch_nodes(held.join(users, "user_id", "left_semi"), pairs).join(doc_nodes, "oui_id").select("user_id", "doc_id")
-    return view.unionByName(branch).distinct().groupBy("user_id").agg(
-        F.count("*").alias("n_documents"), F.sum("doc_id").alias("id_sum"))
+    persons = scp.person_classes(users, held, profile).checkpoint()
+    cells = chunk_cells(table(spark, sf, "documents").select("doc_id"), "doc_id").select(
+        "cell", "oui_ids", "sensitivity").distinct()
+    scopes = scp.class_scopes(persons, cells, held, nodes, fx.node_parents(spark, sf), pairs, profile)
+    return persons, scopes.checkpoint()
+
+
+def scoped_parts(spark, sf):
+    chunks = chunk_cells(text_table(spark, sf, "documents").selectExpr("doc_id", "doc_id chunk_id", "text chunk_text"), "doc_id")
+    vecs = chunk_cells(vectors(spark, sf), "chunk_id")
+    queries = fx.queries(spark, sf)
+    asked = fx.query_vectors(spark, sf).join(queries.select("query_id", "user_id"), "query_id")
+    return chunks, vecs, queries, asked
+
+
+CTE["reach"] = (["queries", "viewable", "user_positions", "closure", "doc_nodes"], """SELECT DISTINCT user_id, doc_id FROM (
+   SELECT user_id, doc_id FROM viewable
+   UNION ALL SELECT user_id, doc_id FROM (SELECT user_id, oui_id FROM user_positions UNION SELECT user_id, ancestor_id FROM user_positions JOIN closure USING (oui_id)
+     UNION SELECT user_id, c.oui_id FROM user_positions p JOIN closure c ON c.ancestor_id = p.oui_id) JOIN doc_nodes USING (oui_id))
+   WHERE user_id IN (SELECT user_id FROM queries)""")
+CTE["rtf"] = (["reach", "tf"], "SELECT user_id, chunk_id, token, dl, tf FROM reach JOIN tf ON chunk_id = doc_id")
+CTE["rcs"] = (["rtf"], "SELECT user_id, count(*) n, avg(dl) a FROM (SELECT user_id, chunk_id, any_value(dl) dl FROM rtf GROUP BY ALL) GROUP BY 1")
+CTE["ridf0"] = (["rtf", "rcs"], """SELECT user_id, token, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) idf
+   FROM rtf JOIN rcs USING (user_id) GROUP BY ALL""")
+CTE["ridf"] = (["ridf0"], "SELECT user_id, token, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER (PARTITION BY user_id) ELSE idf END idf FROM ridf0")
+CTE["rbm"] = (["ridf", "rtf", "rcs", "qt", "queries"], """SELECT query_id, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))), 9) raw
+   FROM qt JOIN queries USING (query_id) JOIN ridf USING (user_id, token) JOIN rtf USING (user_id, token) JOIN rcs USING (user_id) GROUP BY ALL HAVING raw > 0""")
+CTE["rcos"] = (["reach", "cos", "queries"], """SELECT query_id, chunk_id, similarity sim FROM cos JOIN queries USING (query_id)
+   JOIN reach r ON r.user_id = queries.user_id AND r.doc_id = chunk_id""")
+CTE["rfused"] = (["rcos", "rbm"], fused_sql("rcos rbm", 20))
+
+
+@register("scoped_search", sql("rfused", """SELECT query_id, chunk_id, rank::INT AS rank, rrf_score, score, sources FROM (
+   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) - 1 rank FROM rfused) WHERE rank < 5"""))
+def scoped_search(spark, sf):
+    """Hybrid search where each user's branch and viewable documents are the whole corpus."""
+    persons, scopes = scope_tables(spark, sf)
+    return scp.scoped_search(*scoped_parts(spark, sf), persons, scopes).select(
+        "query_id", "chunk_id", "rank", "rrf_score", "score", "sources")
+
+
+@register("scoped_keywords", sql("rbm", """SELECT query_id, chunk_id, rank::INT AS rank, round(raw, 4) raw_score FROM (
+   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) - 1 rank FROM rbm) WHERE rank < 20"""))
+def scoped_keywords(spark, sf):
+    """Keyword scores with document frequencies, length and mean idf of exactly the user's scope."""
+    persons, scopes = scope_tables(spark, sf)
+    chunks, _, queries, _ = scoped_parts(spark, sf)
+    return scp.ranked_bm25(scp.scoped_bm25(chunks, queries, persons, scopes)).select(
+        "query_id", "chunk_id", "rank", F.round("raw_score", 4).alias("raw_score"))
+
+
+@register("scoped_vectors", sql("rcos", """SELECT query_id, chunk_id, rank::INT AS rank, round(sim, 4) similarity FROM (
+   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) - 1 rank FROM rcos) WHERE rank < 20"""))
+def scoped_vectors(spark, sf):
+    """Cosine top-k over the vectors in the user's scope."""
+    persons, scopes = scope_tables(spark, sf)
+    _, vecs, _, asked = scoped_parts(spark, sf)
+    return scp.scoped_cosine(vecs, asked, persons, scopes).select(
+        "query_id", "chunk_id", "rank", F.round("similarity", 4).alias("similarity"))
 
 
 @register("sensitivity_gate", sql("queries chunk_index scored profiles", """
