@@ -20,7 +20,7 @@ TAKEN = """(next_status IN (""" + DONE + f""") OR (next_status = 'streaming' AND
 ORDER = "PARTITION BY conv_id ORDER BY created_s, message_id"
 CTE["pairs"] = (["messages"], f"""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY created_s, message_id) - 1 pair_no, message_id user_message_id, next_id reply_id,
     content question, next_content answer FROM (SELECT *, lead(role) OVER ({ORDER}) next_role, lead(status) OVER ({ORDER}) next_status, lead(content) OVER ({ORDER}) next_content,
-    lead(message_id) OVER ({ORDER}) next_id FROM (SELECT * FROM messages QUALIFY row_number() OVER ({ORDER}) <= 200)) WHERE role = 'user' AND next_role = 'assistant' AND {TAKEN}""")
+    lead(message_id) OVER ({ORDER}) next_id FROM messages) WHERE role = 'user' AND next_role = 'assistant' AND {TAKEN}""")
 CTE["pairs2"] = (["pairs"], "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pair_no DESC) <= 3 is_recent, count(*) OVER (PARTITION BY conv_id) n FROM pairs")
 
 
@@ -38,7 +38,7 @@ CTE["pairs"] = (["threads"], CTE["pairs"][1].replace("FROM messages", "FROM thre
 
 
 def pairs(spark, sf):
-    return cv.qa_pairs(long_messages(spark, sf), fixed.HISTORY_MESSAGES)
+    return cv.qa_pairs(long_messages(spark, sf))
 
 
 @register("qa_pairs", sql("pairs", "SELECT conv_id, pair_no, user_message_id, reply_id, sha256(question || '|' || answer) pair_hash FROM pairs"))
@@ -47,6 +47,36 @@ def qa_pairs(spark, sf):
                                    F.sha2(F.concat_ws("|", "question", "answer"), 256).alias("pair_hash"))
 
 
+def stream_messages(spark, sf):
+    """A hundred conversations joined into one thread of several hundred messages."""
+    return fx.messages(spark, sf).selectExpr(
+        "message_id", "conv_id div 100 conv_id", "role", "content", "status", "(conv_id % 100) * 100000 + created_s created_s")
+
+
+CTE["streams"] = (["messages"], """SELECT message_id, conv_id // 100 conv_id, role, content, status, (conv_id % 100) * 100000 + created_s created_s FROM messages""")
+CTE["stream_pairs"] = (["streams"], CTE["pairs"][1].replace("FROM threads", "FROM streams"))
+CTE["recent_pairs"] = (["streams"], CTE["pairs"][1].replace("FROM threads", f"""FROM (
+    SELECT * FROM streams QUALIFY row_number() OVER ({ORDER}) <= {fixed.HISTORY_MESSAGES})"""))
+PAIR_HASH = "SELECT conv_id, pair_no, user_message_id, reply_id, sha256(question || '|' || answer) pair_hash FROM"
+
+
+def hashed_pairs(rows):
+    return rows.select("conv_id", "pair_no", "user_message_id", "reply_id",
+                       F.sha2(F.concat_ws("|", "question", "answer"), 256).alias("pair_hash"))
+
+
+@register("whole_thread_pairs", sql("stream_pairs", f"{PAIR_HASH} stream_pairs"))
+def whole_thread_pairs(spark, sf):
+    """All pairs of threads of several hundred messages."""
+    return hashed_pairs(cv.qa_pairs(stream_messages(spark, sf)))
+
+
+@register("history_read_pairs", sql("recent_pairs", f"{PAIR_HASH} recent_pairs"))
+def history_read_pairs(spark, sf):
+    """The feature's own limit: one read of a history takes its first 200 messages."""
+    return hashed_pairs(cv.qa_pairs(stream_messages(spark, sf), fixed.HISTORY_MESSAGES))
+
+
 @register("first_messages", sql("threads", f"SELECT conv_id, count(*) n, max(created_s) last_s FROM (SELECT * FROM threads QUALIFY row_number() OVER ({ORDER}) <= 20) GROUP BY 1"))
 def first_messages(spark, sf):
     return cv.first_messages(long_messages(spark, sf), 20).groupBy("conv_id").agg(
