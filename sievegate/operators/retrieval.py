@@ -17,11 +17,11 @@ from sievegate.functions import fixed_values as fixed
 from sievegate.functions import scoring as sc
 from sievegate.functions import text as tx
 from sievegate.operators.common import salted_join, small_rows, spread, top_k, unnest
+from sievegate.session import shared_dir
 
 QUERY_TERMS_BROADCAST = 200_000  # rows of (query, token)
 QUERY_VECTORS_BROADCAST = 4_096  # query vectors per broadcast block
 SCORE_DIGITS = 9                 # so that equal texts get equal scores in any order of addition
-F1_BLOCK = 500                   # queries whose longest tokens are tested in one pass
 SHARD_ROWS = 20_000              # chunk vectors per grid cell
 
 
@@ -126,69 +126,88 @@ def bm25_top(
     )
 
 
+def word_grams(word: Column, short: bool = True) -> Column:
+    """Distinct runs of three characters of a word, and of two where `short` asks for them or it has no more."""
+    runs = lambda q: F.when(F.length(word) >= q, F.transform(
+        F.sequence(F.lit(1), F.length(word) - (q - 1)), lambda i: F.substr(word, i, F.lit(q)))).otherwise(F.array())
+    return F.array_distinct(F.concat(runs(2), runs(3)) if short else F.when(F.length(word) == 2, runs(2)).otherwise(runs(3)))
+
+
+def containing_words(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """main, word: which of the distinct `words` (word) contain which of the distinct `parts` (main).
+
+    Words are indexed by their runs of two and three characters; a part is looked up by the one of its
+    runs that the fewest words have, so its candidates do not grow with common endings. A part
+    has two characters or more and no white space.
+    """
+    asked = unnest(parts, ["main"], word_grams(F.col("main"), False), "gram").select("main", "gram").checkpoint()
+    short = not asked.where(F.length("gram") == 2).isEmpty()
+    grams = asked.select("gram").distinct()
+    few = grams.limit(QUERY_TERMS_BROADCAST + 1).count() <= QUERY_TERMS_BROADCAST
+    index = unnest(words, ["word"], word_grams(F.col("word"), short), "gram").select("word", "gram").join(
+        F.broadcast(grams) if few else grams, "gram", "left_semi").checkpoint()
+    sizes = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n_words"))
+    rarest = asked.join(sizes, "gram").groupBy("main").agg(
+        F.min(F.struct("n_words", "gram")).alias("best"), F.count(F.lit(1)).alias("n_known")).join(
+        asked.groupBy("main").agg(F.count(F.lit(1)).alias("n_grams")), "main").where("n_known = n_grams").select(
+        "main", "best.gram")
+    return index.join(rarest, "gram").where(F.col("word").contains(F.col("main"))).select("main", "word")
+
+
 def token_f1_top(
-    chunks: DataFrame, queries: DataFrame, k: int = fixed.DEFAULT_TOP_K,
-    text_col: str = "chunk_text", block: int = F1_BLOCK,
+    chunks: DataFrame, queries: DataFrame, k: int = fixed.DEFAULT_TOP_K, text_col: str = "chunk_text",
 ) -> DataFrame:
     """Accent-blind token F1 over chunks that contain the query's longest token;
     over all chunks for queries whose token is in none.
 
-    Substring tests run inside the chunk row against one block of queries, so no
-    (query, chunk) pair without a common token is ever built.
+    A longest token has no white space, so a text contains it exactly if one of its words does: it is
+    resolved on the distinct words of the corpus, once, by their character runs. Texts are read
+    twice, for the distinct words and for the few that some query needs, whatever the number of
+    queries. A chunk knows the longest tokens it contains before it meets a query, and no pair
+    without a common token, or ruled out by the longest one, is built.
     """
+    shared_dir(chunks.sparkSession)
     prepared = queries.select(
         "query_id", tx.search_tokens(tx.strip("text")).alias("_t")
     ).where(F.size("_t") > 0).select(
         "query_id",
         tx.longest_token(tx.drop_stopwords(F.col("_t"))).alias("main"),
         F.array_distinct(F.transform("_t", tx.strip_accents)).alias("_set"),
-    )
-    blocks = 1
-    while _largest_block(prepared, blocks) > block:
-        blocks *= 2
-    ranked = None
-    for number in range(blocks):
-        part = prepared.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        scored = _f1_block(chunks, part, text_col)
-        ranked = scored if ranked is None else ranked.unionByName(scored)
+    ).checkpoint()
+    own = F.lower("word")
+    token = F.when(F.length(own) > 1, tx.strip_accents(own))
+    raw = F.array_distinct(tx.words(text_col))
+    # Few bytes, but much work on each: dealt out in spite of the size.
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = unnest(chunks.select(text_col), [], raw, "word").select("word").distinct().repartition(
+        parts, "word").withColumn("token", token).checkpoint()
+    holders = containing_words(words, prepared.select("main").distinct()).checkpoint()
+    found = holders.select("main").distinct().withColumn("_found", F.lit(True))
+    terms = unnest(prepared, ["query_id", "main", F.size("_set").alias("n_query")], "_set", "token").join(
+        found, "main", "left").checkpoint()
+
+    named = words.join(terms.select("token").distinct(), "token", "left_semi").select("word").unionByName(
+        holders.select("word")).distinct().checkpoint()
+    few = named.limit(QUERY_TERMS_BROADCAST + 1).count() <= QUERY_TERMS_BROADCAST
+    n_text = F.size(F.array_distinct(F.transform(tx.search_tokens(text_col), tx.strip_accents)))
+    read = unnest(chunks, ["chunk_id", n_text.alias("n_text")], raw, "word").select("chunk_id", "n_text", "word")
+    met = read.join(F.broadcast(named) if few else named, "word").checkpoint()
+
+    held = met.select("chunk_id", "word").join(holders, "word").groupBy("chunk_id").agg(F.collect_set("main").alias("_hit"))
+    tokens = met.select("chunk_id", "n_text", token.alias("token")).where("token IS NOT NULL").distinct().join(
+        held, "chunk_id", "left")
+    few = terms.limit(QUERY_TERMS_BROADCAST + 1).count() <= QUERY_TERMS_BROADCAST
+    pairs = tokens.join(F.broadcast(terms), "token") if few else salted_join(tokens, terms, ["token"], "chunk_id")
+    allowed = F.col("_found").isNull() | F.coalesce(F.array_contains("_hit", F.col("main")), F.lit(False))
+    counted = pairs.where(allowed).groupBy("chunk_id", "query_id", "n_query", "n_text").agg(F.count("*").alias("both"))
+    p, r = F.col("both") / F.col("n_text"), F.col("both") / F.col("n_query")
+    scored = counted.select("query_id", "chunk_id", (2 * p * r / F.greatest(F.lit(1e-9), p + r)).alias("f1"))
     order = [F.col("f1").desc(), F.col("chunk_id").asc()]
-    return top_k(ranked, ["query_id"], order, k).select(
+    return top_k(scored, ["query_id"], order, k).select(
         "query_id", "chunk_id", "rank", "f1", (1.0 - F.col("f1")).alias("distance")
     )
 
 
-def _largest_block(prepared: DataFrame, blocks: int) -> int:
-    sizes = prepared.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b")).count()
-    return sizes.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-
-
-def _f1_block(chunks: DataFrame, part: DataFrame, text_col: str) -> DataFrame:
-    named = [r["main"] for r in part.select("main").distinct().collect()]  # at most one block
-    mains = F.array(*[F.lit(m) for m in named]).cast("array<string>")
-    rows = chunks.select(
-        "chunk_id",
-        F.array_distinct(F.transform(tx.search_tokens(text_col), tx.strip_accents)).alias("_t"),
-        F.filter(mains, lambda m: F.col(text_col).contains(m)).alias("_hit"),
-    )
-    found = unnest(rows.select("_hit"), [], "_hit", "main").select("main").distinct()
-    terms = unnest(part, ["query_id", "main", F.size("_set").alias("n_query")], "_set", "token")
-    tokens = unnest(
-        rows.repartition("chunk_id"), ["chunk_id", "_hit", F.size("_t").alias("n_text")], "_t", "token"
-    )
-    pairs = (
-        tokens.join(F.broadcast(terms), "token")
-        .groupBy("chunk_id", "query_id", "main", "n_query", "n_text")
-        .agg(F.count("*").alias("both"), F.max(F.array_contains("_hit", F.col("main"))).alias("_in"))
-    )
-    allowed = pairs.join(
-        F.broadcast(found.withColumn("_found", F.lit(True))), "main", "left"
-    ).where("_in OR _found IS NULL")
-    p, r = F.col("both") / F.col("n_text"), F.col("both") / F.col("n_query")
-    return allowed.select(
-        "query_id", "chunk_id", (2 * p * r / F.greatest(F.lit(1e-9), p + r)).alias("f1")
-    )
-
-
 # ---- semantic -----------------------------------------------------------------------
 
 def _unit_rows(vectors, width: int) -> np.ndarray:
