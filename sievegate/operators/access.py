@@ -6,7 +6,7 @@ documents (doc_id, owner_user_id, sensitivity), document_nodes (doc_id, oui_id).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegate.functions import fixed_values as fixed
@@ -377,36 +377,67 @@ def upload_allowed(wanted: DataFrame, held: DataFrame, corp: DataFrame, pairs: D
         *wanted.columns, F.col("_yes").isNotNull().alias("allowed"))
 
 
-def apply_request_events(events: DataFrame) -> DataFrame:
-    """Judge request events in time order per (user, document).
+def request_timeline(events: DataFrame) -> DataFrame:
+    """Events with an `expire` row for each approval that has an end, in one order per (user, document).
 
-    `events`: user_id, doc_id, event_id, created_at, kind in request, approve,
-    reject, revoke. Adds the state before the event, `valid` and the state after.
-    Invalid events leave the state alone, so the fold needs the whole history of
-    one pair: a sorted list of event names.
+    At the same instant an end comes before other events, for an approval has run out at its end; an
+    approval that ends before it is given runs out right after it.
     """
-    rows = events.groupBy("user_id", "doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("created_at", "event_id", "kind"))).alias("_e"))
-
-    def after(state: Column, kind: Column) -> Column:
-        return (
-            F.when((kind == "request") & (state != "pending"), "pending")
-            .when((kind == "approve") & (state == "pending"), "approved")
-            .when((kind == "reject") & (state == "pending"), "rejected")
-            .when((kind == "revoke") & (state == "approved"), "revoked")
-            .otherwise(state)
-        )
+    late = F.col("expires_at") > F.col("created_at")
+    rows = events.select(
+        "user_id", "doc_id", "event_id", "kind", "created_at", F.col("event_id").alias("_tie"), F.lit(0).alias("_sub"))
+    ends = events.where((F.col("kind") == "approve") & F.col("expires_at").isNotNull()).select(
+        "user_id", "doc_id", "event_id", F.lit("expire").alias("kind"),
+        F.greatest("expires_at", "created_at").alias("created_at"),
+        F.when(late, F.lit(-(1 << 63))).otherwise(F.col("event_id")).alias("_tie"), F.lit(1).alias("_sub"))
+    return rows.unionByName(ends)
 
-    states = F.aggregate(
-        "_e", F.array(F.lit("none")),
-        lambda acc, e: F.concat(acc, F.array(after(F.element_at(acc, -1), e["kind"]))),
-    )
-    flat = unnest(rows.withColumn("_s", states), ["user_id", "doc_id", "_s"], "_e", "e")
-    before, now = F.element_at("_s", F.col("_pos") + 1), F.element_at("_s", F.col("_pos") + 2)
-    return flat.select(
-        "user_id", "doc_id", "e.event_id", "e.kind", before.alias("state_before"),
-        (before != now).alias("valid"), now.alias("state_after"),
-    )
+
+def apply_request_events(events: DataFrame) -> DataFrame:
+    """Judge request events, and the ends of approvals, in time order per (user, document).
+
+    `events`: user_id, doc_id, event_id, created_at, kind in request, approve, reject, revoke, and expires_at
+    of an approval or null. Adds the state before the event, `valid` and the state after. An approval
+    that runs out while it holds has a row of kind `expire` with its own event_id; it turns to revoked,
+    so that a revoke after the end is invalid.
+
+    After a request the state is pending, whatever it was, so requests cut a history into segments that
+    are judged by running windows: the first decision of a segment holds, and of an approval the first end
+    or revoke. No history is gathered into a row; a window reads it in order and can spill.
+    """
+    pair, order = ["user_id", "doc_id"], ["created_at", "_tie", "_sub", "event_id"]
+    rows = request_timeline(events)
+    whole = Window.partitionBy(*pair).orderBy(*order)
+    cut = rows.withColumn("_segment", F.count_if(F.col("kind") == "request").over(
+        whole.rowsBetween(Window.unboundedPreceding, 0)))
+    # The same partitioning: rows move once.
+    segment = Window.partitionBy(*pair).orderBy("_segment", *order)
+    up_to = segment.rowsBetween(Window.unboundedPreceding, 0)
+    before = segment.rowsBetween(Window.unboundedPreceding, -1)
+    requested = F.col("_segment") > 0
+    # Running values carry their segment's number, and count only in it.
+    decided = F.when(F.col("kind").isin("approve", "reject") & requested, F.struct("_segment", "kind", "event_id"))
+    first = cut.withColumn("_decision", decided).withColumn("_last", F.lag("_segment").over(segment))
+    firsts = first.withColumn("_fresh", F.when(
+        F.col("_decision").isNotNull() & (F.coalesce(
+            F.last(F.col("_decision")["_segment"], ignorenulls=True).over(before), F.lit(-1)) < F.col("_segment")),
+        F.col("_decision")))
+    held = firsts.withColumn("_held", F.last("_fresh", ignorenulls=True).over(up_to))
+    here = F.col("_held")["_segment"] == F.col("_segment")
+    approved = F.coalesce(here & (F.col("_held")["kind"] == "approve"), F.lit(False))
+    ends = approved & ((F.col("kind") == "revoke") | (
+        (F.col("kind") == "expire") & (F.col("event_id") == F.col("_held")["event_id"])))
+    ended = held.withColumn("_end", F.when(ends, F.col("_segment"))).withColumn(
+        "_ended", F.last("_end", ignorenulls=True).over(before)).withColumn("_done", F.last("_end", ignorenulls=True).over(up_to))
+    over = lambda c: F.coalesce(F.col(c) == F.col("_segment"), F.lit(False))
+    after = (
+        F.when(~requested, "none").when(~F.coalesce(here, F.lit(False)), "pending")
+        .when(F.col("_held")["kind"] == "reject", "rejected").when(over("_done"), "revoked").otherwise("approved"))
+    judged = ended.withColumn("state_after", after).withColumn(
+        "state_before", F.coalesce(F.lag("state_after").over(segment), F.lit("none")))
+    valid = F.col("state_before") != F.col("state_after")
+    return judged.where((F.col("kind") != "expire") | valid).select(
+        *pair, "event_id", "kind", "state_before", valid.alias("valid"), "state_after")
 
 
 REVIEW_STEPS = [

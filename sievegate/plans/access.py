@@ -239,17 +239,26 @@ def upload_permission(spark, sf):
 
 
 @register("request_workflow", """
-WITH RECURSIVE e AS (SELECT event_id, user_id, event_id % 7 doc_id, (['request', 'approve', 'reject', 'revoke'])[event_id * 3 % 4 + 1] kind,
+WITH RECURSIVE e AS (SELECT event_id, user_id, event_id % 7 doc_id, (['request', 'approve', 'reject', 'revoke'])[event_id * 3 % 4 + 1] kind, ts,
+   CASE WHEN event_id % 3 > 0 THEN ts + INTERVAL 1 HOUR * (event_id % 11 * 40 - 40) END ends,
    row_number() OVER (PARTITION BY user_id, event_id % 7 ORDER BY ts, event_id) i FROM events),
-s AS (SELECT user_id, doc_id, 0::BIGINT i, 'none' st, 0::BIGINT event_id, '' kind, '' before_ FROM (SELECT DISTINCT user_id, doc_id FROM e)
-  UNION ALL SELECT e.user_id, e.doc_id, e.i, CASE WHEN e.kind = 'request' AND st <> 'pending' THEN 'pending' WHEN e.kind = 'approve' AND st = 'pending' THEN 'approved'
-     WHEN e.kind = 'reject' AND st = 'pending' THEN 'rejected' WHEN e.kind = 'revoke' AND st = 'approved' THEN 'revoked' ELSE st END, e.event_id, e.kind, st
-  FROM s JOIN e ON e.user_id = s.user_id AND e.doc_id = s.doc_id AND e.i = s.i + 1)
-SELECT user_id, doc_id, event_id, kind, before_ state_before, before_ <> st AS valid, st state_after FROM s WHERE i > 0""")
+s AS (SELECT user_id, doc_id, 0::BIGINT i, 'none' st, 0::BIGINT event_id, '' kind, '' before_, NULL::TIMESTAMP ts, NULL::TIMESTAMP ends FROM (SELECT DISTINCT user_id, doc_id FROM e)
+  UNION ALL SELECT user_id, doc_id, i, CASE WHEN kind = 'request' AND now <> 'pending' THEN 'pending' WHEN kind = 'approve' AND now = 'pending' THEN 'approved'
+     WHEN kind = 'reject' AND now = 'pending' THEN 'rejected' WHEN kind = 'revoke' AND now = 'approved' THEN 'revoked' ELSE now END, event_id, kind, now, ts,
+     CASE WHEN kind = 'approve' AND now = 'pending' THEN new_end WHEN now = 'approved' THEN ends END
+  FROM (SELECT e.user_id, e.doc_id, e.i, e.event_id, e.kind, e.ts, e.ends new_end, s.ends,
+     CASE WHEN s.st = 'approved' AND s.ends <= e.ts THEN 'revoked' ELSE s.st END now
+   FROM s JOIN e ON e.user_id = s.user_id AND e.doc_id = s.doc_id AND e.i = s.i + 1)),
+done AS (SELECT * FROM s WHERE i > 0)
+SELECT user_id, doc_id, event_id, kind, before_ state_before, before_ <> st AS valid, st state_after FROM done
+UNION ALL SELECT user_id, doc_id, event_id, 'expire', 'approved', true, 'revoked' FROM done a WHERE kind = 'approve' AND before_ = 'pending' AND ends IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM done b WHERE b.user_id = a.user_id AND b.doc_id = a.doc_id AND b.i > a.i AND b.before_ <> b.st AND b.ts < a.ends)""")
 def request_workflow(spark, sf):
+    """Requests, decisions and revocations, with approvals that run out, some of them before they are given."""
     events = table(spark, sf, "events").selectExpr(
         "event_id", "user_id", "event_id % 7 doc_id", "ts created_at",
-        "element_at(array('request', 'approve', 'reject', 'revoke'), cast(event_id * 3 % 4 as int) + 1) kind")
+        "element_at(array('request', 'approve', 'reject', 'revoke'), cast(event_id * 3 % 4 as int) + 1) kind",
+        "CASE WHEN event_id % 3 > 0 THEN ts + make_dt_interval(0, cast(event_id % 11 * 40 - 40 as int)) END expires_at")
     return ac.apply_request_events(events)
 
 
