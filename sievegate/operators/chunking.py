@@ -1,14 +1,20 @@
 """Documents to chunks, one narrow stage per document row.
 
-A document row carries its own text, so splitting, packing and merging are array
-expressions on that row: no shuffle happens between the scan and the chunk rows,
-whatever the size of the corpus.
+A document row carries its own text: it is cut by array expressions, and packed and merged by one walk
+over its sentences in an Arrow batch, in time proportional to its length. No shuffle happens between the scan
+and the chunk rows, whatever the size of the corpus.
 """
 
 from __future__ import annotations
 
+import hashlib
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +22,8 @@ from sievegate.functions import fixed_values as fixed
 from sievegate.functions import text as tx
 from sievegate.operators.common import unnest
 
+BLANKS = tx.WHITESPACE  # used in Python workers, which get no other module
+
 
 @dataclass(frozen=True)
 class ChunkSettings:
@@ -73,203 +81,150 @@ def sections(docs: DataFrame, key: str = "doc_id", mode: str = "compat") -> Data
 
 # ---- packing ------------------------------------------------------------------
 
-def _pack(section_of: Column, counts: Column, prefix: Column, max_tokens: int, overlap: int) -> Column:
-    """Greedy packing as one fold over sentence positions.
+def sentence_spans(section_of: list[int], prefix: list[int], max_tokens: int, overlap: int) -> list[tuple[int, int]]:
+    """Greedy packing: (first, last) sentences of each piece; last = -1 marks a sentence longer than a piece.
 
-    Emits (first, last) sentence positions per piece, 1-based; last = 0 marks a
-    sentence longer than a piece. Only numbers travel through the fold.
+    `prefix` holds the tokens before each sentence, so the tail that the next piece takes over is found by
+    binary search, and the work grows with the sentences.
     """
-    piece = "array<struct<first:int,last:int>>"
-    state = F.struct(
-        F.lit(1).alias("start"), F.lit(0).alias("used"), F.array().cast(piece).alias("out")
-    )
-
-    def total(low: Column, high: Column) -> Column:
-        # tokens of sentences low..high
-        return F.element_at(prefix, high + 1) - F.element_at(prefix, low)
-
-    def add(out: Column, first: Column, last: Column) -> Column:
-        return F.concat(out, F.array(F.struct(first.cast("int").alias("first"),
-                                              last.cast("int").alias("last"))))
-
-    def step(acc: Column, i: Column) -> Column:
-        size = F.element_at(counts, i)
-        start, used, out = acc["start"], acc["used"], acc["out"]
-        open_buffer = start < i
-        new_section = (i > 1) & (
-            F.element_at(section_of, i) != F.element_at(section_of, F.greatest(i - 1, F.lit(1)))
-        )
-        # A new section closes the open piece and carries nothing over.
-        out = F.when(new_section & open_buffer, add(out, start, i - 1)).otherwise(out)
-        start = F.when(new_section, i).otherwise(start)
-        used = F.when(new_section, F.lit(0)).otherwise(used)
-
-        def fit(s: Column) -> Column:
-            start, used, out = s["start"], s["used"], s["out"]
-            open_buffer = start < i
-
-            def carry(tail_start: Column) -> Column:
-                kept = F.when(tail_start < i, total(F.least(tail_start, i - 1), i - 1))
-                return F.struct(
-                    tail_start.alias("start"),
-                    (F.coalesce(kept, F.lit(0)) + size).cast("int").alias("used"),
-                    add(out, start, i - 1).alias("out"),
-                )
-
-            overflow = tx.let(
-                (i - F.size(
-                    F.filter(
-                        F.sequence(F.least(start, i - 1), i - 1),
-                        lambda j: total(j, i - 1) <= overlap,
-                    )
-                )).cast("int"),
-                carry,
-            )
-            oversize = F.struct(
-                (i + 1).cast("int").alias("start"), F.lit(0).alias("used"),
-                add(F.when(open_buffer, add(out, start, i - 1)).otherwise(out), i, F.lit(0))
-                .alias("out"),
-            )
-            append = F.struct(
-                start.cast("int").alias("start"), (used + size).cast("int").alias("used"),
-                out.alias("out"),
-            )
-            return (
-                F.when(size > max_tokens, oversize)
-                .when(open_buffer & (used + size > max_tokens), overflow)
-                .otherwise(append)
-            )
-
-        return tx.let(
-            F.struct(start.cast("int").alias("start"), used.alias("used"), out.alias("out")), fit
-        )
-
-    def finish(acc: Column) -> Column:
-        n = F.size(counts)
-        return F.when(acc["start"] <= n, add(acc["out"], acc["start"], n)).otherwise(acc["out"])
-
-    return F.aggregate(F.sequence(F.lit(1), F.size(counts)), state, step, finish)
-
-
-def with_pieces(docs: DataFrame, settings: ChunkSettings) -> DataFrame:
-    """Add `pieces`: array of (section, text, tokens) in document order."""
-    top, lap = settings.max_tokens, settings.overlap_tokens
-    flat = docs.withColumn(
-        "_sents",
-        F.flatten(
-            F.transform(
-                "sections",
-                lambda s, k: F.transform(
-                    tx.sentences(s["body"]),
-                    lambda t: F.struct(k.alias("section"), t.alias("text")),
-                ),
-            )
-        ),
-    )
-    counted = flat.withColumn(
-        "_counts", F.transform("_sents", lambda s: tx.word_count(s["text"]))
-    ).withColumn("_sect", F.transform("_sents", lambda s: s["section"])).withColumn(
-        "_prefix",
-        F.aggregate(
-            "_counts", F.array(F.lit(0)),
-            lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
-        ),
-    )
-    spans = counted.withColumn(
-        "_spans",
-        F.when(
-            F.size("_counts") > 0,
-            _pack(F.col("_sect"), F.col("_counts"), F.col("_prefix"), top, lap),
-        ).otherwise(F.array().cast("array<struct<first:int,last:int>>")),
-    )
-
-    def piece_texts(span: Column) -> Column:
-        first = F.element_at("_sents", span["first"])
-        packed = F.array(
-            F.array_join(
-                F.transform(
-                    F.slice("_sents", span["first"],
-                            F.greatest(span["last"] - span["first"] + 1, F.lit(1))),
-                    lambda s: s["text"],
-                ),
-                " ",
-            )
-        )
-        parts = F.when(span["last"] == 0, tx.hard_split(first["text"], top, lap)).otherwise(packed)
-        return F.transform(
-            parts,
-            lambda p: F.struct(
-                first["section"].alias("section"), p.alias("text"),
-                tx.word_count(p).alias("tokens"),
-            ),
-        )
-
-    return spans.withColumn("pieces", F.flatten(F.transform("_spans", piece_texts))).drop(
-        "_sents", "_sect", "_counts", "_prefix", "_spans"
-    )
+    out, start, used, n = [], 0, 0, len(section_of)
+    for i in range(n):
+        size = prefix[i + 1] - prefix[i]
+        if i and section_of[i] != section_of[i - 1]:
+            # A new section closes the open piece and carries nothing over.
+            if start < i:
+                out.append((start, i - 1))
+            start, used = i, 0
+        if size > max_tokens:
+            if start < i:
+                out.append((start, i - 1))
+            out.append((i, -1))
+            start, used = i + 1, 0
+        elif start < i and used + size > max_tokens:
+            out.append((start, i - 1))
+            start = bisect_left(prefix, prefix[i] - overlap, start, i)
+            used = prefix[i + 1] - prefix[start]
+        else:
+            used += size
+    if start < n:
+        out.append((start, n - 1))
+    return out
+
+
+def packed_pieces(sections, texts, counts, hard, settings: ChunkSettings) -> list[tuple[int, str, int]]:
+    """(section, text, tokens) of the pieces of one document; long sentences come cut in `hard`."""
+    prefix = [0, *accumulate(counts)]
+    pieces = []
+    for first, last in sentence_spans(sections, prefix, settings.max_tokens, settings.overlap_tokens):
+        if last < 0:
+            pieces += [(sections[first], p["text"], p["tokens"]) for p in hard[first]]
+        else:
+            pieces.append((sections[first], " ".join(texts[first:last + 1]), prefix[last + 1] - prefix[first]))
+    return pieces
+
+
+CHUNK_FIELDS = [
+    ("chunk_index", pa.int32()), ("chunk_text", pa.string()), ("token_count", pa.int32()), ("chunk_hash", pa.string()),
+    ("section_index", pa.int32()), ("section_heading", pa.string()), ("local_chunk_index", pa.int32()),
+    ("page_start", pa.int32()), ("page_end", pa.int32())]
+CHUNK_SCHEMA = ("chunk_index int, chunk_text string, token_count int, chunk_hash string, section_index int, "
+                "section_heading string, local_chunk_index int, page_start int, page_end int")
+
+
+def merged_chunks(pieces: list[tuple[int, str, int]], headings: list, min_tokens: int) -> list[tuple]:
+    """Chunks in the order of `CHUNK_FIELDS`, without pages: a piece under the minimum joins the chunk before it."""
+    chunks, members, begun = [], [], {}
+
+    def close() -> None:
+        at, (section, text, _) = members[0]
+        chunks.append((
+            len(chunks), "\n\n".join(p[1] for _, p in members), sum(p[2] for _, p in members),
+            hashlib.sha256(text.encode()).hexdigest(), section, headings[section] or "", at - begun[section]))
+
+    for at, piece in enumerate(pieces):
+        begun.setdefault(piece[0], at)
+        if members and piece[2] >= min_tokens:
+            close()
+            members = []
+        members.append((at, piece))
+    if members:
+        close()
+    return chunks
+
+
+def chunk_batches(settings: ChunkSettings):
+    """Chunk rows of documents, a batch at a time: key, sections, sentences, headings, pages, number of pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, values = batch.column(2).offsets.to_pylist(), batch.column(2).values
+            sections, texts, counts, hard = (values.field(n).to_pylist() for n in ("section", "text", "tokens", "hard"))
+            heads, pages, totals = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            places, rows = [], []
+            for i in range(batch.num_rows):
+                part = slice(ends[i], ends[i + 1])
+                pieces = packed_pieces(sections[part], texts[part], counts[part], hard[part], settings)
+                chunks = merged_chunks(pieces, heads[i], settings.min_tokens)
+                spans = [(1, totals[i])] * len(chunks) if pages[i] is None else located(
+                    [chunk_probe(c[1]) for c in chunks], pages[i], totals[i])
+                rows += [(*chunk, *span) for chunk, span in zip(chunks, spans)]
+                places += [i] * len(chunks)
+            taken = batch.select([0, 1]).take(pa.array(places, pa.int64()))
+            columns = [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(CHUNK_FIELDS)]
+            yield pa.RecordBatch.from_arrays(
+                [*taken.columns, *columns], names=[*taken.schema.names, *(n for n, _ in CHUNK_FIELDS)])
+
+    return run
+
+
+def sentence_rows(max_tokens: int, overlap: int) -> Column:
+    """The sentences of `sections` with section number, tokens, and the parts of a sentence longer than a piece."""
+    flat = F.flatten(F.transform("sections", lambda s, k: F.transform(
+        tx.sentences(s["body"]), lambda t: F.struct(k.alias("section"), t.alias("text"), tx.word_count(t).alias("tokens")))))
+    parts = lambda t: F.transform(
+        tx.hard_split(t, max_tokens, overlap), lambda p: F.struct(p.alias("text"), tx.word_count(p).alias("tokens")))
+    return F.transform(flat, lambda s: F.struct(
+        s["section"].alias("section"), s["text"].alias("text"), s["tokens"].alias("tokens"),
+        F.when(s["tokens"] > max_tokens, parts(s["text"])).alias("hard")))
 
 
 def chunk_documents(
     docs: DataFrame, settings: ChunkSettings = ChunkSettings(), key: str = "doc_id",
-    text_col: str = "text", total_pages: Column | int = 1,
+    text_col: str = "text", total_pages: Column | int = 1, pages_col: str | None = None,
 ) -> DataFrame:
     """Sentence-packed chunks of every document.
 
     Pieces under the minimum join the chunk before them, also across sections;
-    such a chunk keeps the hash of its first piece.
+    such a chunk keeps the hash of its first piece. With `pages_col`, an array of (page_no, text) on the
+    document's row, each chunk gets the pages it lies on, found before the chunks become rows.
     """
     pages = total_pages if isinstance(total_pages, Column) else F.lit(total_pages)
+    more = [F.col(pages_col).alias("_page_list")] if pages_col else []
     cleaned = docs.select(
         key,
         tx.strip(tx.strip_page_header_lines(tx.strip(text_col))).alias("text"),
-        pages.alias("_pages"),
-    )
-    packed = with_pieces(with_sections(cleaned, mode=settings.heading_mode), settings)
-
-    heads = packed.withColumn(
-        "_starts",
-        F.filter(
-            F.sequence(F.lit(1), F.greatest(F.size("pieces"), F.lit(1))),
-            lambda i: (i == 1) | (F.element_at("pieces", i)["tokens"] >= settings.min_tokens),
-        ),
-    )
-
-    def chunk(start: Column, index: Column) -> Column:
-        until = F.when(
-            index + 1 < F.size("_starts"),
-            F.element_at("_starts", F.least(index + 2, F.size("_starts"))),
-        ).otherwise(F.size("pieces") + 1)
-        members = F.slice("pieces", start, until - start)
-        first = F.element_at("pieces", start)
-        return F.struct(
-            index.alias("chunk_index"),
-            F.array_join(F.transform(members, lambda p: p["text"]), "\n\n").alias("chunk_text"),
-            F.aggregate(F.transform(members, lambda p: p["tokens"]), F.lit(0), lambda a, n: a + n)
-            .alias("token_count"),
-            F.sha2(first["text"], 256).alias("chunk_hash"),
-            first["section"].alias("section_index"),
-            F.coalesce(F.element_at("sections", first["section"] + 1)["heading"], F.lit(""))
-            .alias("section_heading"),
-            (start - F.array_position(F.transform("pieces", lambda p: p["section"]),
-                                      first["section"])).cast("int").alias("local_chunk_index"),
-        )
-
-    found = F.when(F.size("pieces") > 0, F.transform("_starts", chunk))
-    rows = unnest(
-        heads, [key, "_pages", F.greatest(F.size("sections"), F.lit(1)).alias("_n")], found, "c"
-    )
+        pages.alias("_pages"), *more,
+    )
+    split = with_sections(cleaned, mode=settings.heading_mode)
+    found = page_texts("_page_list") if more else F.lit(None).cast("array<struct<page_no:int,text:string>>")
+    total = F.greatest(F.lit(1), F.size("_page_list")) if more else F.greatest(F.lit(1), F.col("_pages"))
+    ready = split.select(
+        key, F.greatest(F.size("sections"), F.lit(1)).alias("_n"),
+        sentence_rows(settings.max_tokens, settings.overlap_tokens).alias("_sentences"),
+        F.transform("sections", lambda s: s["heading"]).alias("_headings"), found.alias("_found"),
+        total.cast("int").alias("_total"))
+    kept = f"{ready.schema[key].name} {ready.schema[key].dataType.simpleString()}, _n int"
+    rows = ready.mapInArrow(chunk_batches(settings), f"{kept}, {CHUNK_SCHEMA}")
     return rows.select(
         key,
-        F.concat_ws("-", F.col(key).cast("string"), F.col("c.chunk_index").cast("string"))
+        F.concat_ws("-", F.col(key).cast("string"), F.col("chunk_index").cast("string"))
         .alias("chunk_id"),
-        "c.chunk_index", "c.chunk_text",
-        F.when(F.col("c.section_heading") != "",
-               F.concat_ws("\n\n", "c.section_heading", "c.chunk_text"))
-        .otherwise(F.col("c.chunk_text")).alias("embed_text"),
-        F.lit(1).alias("page_start"), F.greatest(F.lit(1), F.col("_pages")).alias("page_end"),
-        "c.token_count", "c.chunk_hash", "c.section_index", "c.section_heading",
-        F.bround(F.col("c.section_index") / F.col("_n"), 4).alias("position_ratio"),
-        "c.local_chunk_index",
+        "chunk_index", "chunk_text",
+        F.when(F.col("section_heading") != "", F.concat_ws("\n\n", "section_heading", "chunk_text"))
+        .otherwise(F.col("chunk_text")).alias("embed_text"),
+        "page_start", "page_end", "token_count", "chunk_hash", "section_index", "section_heading",
+        F.bround(F.col("section_index") / F.col("_n"), 4).alias("position_ratio"),
+        "local_chunk_index",
         F.lit(settings.mode).alias("chunker_mode"),
     )
 
@@ -308,77 +263,81 @@ def strip_repeated_page_lines(pages: DataFrame, key: str = "doc_id", threshold:
     )
 
 
-def page_offsets(pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Joined text of a document with the (start, end) of each page in it.
+def page_texts(pages: str) -> Column:
+    """Stripped pages (page_no, text) in order; blank ones take no space."""
+    stripped = F.transform(pages, lambda p: F.struct(p["page_no"].alias("page_no"), tx.strip(p["text"]).alias("text")))
+    return F.array_sort(F.filter(stripped, lambda p: p["text"] != ""))
+
+
+def chunk_probe(text: str) -> tuple[str | None, str | None, int]:
+    """What a chunk is looked up by: the start of its first long line, else its own start; and its length."""
+    lines = (line.strip(BLANKS) for line in text.split("\n"))
+    line, start = next((x for x in lines if len(x) > 15), "")[:80], text[:80].strip(BLANKS)
+    return line if len(line) > 10 else None, start if len(start) > 10 else None, len(text)
+
 
-    Blank pages take no space. One document is one group; its pages are the
-    parts of one file.
+def first_places(text: str, probes: set[str]) -> dict[str, int]:
+    """First place of each probe in the text: all are looked for in one walk over it."""
+    if len(probes) < 8:
+        return {p: at for p in probes if (at := text.find(p)) >= 0}
+    machine = ahocorasick.Automaton()
+    for probe in probes:
+        machine.add_word(probe, probe)
+    machine.make_automaton()
+    found: dict[str, int] = {}
+    for end, probe in machine.iter(text):
+        if probe not in found:
+            found[probe] = end + 1 - len(probe)
+    return found
+
+
+def located(probes: list[tuple], pages: list[dict], total: int) -> list[tuple[int, int]]:
+    """First and last page of each chunk of a document; one that is not found has all pages.
+
+    Pages lie one after the other, two characters apart; a chunk goes from its place on for its own
+    length, and its pages are found by binary search.
     """
-    per_doc = (
-        pages.withColumn("text", tx.strip("text")).where("text <> ''")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("_p"))
-    )
-    ends = per_doc.withColumn(
-        "_ends",
-        F.aggregate(
-            "_p", F.array(F.lit(0)),
-            lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p["text"]) + 2)),
-        ),
-    )
-    return ends.select(
-        key,
-        F.concat(F.array_join(F.transform("_p", lambda p: p["text"]), "\n\n"), F.lit("\n\n"))
-        .alias("search_text"),
-        F.transform(
-            "_p",
-            lambda p, i: F.struct(
-                p["page_no"].alias("page_no"), F.element_at("_ends", i + 1).alias("start"),
-                F.element_at("_ends", i + 2).alias("end"),
-            ),
-        ).alias("offsets"),
-    )
+    starts = [0, *accumulate(len(p["text"]) + 2 for p in pages)]
+    text = "".join(p["text"] + "\n\n" for p in pages)
+    places = first_places(text, {q for p in probes for q in p[:2] if q})
+    out = []
+    for line, start, chars in probes:
+        at = places.get(line, places.get(start))
+        # Page i has the places from starts[i] up to starts[i + 1].
+        first = -1 if at is None else bisect_right(starts, at) - 1
+        last = -2 if at is None else bisect_left(starts, at + chars, 0, len(pages)) - 1
+        out.append((pages[first]["page_no"], pages[last]["page_no"]) if first <= last else (1, total))
+    return out
+
+
+def range_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Page ranges of chunks gathered by document: key, chunks (chunk_index, chunk_text), pages, number of pages."""
+    for batch in batches:
+        places, index, spans = [], [], []
+        chunks, pages, totals = (batch.column(i).to_pylist() for i in (1, 2, 3))
+        for i in range(batch.num_rows):
+            spans += located([chunk_probe(c["chunk_text"]) for c in chunks[i]], pages[i] or [], totals[i])
+            index += [c["chunk_index"] for c in chunks[i]]
+            places += [i] * len(chunks[i])
+        key = batch.select([0]).take(pa.array(places, pa.int64()))
+        columns = [pa.array(v, pa.int32()) for v in (index, [s[0] for s in spans], [s[1] for s in spans])]
+        yield pa.RecordBatch.from_arrays(
+            [key.column(0), *columns], names=[*key.schema.names, "chunk_index", "page_start", "page_end"])
 
 
 def locate_pages(chunks: DataFrame, pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Page range of each chunk, found by its first long line, else by its start.
+    """Page range of each chunk (key, chunk_index, chunk_text) by the pages of a table (key, page_no, text).
 
-    A chunk that is not found gets the whole document.
+    Chunks and pages come together once per document, and only ranges go back to the chunk rows. Where the pages stand on the document's row, `chunk_documents` moves nothing.
     """
-    totals = pages.groupBy(key).agg(F.greatest(F.lit(1), F.count("*")).cast("int").alias("_total"))
-    placed = chunks.join(page_offsets(pages, key), key, "left").join(totals, key, "left")
-    long_lines = F.filter(
-        F.transform(F.split("chunk_text", "\n"), tx.strip), lambda x: F.length(x) > 15
-    )
-    probe1 = F.substring(F.get(long_lines, F.lit(0)), 1, 80)
-    probe2 = tx.strip(F.substring("chunk_text", 1, 80))
-
-    def position(probe: Column) -> Column:
-        return F.when(
-            F.length(probe) > 10, F.call_function("instr", F.col("search_text"), probe)
-        ).otherwise(F.lit(0))
-
-    pos = F.coalesce(
-        F.when(position(probe1) > 0, position(probe1)), F.when(position(probe2) > 0, position(probe2))
-    ) - 1
-    hit = placed.withColumn("_pos", pos).withColumn(
-        "_hits",
-        F.transform(
-            F.filter(
-                "offsets",
-                lambda o: (F.col("_pos") < o["end"])
-                & (F.col("_pos") + F.length("chunk_text") > o["start"]),
-            ),
-            lambda o: o["page_no"],
-        ),
-    )
-    found = F.col("_pos").isNotNull() & (F.size("_hits") > 0)
-    return hit.select(
-        *[c for c in chunks.columns if c not in ("page_start", "page_end")],
-        F.when(found, F.array_min("_hits")).otherwise(F.lit(1)).alias("page_start"),
-        F.when(found, F.array_max("_hits")).otherwise(F.coalesce("_total", F.lit(1)))
-        .alias("page_end"),
-    )
+    listed = pages.groupBy(key).agg(F.collect_list(F.struct(F.col("page_no").cast("int").alias("page_no"), "text")).alias("_l"))
+    gathered = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))).alias("_c"))
+    met = gathered.join(listed, key, "left").select(
+        key, "_c", page_texts("_l").alias("_p"), F.greatest(F.lit(1), F.coalesce(F.size("_l"), F.lit(1))).alias("_t"))
+    schema = f"{key} {met.schema[key].dataType.simpleString()}, chunk_index int, page_start int, page_end int"
+    ranges = met.mapInArrow(range_batches, schema)
+    kept = [c for c in chunks.columns if c not in ("page_start", "page_end")]
+    return chunks.select(kept).join(ranges, [key, "chunk_index"], "left").select(*kept, "page_start", "page_end")
 
 
 # ---- chunks made elsewhere ---------------------------------------------------------

@@ -22,6 +22,8 @@ from sievegate.functions import text as tx
 from sievegate.operators import access as ac
 from sievegate.operators import retrieval as rt
 from sievegate.operators.common import salted_join, top_k, unnest
+from sievegate.operators.retrieval import _best_of_block as best_of_block
+from sievegate.operators.retrieval import _by_length as vectors_by_length
 from sievegate.session import shared_dir
 
 TERMS_BROADCAST = 500_000     # rows of (query, token, cell)
@@ -218,7 +220,7 @@ def _scan_scoped(asked: dict, k: int, batches: Iterator[pd.DataFrame]) -> Iterat
         seen = np.array([[cell in r for cell in cells] for r in reach], dtype=bool).reshape(len(reach), len(cells))
         allowed = seen[places][:, codes] | (users[:, None] == batch["owner_user_id"].fillna(-1).to_numpy()[None, :])
         sims = np.zeros((len(ids), len(batch)))
-        for length, (at, rows) in rt._by_length(batch["embedding"].to_numpy()).items():
+        for length, (at, rows) in vectors_by_length(batch["embedding"].to_numpy()).items():
             if length in groups:
                 which, matrix = groups[length]
                 sims[np.ix_(which, at)] = np.round(matrix @ rows.T, 12)
@@ -228,7 +230,7 @@ def _scan_scoped(asked: dict, k: int, batches: Iterator[pd.DataFrame]) -> Iterat
             scores, names = sims[i][allowed[i]], chunk_ids[allowed[i]]
             if best is not None:
                 scores, names = np.concatenate([best[i][0], scores]), np.concatenate([best[i][1], names])
-            found.append(rt._best_of_block(scores[None, :], names[None, :], k)[0])
+            found.append(best_of_block(scores[None, :], names[None, :], k)[0])
         best = found
     if best is not None:
         yield pd.DataFrame({
@@ -264,12 +266,12 @@ def scoped_cosine(
         rows = part.collect()  # at most one block
         classes = sorted({r["class_id"] for r in rows})
         reach = {c: set() for c in classes}
-        for r in scopes.join(part.select("class_id").distinct(), "class_id", "left_semi").collect():
+        for r in scopes.join(part.select("class_id").distinct(), "class_id", "left_semi").collect():  # at most one block
             reach[r["class_id"]].add(r["cell"])
         sent = context.broadcast({
             "ids": np.array([r["query_id"] for r in rows]), "users": np.array([r["user_id"] for r in rows], dtype=np.int64),
             "classes": np.array([classes.index(r["class_id"]) for r in rows], dtype=np.int64),
-            "reach": [reach[c] for c in classes], "groups": rt._by_length([r["embedding"] for r in rows])})
+            "reach": [reach[c] for c in classes], "groups": vectors_by_length([r["embedding"] for r in rows])})
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             yield from _scan_scoped(sent.value, k, batches)

@@ -9,7 +9,7 @@ from sievegate.functions import text as tx
 from sievegate.operators import chunking as ch
 from sievegate.plans import fixtures as fx
 from sievegate.plans.fixtures import quote, sql
-from sievegate.plans.registry import register
+from sievegate.plans.registry import ORACLE, register
 from sievegate.sources.tables import table, text_table
 
 NL = "chr(10)"
@@ -157,14 +157,21 @@ def flow_labels(spark, sf):
 
 # ---- sections, sentences, chunks --------------------------------------------------------
 
-def heading_text(spark, sf):
+def heading_text(spark, sf, *more):
     """Documents with numbered headings put before every sixth line."""
     docs = text_table(spark, sf, "documents").withColumn("ls", F.split("text", "\n"))
-    return docs.select("doc_id", F.array_join(F.transform(
+    return docs.select("doc_id", *more, F.array_join(F.transform(
         "ls", lambda x, i: F.when(i % 6 == 3, F.concat(F.lit("Section "), (i / 6).cast("int"), F.lit(". Topic "), F.col("doc_id") % 9, F.lit("\n"), x))
         .when(i % 11 == 7, F.concat(F.lit("TRÌNH CHUNG\n"), x)).otherwise(x)), "\n").alias("text"))
 
 
+def paged_text(spark, sf):
+    """The same with the document's pages, as `fixtures.pages` cuts them, on its row."""
+    return heading_text(spark, sf, F.expr(f"""transform(sequence(0, cast((size(ls) - 1) div {fx.PAGE_LINES} as int)), p -> struct(
+        cast(p + 1 as int) AS page_no, concat('Running head ', doc_id % 3, '\\n', array_join(slice(ls, p * {fx.PAGE_LINES} + 1, {fx.PAGE_LINES}), '\\n'),
+        '\\n  Lần ban hành 01\\nPage ', p + 1) AS text))""").alias("pages"))
+
+
 fx.CTE["heading_text"] = ([], f"""SELECT doc_id, array_to_string(list_transform(string_split(text, {NL}),
    lambda x, i: CASE WHEN (i - 1) % 6 = 3 THEN 'Section ' || ((i - 1) // 6) || '. Topic ' || (doc_id % 9) || {NL} || x
      WHEN (i - 1) % 11 = 7 THEN 'TRÌNH CHUNG' || {NL} || x ELSE x END), {NL}) AS text FROM documents""")
@@ -279,6 +286,14 @@ FROM f LEFT JOIN (SELECT doc_id, count(*) tot FROM doc_pages GROUP BY 1) t ON t.
 LEFT JOIN o ON o.doc_id = f.doc_id AND pos < ps + length(t) + 2 AND pos + length(chunk_text) > ps
 GROUP BY f.doc_id, f.chunk_index"""))
 def chunk_pages(spark, sf):
+    """Pages stand on the document's row, as one file's; no text moves."""
+    return ch.chunk_documents(paged_text(spark, sf), PACK, pages_col="pages").select(
+        "doc_id", "chunk_index", "page_start", "page_end")
+
+
+@register("chunk_pages_of_table", ORACLE["chunk_pages"])
+def chunk_pages_of_table(spark, sf):
+    """The same from a table of pages."""
     chunks = ch.chunk_documents(heading_text(spark, sf), PACK).select("doc_id", "chunk_index", "chunk_text")
     return ch.locate_pages(chunks, fx.pages(spark, sf)).select("doc_id", "chunk_index", "page_start", "page_end")
 
