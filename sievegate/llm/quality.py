@@ -17,7 +17,20 @@ SYMBOLS = "#*$%&|<>"
 LETTERS = re.compile(r"[^\W\d_]")
 SPACES = " \t\n\x0b\x0c\r"
 FEATURES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-            "n_lines long, n_upper long, n_distinct long, n_plain long, n_stutter long")
+            "n_lines long, n_upper long, n_distinct long, n_plain long, n_stutter long, n_window_words long, n_window_distinct long")
+#: Words of a window in which different words are counted.
+WINDOW = 100
+
+
+def window_vocabulary(words: list[str]) -> tuple[int, int]:
+    """Words and different words, summed over windows of `WINDOW` words.
+
+    The share of different words falls with the length of any text; within windows of one length it
+    does not. The last window ends with the text and takes words of the one before to be full.
+    """
+    starts = range(0, len(words), WINDOW)
+    windows = [words[low:low + WINDOW] for low in (min(at, max(0, len(words) - WINDOW)) for at in starts)]
+    return sum(map(len, windows)), sum(len(set(w)) for w in windows)
 
 
 def text_features(text: str) -> tuple[int, ...]:
@@ -38,6 +51,7 @@ def text_features(text: str) -> tuple[int, ...]:
         sum(w.isupper() and len(w) > 1 for w in words), len(set(words)),
         sum(w.strip(".,;:!?\"'()").isalpha() for w in words),
         sum(a.strip(".,;:!?").lower() == b.strip(".,;:!?").lower() for a, b in zip(words, words[1:])),
+        *window_vocabulary(words),
     )
 
 
@@ -58,7 +72,7 @@ def rule_votes() -> dict[str, Column]:
         "lines": vote(F.col("n_dup_lines") > 0.3 * F.col("n_lines"), F.lit(False)),
         "repeats": vote(part("n_repeat_words") > 0.2, part("n_repeat_words") < 0.02),
         "capitals": vote(part("n_upper") > 0.3, part("n_upper") < 0.05),
-        "vocabulary": vote((part("n_distinct") < 0.25) & (F.col("n_words") < 400), F.lit(False)),
+        "vocabulary": vote(F.col("n_window_distinct") < 0.4 * F.col("n_window_words"), F.lit(False)),
         "stutter": vote(part("n_stutter") > 0.2, part("n_stutter") < 0.05),
         "plain_words": vote(part("n_plain") < 0.75, part("n_plain") > 0.9),
         "density": vote(F.col("n_symbols") > 0.05 * F.col("word_chars"), F.col("n_symbols") < 0.002 * F.col("word_chars")),

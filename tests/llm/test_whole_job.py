@@ -86,3 +86,46 @@ def test_rare_short_and_several_toxic_words_count():
     score = model.scorer()
     assert all(score(text(t)) >= 0.5 for t in terms)
     assert sum(score(text()) >= 0.5 for _ in range(300)) < 6
+
+
+def test_few_different_words_count_at_every_length(spark):
+    """Texts of 52 different words, without repeated windows: 399 words, 400, and far more get the same vote."""
+    from sievegate.llm.quality import WINDOW, judge_quality, text_features
+
+    rng = np.random.default_rng(8)
+    few, many = ([f"{c}{''.join(rng.choice(list('aeiou'), 4))}{i}" for i, c in enumerate(rng.choice(list("bcdfg"), n))] for n in (24, 4000))
+    text = lambda words, n: " ".join(rng.choice(words, n))
+    rows = [(n, text(few, n)) for n in (300, 399, 400, 800, 1600, 6400)] + [(-n, text(many, n)) for n in (300, 399, 400, 800, 1600, 6400)]
+    rows += [(100_000 + k, r[1] + " " + r[1]) for k, r in enumerate(rows[6:8])]
+    votes = {r["doc_id"]: r["votes"][6] for r in judge_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, v in votes.items() if v == -1} == {n for n, _ in rows if 0 < n < 100_000}
+    for n in (1, WINDOW - 1, WINDOW, WINDOW + 1, 5 * WINDOW + 3):
+        words = text(many, n).split()
+        windows = [words[-WINDOW:] if at + WINDOW > n else words[at:at + WINDOW] for at in range(0, n, WINDOW)]
+        assert text_features(" ".join(words))[-2:] == (sum(map(len, windows)), sum(len(set(w)) for w in windows))
+    assert text_features("")[-2:] == (0, 0)
+
+
+def test_expectation_maximisation_against_every_class_of_every_text():
+    """Accuracies and posteriors, spelled out text by text with plain probabilities."""
+    from sievegate.llm.quality import estimate, posterior
+
+    rng = np.random.default_rng(2)
+    good = rng.random(4000) < 0.8
+    votes = np.zeros((4000, 4), dtype=int)
+    for rule, (right, says) in enumerate([(0.95, 0.9), (0.9, 0.7), (0.8, 0.5), (0.85, 0.3)]):
+        spoken, true = rng.random(4000) < says, rng.random(4000) < right
+        votes[:, rule] = np.where(spoken, np.where(true == good, 1, -1), 0)
+    patterns, weight = np.unique(votes, axis=0, return_counts=True)
+    prior, table = estimate(patterns, weight.astype(float))
+    one_prior, one_table = estimate(votes, np.ones(4000))
+    assert abs(prior - one_prior) < 1e-6 and np.abs(table - one_table).max() < 1e-6
+    hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
+    found = posterior(prior, table, hot)
+    for row, p in list(zip(votes, found))[:200]:
+        chances = [(1 - prior) if c == 0 else prior for c in (0, 1)]
+        for rule, v in enumerate(row):
+            if v:
+                chances = [x * table[c, rule, v + 1] for c, x in enumerate(chances)]
+        assert abs(chances[1] / sum(chances) - p) < 1e-9
+    assert abs(prior - good.mean()) < 0.05 and ((found >= 0.5) == good).mean() > 0.93
