@@ -1,4 +1,4 @@
-"""License scans with a positional index of each notice's rarest words."""
+"""License scans with a positional index of all notice words, entered by each file's rarest ones."""
 
 from __future__ import annotations
 
@@ -51,11 +51,14 @@ class Template:
         self.label, self.exact = label, exact
         self.words = notice.encode().split()
         self.required = [p.encode().split() for p in required]
+        self.needed = frozenset(w for p in self.required for w in p)
         self.slack = 0 if exact else 1 + len(self.words) // 8
 
 
 TEMPLATES = [Template(*p, True) for p in PHRASES] + [Template(*n, False) for n in NOTICES]
 VOCABULARY = sorted({w for t in TEMPLATES for w in t.words})
+#: Licence words of a file that enter a notice's postings, besides one of each required phrase.
+RARE = 3
 
 
 def document_frequency(docs: DataFrame) -> tuple[dict[bytes, int], int]:
@@ -80,20 +83,30 @@ def document_frequency(docs: DataFrame) -> tuple[dict[bytes, int], int]:
     return sums, sums.pop(b"", 0)
 
 
-def rare_index(frequency: dict[bytes, int], documents: int, rare: int = 3):
-    """Word to postings (template, position): the `rare` highest-IDF words of each template.
-
-    Of an exact phrase the rarest word is enough, because every place of the phrase has it.
-    """
-    idf = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for w in VOCABULARY}
-    index: dict[bytes, list[tuple[int, int]]] = {}
+def postings() -> dict[bytes, dict[int, list[int]]]:
+    """Word to its positions in each template: all words of all templates."""
+    index: dict[bytes, dict[int, list[int]]] = {}
     for t, template in enumerate(TEMPLATES):
-        ranked = sorted(range(len(template.words)), key=lambda i: (-idf[template.words[i]], i))
-        words = list(dict.fromkeys(template.words[i] for i in ranked))[:1 if template.exact else rare]
         for at, word in enumerate(template.words):
-            if word in words:
-                index.setdefault(word, []).append((t, at))
-    return index, idf
+            index.setdefault(word, {}).setdefault(t, []).append(at)
+    return index
+
+
+def inverse_frequency(frequency: dict[bytes, int], documents: int) -> dict[bytes, float]:
+    return {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for w in VOCABULARY}
+
+
+def entry_words(template: Template, places: dict[bytes, list[int]], idf: dict[bytes, float]) -> list[bytes]:
+    """The file's own words that enter a template's postings: its rarest ones, and one of each required phrase.
+
+    A phrase that must be there has all its words in the file, so a notice whose other words are altered
+    is still entered. Of an exact phrase the rarest word is enough, because every place has it.
+    """
+    rank = lambda w: (-idf[w], w)
+    if template.exact:
+        return [min(template.words, key=rank)]
+    own = sorted({w for w in template.words if w in places}, key=rank)[:RARE]
+    return list(dict.fromkeys([*own, *(min(p, key=rank) for p in template.required)]))
 
 
 def has_phrase(words: list[bytes], phrase: list[bytes], start: int, end: int) -> bool:
@@ -104,13 +117,20 @@ def has_phrase(words: list[bytes], phrase: list[bytes], start: int, end: int) ->
 def find_notices(words: list[bytes], index, idf) -> list[tuple[int, int, float]]:
     """(template, first word, score) of every notice in a text.
 
-    The text's licence words are looked up, the rarest first; each posting proposes a place for the
-    whole notice. Rare words that agree on a place are one proposal. It stands if the required
-    phrases are near their places and enough words of the notice are where they should be.
+    Templates of which the text lacks a required word are out. Of the others the text's rarest licence words are
+    looked up; each posting proposes a place for the whole notice, and words that agree on a place are
+    one proposal. It stands if the required phrases are near their places and enough words of the
+    notice are where they should be.
     """
-    places = [(i, w) for i, w in enumerate(words) if w in index]
-    proposed = dict.fromkeys(
-        (t, i - at) for i, w in sorted(places, key=lambda p: (-idf[p[1]], p[0])) for t, at in index[w])
+    places: dict[bytes, list[int]] = {}
+    for i, w in enumerate(words):
+        if w in index:
+            places.setdefault(w, []).append(i)
+    proposed: dict[tuple[int, int], None] = {}
+    for t, template in enumerate(TEMPLATES):
+        if template.needed <= places.keys():
+            for w in entry_words(template, places, idf):
+                proposed |= dict.fromkeys((t, i - at) for at in index[w][t] for i in places[w])
     found: dict[int, list[tuple[int, float]]] = {}
     for t, start in proposed:
         template = TEMPLATES[t]
@@ -142,20 +162,18 @@ def scan_licenses(docs: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
     All places of the base phrases are counted, wherever they stand; labels has the labels of the
     notices too. The score is the best share of a notice's words found in place, 1 for a phrase and
     0 without a match. Null and empty texts have no words, null places, empty labels and score 0.
-    The word frequencies that pick the rare words are counted over all documents first; they decide
+    The word frequencies that rank a file's licence words are counted over all documents first; they decide
     where the search starts, not what it finds of the base phrases. Columns of the added names are
     replaced. Repeated rows are scanned each; an empty table stays empty.
     """
-    index, idf = rare_index(*document_frequency(docs))
+    index, idf = postings(), inverse_frequency(*document_frequency(docs))
 
     def start():
-        rare = frozenset(index)
-
         def work(texts):
             columns = [[] for _ in range(8)]
             for text in texts.to_pylist():
                 words = lower_words(text)
-                found = [] if rare.isdisjoint(words) else find_notices(words, index, idf)
+                found = find_notices(words, index, idf)
                 base = [(t, at) for t, at, _ in found if TEMPLATES[t].exact]
                 row = (
                     len(words), len(base), min((at for _, at in base), default=None),

@@ -129,3 +129,44 @@ def test_expectation_maximisation_against_every_class_of_every_text():
                 chances = [x * table[c, rule, v + 1] for c, x in enumerate(chances)]
         assert abs(chances[1] / sum(chances) - p) < 1e-9
     assert abs(prior - good.mean()) < 0.05 and ((found >= 0.5) == good).mean() > 0.93
+
+
+def test_altered_notices_are_found(spark):
+    """Any three words outside the required phrases replaced: every notice with enough words in place is found."""
+    from itertools import combinations
+
+    from sievegate.llm.licenses import TEMPLATES, find_notices, has_phrase, inverse_frequency, postings, scan_licenses
+
+    rng = np.random.default_rng(5)
+    texts, want = [], []
+    for t, template in enumerate(TEMPLATES):
+        fixed = {i for p in template.required for i in range(len(template.words) - len(p) + 1)
+                 if template.words[i:i + len(p)] == p for i in range(i, i + len(p))}
+        free = [i for i in range(len(template.words)) if i not in fixed]
+        for out in list(combinations(free, min(3, len(free))))[::97]:
+            if 4 * (len(template.words) - len(out)) < 3 * len(template.words):
+                continue
+            words = [b"xyzzy" if i in out else w for i, w in enumerate(template.words)]
+            before = [f"some{i} text{i}" for i in range(int(rng.integers(0, 9)))]
+            texts.append(" ".join([*before, *(w.decode() for w in words), "and more the of 2 to"]))
+            want.append((t, 2 * len(before)))
+    rows = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        t, start = want[r["doc_id"]]
+        assert (TEMPLATES[t].label, start) in {(m["label"], m["start"]) for m in r["matches"]}, texts[r["doc_id"]]
+    mit = next(t for t in TEMPLATES if t.words[:2] == [b"permission", b"is"])
+    altered = [b"x" if w in (b"obtaining", b"associated", b"deal") else w for w in mit.words]
+    idf = inverse_frequency({}, 10)
+    assert (TEMPLATES.index(mit), 0) in {(t, at) for t, at, _ in find_notices(altered, postings(), idf)}
+    # Every place that the verification would accept, against proposals from every word.
+    for text in texts[::7]:
+        words = text.encode().split()
+        found = {t for t, *_ in find_notices(words, postings(), idf)}
+        for t, template in enumerate(TEMPLATES):
+            size, slack = len(template.words), template.slack
+            there = any(
+                all(has_phrase(words, p, s - slack, s + size + slack - len(p)) for p in template.required)
+                and 4 * sum(w in words[max(0, s + i - slack):max(0, s + i + slack + 1)] for i, w in enumerate(template.words)) >= 3 * size
+                for s in range(-slack, len(words))) if not template.exact else any(
+                words[s:s + size] == template.words for s in range(len(words)))
+            assert (t in found) == there, (text, template.label)
