@@ -105,9 +105,9 @@ def apart(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     return renamed, lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
-def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """Columns but the text under names that clash with no working column, and the names they got."""
-    names = {c: c if c == "text" else f"_c{i}" for i, c in enumerate(df.columns)}
+def renamed(df: DataFrame, keep=("text",)) -> tuple[DataFrame, dict[str, str]]:
+    """Columns but those in `keep` under names that clash with no working column, and the names they got."""
+    names = {c: c if c in keep else f"_c{i}" for i, c in enumerate(df.columns)}
     return df.select(*[F.col(quoted(c)).alias(n) for c, n in names.items()]), names
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievegate.llm.common import apart, quoted, running_start, without
+from sievegate.llm.common import apart, given_back, quoted, renamed, running_start, without
 
 #: Base weights by rank of the source, repeating, and the slope of each weight over training:
 #: a source of slope g has the weight w * (1 + g * (2t - 1)) at time t between 0 and 1.
@@ -69,8 +69,8 @@ def mix_documents(
     """
     added = ["size", "source_size", "target", "taken", "positions"]
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = without(docs.withColumn("_size", F.regexp_count(text, F.lit(WORDS)).cast("long")), [*added, *drop])
-    sized = sized.withColumnRenamed("_size", "size")
+    base, names = renamed(without(docs, added), keep=("doc_id", "source", "text"))
+    sized = without(base.withColumn("size", F.regexp_count(text, F.lit(WORDS)).cast("long")), [names[c] for c in drop if c in names])
     sized = sized.withColumn("_key", F.md5(F.concat(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string"))))
 
@@ -88,14 +88,15 @@ def mix_documents(
         F.col("size") > 0, F.greatest(F.lit(0), F.floor((F.col("target") - middle) / whole) + 1),
     ).otherwise(F.lit(0)).cast("int")
     part = lambda k: (k * F.col("source_size") + middle) / F.nullif("target", F.lit(0.0))
-    return placed.withColumn("_copies", copies).withColumns({
+    mixed = placed.withColumn("_copies", copies).withColumns({
         "taken": F.col("size") * F.col("_copies"),
         "positions": F.when(
             F.col("_copies") > 0,
             F.transform(F.sequence(F.lit(0), F.col("_copies") - 1),
                         lambda k: invert_demand(part(k), F.col("slope"))),
         ).otherwise(F.array().cast("array<double>")),
-    }).drop("_copies", "_start", "_key", "slope")
+    })
+    return given_back(mixed, names, added, drop)
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
@@ -125,8 +126,8 @@ def ordered_mix(docs: DataFrame, columns: list[str] | None = None, **settings) -
     With `columns`, these columns as given and nothing else: documents that the mix does not take
     are gone, and those it takes twice are there twice.
     """
-    renamed, back = apart(docs)
-    named = renamed.withColumns({c: F.col(quoted(renamed.columns[docs.columns.index(c)])) for c in ("doc_id", "source")})
+    inner, back = apart(docs)
+    named = inner.withColumns({c: F.col(quoted(inner.columns[docs.columns.index(c)])) for c in ("doc_id", "source")})
     mixed = mix_documents(named if columns else docs, **settings)
     rows = mixed.withColumn("position", F.explode("positions")).drop("positions").orderBy("position", "doc_id")
     return back(rows).select(*[F.col(quoted(c)) for c in columns]) if columns else rows

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegate.llm.common import running_start, without
+from sievegate.llm.common import given_back, renamed, running_start, without
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -52,8 +52,9 @@ def shard_documents(
     empty table gives an empty result. Columns named like the added ones are replaced.
     """
     added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    base, names = renamed(without(docs, added), keep=(key, "text", place))
     text = F.coalesce(F.col("text"), F.lit("")) if "text" in docs.columns else F.lit("")
-    rows = without(docs, added).withColumns({
+    rows = base.withColumns({
         "size": (F.octet_length(text) + 8).cast("long"),
         "text_crc32": F.crc32(text.cast("binary")).cast("long"),
     })
@@ -63,9 +64,10 @@ def shard_documents(
         "grown_shard": jump_shard(F.col(key), grown or shards + 1),
     })
     if place is None:
-        return running_start(placed, ["shard"], [key, "text_crc32", "size"], F.lit(1), blocks, "slot")
-    return running_start(
-        placed, ["shard"], [place], F.lit(1), blocks, "slot", block=F.shiftright(place, 13)).drop(place)
+        slotted = running_start(placed, ["shard"], [key, "text_crc32", "size"], F.lit(1), blocks, "slot")
+    else:
+        slotted = running_start(placed, ["shard"], [place], F.lit(1), blocks, "slot", block=F.shiftright(place, 13))
+    return given_back(slotted, names, added, (place,) if place else ())
 
 
 def with_place(docs: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegate.llm.common import without
+from sievegate.llm.common import given_back, renamed, without
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -121,10 +121,11 @@ def judge_urls(
     dealt by key ranges; a rule goes to each range its interval touches, and equal keys that fill
     several ranges are spread over them, so one host may hold any share of the pages. A task holds
     the stack of open rules and one batch. Null URLs and URLs without :// have empty host and path
-    and get `default`, unless a rule has an empty host. Columns of the added names are replaced.
+    and get `default`, unless a rule has an empty host. Very long URLs are rows like others; repeated rows
+    are judged each; an empty table stays empty. Columns of the added names are replaced, others stay.
     """
-    spark = pages.sparkSession
-    base = without(pages, ["host", "path", "rule", "verdict"])
+    spark, added = pages.sparkSession, ["host", "path", "rule", "verdict"]
+    base, names_given = renamed(without(pages, added), keep=("page_id", url))
     located = base.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))}).withColumn(
         "_key", host_key(F.col("host")))
     wanted = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -148,4 +149,5 @@ def judge_urls(
     names = [*base.columns, "host", "path", "rule", "verdict"]
     fields = ", ".join(f"{'`' + f.name + '`'} {f.dataType.simpleString()}" for f in base.schema)
     schema = f"{fields}, host string, path string, rule string, verdict string"
-    return ranged.mapInArrow(lambda batches: sweep(batches, names, default), schema)
+    judged = ranged.mapInArrow(lambda batches: sweep(batches, names, default), schema)
+    return given_back(judged, names_given, added)

@@ -13,6 +13,7 @@ from sievegate.llm import queries
 from sievegate.llm.decontamination import decontaminate, mark_benchmark
 from sievegate.llm.language import identify, train, training_rows
 from sievegate.llm.licenses import scan_licenses
+from sievegate.llm.lines import mark_lines
 from sievegate.llm.mixing import invert_demand, mix_documents, ordered_mix
 from sievegate.llm.quality import judge_quality
 from sievegate.llm.secrets import base62, scan_secrets
@@ -33,7 +34,8 @@ ODD = [
     (7, "Ñandú ÉTÉ İstanbul ſecret K 漢字 😀 çà.", "es", "c", 4), (8, "!!! ??? ...", "en", "a", 9),
 ]
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHES = ("score", "shard", "Size", "kept", "labels", "n_words", "matches", "position", "rule")
+CLASHES = ("score", "shard", "Size", "kept", "labels", "n_words", "matches", "position", "rule", "slope", "_key", "_kind",
+           "_part", "_group", "_block", "_within", "_start", "_size", "_c0", "_doc", "_version", "target", "at")
 
 
 @pytest.fixture(scope="module")
@@ -347,7 +349,7 @@ OPERATORS = {
     "secrets": scan_secrets, "mix": mix_documents, "near": near_duplicates,
     "benchmark": lambda df: mark_benchmark(df, df.selectExpr("doc_id AS item_id", "text").where("doc_id < 3")),
     "toxicity": lambda df: score_toxicity(df, ToxicityModel([b"some awful words"] * 9, [b"plain text here"] * 9)),
-    "language": lambda df: identify(df, train(df)),
+    "language": lambda df: identify(df, train(df)), "lines": mark_lines,
 }
 
 
@@ -357,6 +359,26 @@ def test_odd_rows_and_empty_tables(spark, odd, name):
     assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(str(r[0]) for r in ODD)
     assert len({c.lower() for c in got.columns}) == len(got.columns)
     assert OPERATORS[name](odd.where("false")).collect() == []
+    if name in ("shard", "mix", "lines"):
+        replaced = {"shard": {"shard", "size"}, "mix": {"size", "target"}, "lines": set()}[name]
+        kept = [c for c in CLASHES if c.lower() not in replaced]
+        assert {tuple(r[c] for c in kept) for r in got.collect()} == {("x",) * len(kept)}
+
+
+def test_odd_pages(spark):
+    """Working names as columns, a null id, repeated rows, a very long URL, and an empty table."""
+    clashes = ("_key", "_kind", "_part", "_verdict", "_c0", "text", "Host")
+    urls = [(1, "http://a.com/en/x"), (1, "http://a.com/en/x"), (None, None), (2, "http://b.com/" + "y" * 200_000), (3, ""), (3, "x://")]
+    pages = spark.createDataFrame(
+        [(*u, *("z",) * len(clashes)) for u in urls], "page_id long, url string, " + ", ".join(f"{c} string" for c in clashes))
+    rules = spark.createDataFrame([("block", "com", "/en/")], "verdict string, host string, path string")
+    got = judge_urls(pages, rules, parts=3)
+    assert got.columns == ["page_id", "url", *clashes[:-1], "host", "path", "rule", "verdict"]
+    rows = got.collect()
+    assert sorted(((r["page_id"], r["verdict"]) for r in rows), key=str) == [
+        (1, "block"), (1, "block"), (2, "allow"), (3, "allow"), (3, "allow"), (None, "allow")]
+    assert {tuple(r[c] for c in clashes[:-1]) for r in rows} == {("z",) * 6}
+    assert judge_urls(pages.where("false"), rules).collect() == []
 
 
 def test_stages_keep_columns_as_given(spark, odd):
