@@ -5,10 +5,13 @@ Tables: chunks (chunk_id, chunk_text, ...), queries (query_id, text, ...).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -357,30 +360,66 @@ def hashed_embedding(c: Column | str, width: int = 64) -> Column:
     )
 
 
-def embed_texts(
-    rows: DataFrame, encode, text_col: str = "text", batch: int = fixed.EMBED_BATCH
+def encode_texts(
+    rows: DataFrame, make_encoder: Callable[[], Callable], text_col: str = "text", batch: int = fixed.EMBED_BATCH,
 ) -> DataFrame:
-    """Run an encoder over text batches; blank texts keep their row with an empty vector.
+    """Add `embedding` by an outside encoder, and `encode_ms`, the time of the call a text was in, shared among its texts.
 
-    `encode` takes a list of at most `batch` texts and returns a list of vectors.
+    `make_encoder` is called once per task and gives a function from a list of at most `batch` stripped
+    texts to a list of vectors. Blank and null texts are not sent and keep their row with an empty vector.
     """
     schema = T.StructType([
-        *[f for f in rows.schema.fields if f.name != "embedding"],
-        T.StructField("embedding", T.ArrayType(T.FloatType())),
-    ])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf[text_col].fillna("").str.strip()
-            slots = np.flatnonzero((texts != "").to_numpy())
-            vectors: list = [[] for _ in range(len(pdf))]
+        *[f for f in rows.schema.fields if f.name not in ("embedding", "encode_ms")],
+        T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("encode_ms", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = make_encoder()
+        for record in batches:
+            texts = [(t or "").strip() for t in record.column(text_col).to_pylist()]
+            slots = [i for i, t in enumerate(texts) if t]
+            vectors: list[list[float]] = [[] for _ in texts]
+            took = [0.0] * len(texts)
             for start in range(0, len(slots), batch):
-                part = slots[start:start + batch]
-                for slot, vector in zip(part, encode([texts.iloc[i] for i in part])):
+                part, began = slots[start:start + batch], time.perf_counter()
+                for slot, vector in zip(part, encode([texts[i] for i in part]), strict=True):
                     vectors[slot] = [float(x) for x in vector]
-            yield pdf.assign(embedding=vectors)
+                for slot in part:
+                    took[slot] = 1000 * (time.perf_counter() - began) / len(part)
+            kept = [n for n in record.schema.names if n not in ("embedding", "encode_ms")]
+            yield pa.RecordBatch.from_arrays(
+                [*(record.column(n) for n in kept), pa.array(vectors, pa.list_(pa.float32())), pa.array(took, pa.float64())],
+                names=[*kept, "embedding", "encode_ms"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def embed_texts(rows: DataFrame, encode: Callable, text_col: str = "text", batch: int = fixed.EMBED_BATCH) -> DataFrame:
+    """`encode_texts` with an encoder that needs no loading, without its times."""
+    return encode_texts(rows, lambda: encode, text_col, batch).drop("encode_ms")
+
+
+def hashed_encoder(width: int = 64) -> Callable[[], Callable]:
+    """A deterministic stand-in for a model: unit vectors of hashed word counts."""
+    def make() -> Callable:
+        places: dict[str, int] = {}
+
+        def place(word: str) -> int:
+            if word not in places:
+                places[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % width
+            return places[word]
+
+        def encode(texts: list[str]) -> list[np.ndarray]:
+            out = np.zeros((len(texts), width))
+            for row, text in zip(out, texts):
+                for word in text.lower().split():
+                    if len(word) > 1:
+                        row[place(word)] += 1
+            length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+            return list(np.divide(out, length, out=np.zeros_like(out), where=length > 0))
+
+        return encode
 
-    return rows.mapInPandas(run, schema)
+    return make
 
 
 # ---- fusion and scores ----------------------------------------------------------------

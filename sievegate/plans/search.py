@@ -13,7 +13,7 @@ from sievegate.operators.common import top_k
 from sievegate.plans import fixtures as fx
 from sievegate.plans.corpus import BLANKS, sql_tokens
 from sievegate.plans.fixtures import CTE, NOW, sql
-from sievegate.plans.registry import register
+from sievegate.plans.registry import ORACLE, register
 from sievegate.session import shared_dir
 from sievegate.sources.tables import table, text_table
 
@@ -277,6 +277,15 @@ def hashed_embeddings(spark, sf):
         F.round(F.array_max("v").cast("double"), 4).alias("top_weight"))
 
 
+@register("encoded_texts", ORACLE["hashed_embeddings"])
+def encoded_texts(spark, sf):
+    """The same vectors by the encoder hook: one encoder a task, batches of 64 texts, blanks keep their row."""
+    rows = rt.encode_texts(text_table(spark, sf, "documents").select("doc_id", "text"), rt.hashed_encoder())
+    return rows.where(F.size("embedding") > 0).select(
+        "doc_id", F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("used_slots"),
+        F.round(F.array_max("embedding").cast("double"), 4).alias("top_weight"))
+
+
 # ---- gates ------------------------------------------------------------------------------------------
 
 def access_inputs(spark, sf):

@@ -13,6 +13,7 @@ from sievegate.functions import text as tx
 from sievegate.operators import chunking as ch
 from sievegate.operators import conversation as cv
 from sievegate.operators import maintenance as mt
+from sievegate.operators import retrieval as rt
 from sievegate.plans import fixtures as fx
 from sievegate.plans.corpus import BLANKS, PACK, sql_html
 from sievegate.plans.fixtures import CTE, sql
@@ -354,6 +355,63 @@ def stream_ingest(spark, sf):
         F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens"))
 
 
+@register("ingest_run", sql("packed_chunks", f"""
+WITH v AS (SELECT doc_id, (['text', 'text', 'pdf', 'docx', 'image', 'text'])[doc_id % 6 + 1] kind, trim(text, {BLANKS}) = '' blank FROM documents),
+c AS (SELECT count(*) n, count(DISTINCT p.doc_id) d, sum(token_count) t FROM packed_chunks p JOIN v USING (doc_id) WHERE kind = 'text')
+SELECT 'parse' step, count_if(kind = 'text') n_rows, 0::BIGINT tokens FROM v
+UNION ALL SELECT 'chunk', n, 0 FROM c UNION ALL SELECT 'embed', n, 0 FROM c UNION ALL SELECT 'index', n, t::BIGINT FROM c
+UNION ALL SELECT 'reject', count(*), 0 FROM v WHERE kind <> 'text' OR blank
+UNION ALL SELECT 'needs_reader', count(*), 0 FROM v WHERE kind <> 'text' UNION ALL SELECT 'no_text', count(*), 0 FROM v WHERE kind = 'text' AND blank"""))
+def ingest_run(spark, sf):
+    """Two runs of one batch: figures of its steps, and what its three tables hold after the second."""
+    from sievegate.plans.corpus import heading_text
+
+    out = run_dir(spark, "ingest")
+    versions = heading_text(spark, sf).select(
+        "doc_id", F.lit(1).alias("version_no"),
+        F.expr("concat('f', doc_id, element_at(array('.txt', '.MD', '.pdf', '', '.PNG', '.xyz'), cast(doc_id % 6 as int) + 1))").alias("name"),
+        F.when(F.col("doc_id") % 6 == 3, "application/vnd.openxmlformats-officedocument.wordprocessingml.document").otherwise("").alias("mime"),
+        F.encode("text", "utf-8").alias("content"))
+    for _ in range(2):
+        ig.ingest_run(versions, out, 7, PACK, rt.hashed_encoder())
+    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    index, rejects = read("index"), read("rejects")
+    tokens = index.where("size(embedding) = 64").select(F.sum("token_count")).scalar()
+    zero = F.lit(0).cast("long").alias("tokens")
+    steps = read("steps").where("duration_ms IS NULL OR duration_ms > 0").select(
+        "step", "n_rows", F.when(F.col("step") == "index", tokens).otherwise(F.lit(0)).cast("long").alias("tokens"))
+    kinds = rows_table(spark, "step string", [("needs_reader",), ("no_text",)])
+    found = rejects.groupBy(F.col("reason").alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    return steps.unionByName(kinds.join(found, "step", "left").select(
+        "step", F.coalesce("n", F.lit(0)).cast("long").alias("n_rows"), zero))
+
+
+@register("stream_mail_sync", f"""
+WITH m AS (SELECT page_id, page_id % 5 user_id FROM pages),
+a AS (SELECT 0 arrival, user_id, count_if(page_id % 3 = 0) synced, 0::BIGINT skipped FROM m WHERE page_id % 3 = 0 GROUP BY ALL
+  UNION ALL SELECT 1, user_id, count_if(page_id % 3 <> 0), count_if(page_id % 3 = 0) FROM m GROUP BY ALL
+  UNION ALL SELECT 2, user_id, 0, count(*) FROM m WHERE page_id = 6 GROUP BY ALL
+  UNION ALL SELECT 3, user_id, count(*), 0 FROM m WHERE page_id % 2 = 0 GROUP BY ALL
+  UNION ALL SELECT 4, user_id, count_if(page_id % 2 = 0 AND false), count(*) FROM m WHERE page_id % 4 = 0 GROUP BY ALL)
+SELECT arrival::BIGINT arrival, user_id, synced, skipped FROM a""")
+def stream_mail_sync(spark, sf):
+    """A part of the mailboxes, all of them, one message again, and a listing after the index was lost."""
+    from sievegate.streaming.mail_sync import sync_once
+
+    messages, parts = mail_tables(spark, sf)
+    listed = ml.mail_documents(messages, parts).join(messages.select("message_id", "user_id"), "message_id").select(
+        "user_id", "message_id", "subject", "text").checkpoint()
+    source, checkpoint, ledger, counts = (run_dir(spark, n) for n in ("mailboxes", "cp", "mail-ledger", "mail-counts"))
+    first, second = run_dir(spark, "mail-index"), run_dir(spark, "mail-index")
+    arrivals = ["message_id % 3 = 0", "true", "message_id = 6", "message_id % 2 = 0", "message_id % 4 = 0"]
+    for number, part in enumerate(arrivals):
+        append_log(listed.where(part).coalesce(4), source)
+        stream = spark.readStream.schema(listed.schema).parquet(source)
+        # The fourth arrival finds a new, empty index beside the ledger of the old one.
+        ig.run_available(stream, sync_once(first if number < 3 else second, ledger, counts), checkpoint)
+    return spark.read.parquet(counts).select(F.col("batch_id").cast("long").alias("arrival"), "user_id", "synced", "skipped")
+
+
 @register("stream_grants", sql("requests", """SELECT request_id, 'revoked' AS state
 FROM requests WHERE status = 'approved' AND request_id % 4 <> 2 AND expires_at < TIMESTAMP '2024-03-01'"""))
 def stream_grants(spark, sf):
