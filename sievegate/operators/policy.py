@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from sievegate.functions import fixed_values as fixed
 from sievegate.functions import scoring as sc
 from sievegate.operators import detection as dt
-from sievegate.operators.common import top_k
+from sievegate.operators.common import salted_join, top_k
 from sievegate.session import shared_dir
 
 GLOBAL = "GLOBAL"
+RULES_BROADCAST = 10_000
 
 
 # ---- intent and risk ---------------------------------------------------------------
@@ -140,13 +141,16 @@ def rule_candidates(contexts: DataFrame, scopes: DataFrame, rules: DataFrame, ke
 
     `contexts`: key, role, effective_level, effective_clearance, intent, own_department,
     item_department, user_levels, item_level, primary_domain; `scopes`: key, domain_code.
-    Global rules have a scope of their own, so that every match is an equi-join;
-    rules are few and Spark broadcasts them by their measured size.
+    Global rules have a scope of their own, so that every match is an equi-join. Rules are counted: up to
+    `RULES_BROADCAST` go to every task, more of them meet the contexts in salted parts, because every
+    context has the global scope.
     """
     reach = scopes.select(key, F.col("domain_code").alias("scope")).unionByName(
         contexts.select(key, F.lit(GLOBAL).alias("scope")))
     live = rules.where("is_active").withColumn("scope", F.coalesce("domain_code", F.lit(GLOBAL)))
-    met = contexts.join(reach, key).join(live.drop("domain_code"), "scope")
+    live, scoped = live.drop("domain_code"), contexts.join(reach, key)
+    few = live.limit(RULES_BROADCAST + 1).count() <= RULES_BROADCAST
+    met = scoped.join(F.broadcast(live), "scope") if few else salted_join(scoped, live, ["scope"], key)
 
     role = F.col("role")
     exempt = F.array_contains("exempt_roles", role)

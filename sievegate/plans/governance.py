@@ -46,6 +46,9 @@ def _sql_redact(source: str, name: str) -> None:
 
 
 _sql_redact("pii", "redacted")
+CTE["pii_named"] = (["pii"], """SELECT * REPLACE (kind || '-' || dense_rank() OVER (PARTITION BY doc_id ORDER BY first_i) AS kind)
+   FROM (SELECT *, min(i) OVER (PARTITION BY doc_id, m) first_i FROM pii)""")
+_sql_redact("pii_named", "anonymized")
 
 
 @register("pii_spans", sql("pii", """SELECT doc_id, s::INT start_pos, e::INT end_pos, kind entity_type, m AS "value", score FROM pii"""))
@@ -438,15 +441,26 @@ def rule_relevance(spark, sf):
     return po.resolve_conflicts(kept, "doc_id").drop("needs_human_review", "applied_rules")
 
 
-@register("policy_contracts", sql("decided sel full_ctx dpick", f"""
+_RISK_PARTS = [
+    ("intent = 'export'", "0.4", "export_intent(+0.4)"), ("intent IN ('aggregate', 'compare')", "0.2", "aggregate/compare_intent(+0.2)"),
+    (_CROSS, "0.25", "cross_department(+0.25)"), ("off_hours", "0.1", "off_hours(+0.1)"),
+    ("(" + " OR ".join(f"contains(lower(query), {quote(w)})" for w in fixed.RISK_KEYWORDS) + ")", "0.15", "sensitive_keyword(+0.15)")]
+# A contract's item level is 1, which no user is below: the level gap has no part in its risk.
+CTE["contract_risk"] = (["full_ctx"], f"""SELECT *, CASE WHEN risk_score >= 0.7 THEN 'suspicious' WHEN intent = 'export' AND {_CROSS} THEN 'bulk_extraction'
+    WHEN {_CROSS} THEN 'cross_dept' ELSE 'normal' END risk_signal,
+    coalesce(nullif(concat_ws('; ', {", ".join(f"CASE WHEN {t} THEN '{r}' END" for t, _, r in _RISK_PARTS)}), ''), 'no_risk_factors') risk_reasoning
+  FROM (SELECT *, round(least(1.0::DOUBLE, {" + ".join(f"CASE WHEN {t} THEN {v} ELSE 0 END::DOUBLE" for t, v, _ in _RISK_PARTS)}), 3) risk_score FROM full_ctx)""")
+
+
+@register("policy_contracts", sql("decided sel contract_risk dpick", f"""
 SELECT 'PC-' || substr(sha256(f.doc_id || '|' || query || '|' || role), 1, 12) contract_id, f.doc_id, doms domains, primary_domain, ({LEVELS})[lv + 1] effective_level, intent,
-  d.decision, d.decision_reason, d.max_detail, d.numeric_granularity, d.winning_rule, rs applied_rules, d.n_rules, d.n_rules > 8 needs_human_review
-FROM full_ctx f JOIN decided d USING (doc_id) JOIN (SELECT doc_id, string_agg(rule_code, ',' ORDER BY rule_code) rs FROM sel GROUP BY 1) USING (doc_id)
+  d.decision, d.decision_reason, d.max_detail, d.numeric_granularity, d.winning_rule, rs applied_rules, d.n_rules, d.n_rules > 8 needs_human_review,
+  risk_score, risk_signal, risk_reasoning
+FROM contract_risk f JOIN decided d USING (doc_id) JOIN (SELECT doc_id, string_agg(rule_code, ',' ORDER BY rule_code) rs FROM sel GROUP BY 1) USING (doc_id)
 LEFT JOIN (SELECT doc_id, string_agg(domain_code, ',' ORDER BY domain_code) doms FROM dpick GROUP BY 1) USING (doc_id)"""))
 def policy_contracts(spark, sf):
     labels, types, outside, domains = domain_rows(spark, sf)
-    return po.contracts(contexts(spark, sf), labels, types, outside, domains, fx.rules(spark, sf)).drop(
-        "risk_score", "risk_signal", "risk_reasoning")
+    return po.contracts(contexts(spark, sf), labels, types, outside, domains, fx.rules(spark, sf))
 
 
 NOTICE = "CASE max_detail " + " ".join(f"WHEN '{k}' THEN {quote(v)}" for k, v in fixed.TRANSFORM_NOTICES.items()) + " END"
@@ -465,6 +479,25 @@ def enforced_texts(spark, sf):
     return enforced_rows(spark, sf).select("doc_id", F.sha2("text", 256).alias("text_hash"))
 
 
+# Every digit behind a digit becomes 0.
+_COARSE = """array_to_string(list_transform(range(1, length(r.text) + 1), lambda i: CASE WHEN i > 1 AND regexp_full_match(r.text[i], '[0-9]')
+    AND regexp_full_match(r.text[i - 1], '[0-9]') THEN '0' ELSE r.text[i] END), '')"""
+CTE["masked_texts"] = (["decided", "ctx", "annotated", "redacted", "anonymized"], f"""SELECT doc_id, CASE WHEN is_corp_member THEN a.text WHEN decision = 'conditional' THEN
+      CASE max_detail WHEN 'redact' THEN CASE WHEN numeric_granularity = 'hidden' THEN regexp_replace(r.text, '[0-9]+(?:[.,][0-9]+)*', '[#]', 'g')
+        WHEN numeric_granularity IN ('aggregated', 'range_only') THEN {_COARSE} ELSE r.text END
+      WHEN 'anonymize' THEN n.text ELSE {NOTICE} END
+    WHEN decision = 'watermark' THEN a.text || {" || ".join(["chr(10)", "chr(10)", quote(fixed.WATERMARK_SUFFIX.strip())])} ELSE a.text END AS text
+  FROM annotated a JOIN ctx USING (doc_id) JOIN decided USING (doc_id) JOIN redacted r USING (doc_id) JOIN anonymized n USING (doc_id) WHERE is_corp_member OR decision <> 'block'""")
+
+
+@register("masked_texts", sql("masked_texts", "SELECT doc_id, sha256(text) text_hash FROM masked_texts"))
+def masked_texts(spark, sf):
+    """Conditions that mask and alias what they can instead of putting a notice."""
+    rows = fx.annotated(spark, sf).join(contexts(spark, sf).select("doc_id", "is_corp_member"), "doc_id")
+    decided = po.resolve_conflicts(selected_rules(spark, sf), "doc_id")
+    return po.enforce(rows, decided, "doc_id", masks=True).select("doc_id", F.sha2("text", 256).alias("text_hash"))
+
+
 @register("restricted_results", sql("enforced", f"SELECT user_id, bool_or(text = {quote(fixed.REDACT_NOTICE)}) has_restricted, bool_and(text = {quote(fixed.REDACT_NOTICE)}) all_restricted FROM enforced GROUP BY 1"))
 def restricted_results(spark, sf):
     return po.restricted_results(enforced_rows(spark, sf), "user_id")

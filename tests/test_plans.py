@@ -51,3 +51,12 @@ def test_library_keeps_rows_off_the_driver():
         for line in body.splitlines():
             if ".collect()" in line and (path.name, line.strip()) not in allowed:
                 assert "at most one block" in line, (path.name, line)
+
+
+def test_many_rules_meet_contexts_in_salted_parts(spark, monkeypatch):
+    from sievegate.operators import policy
+
+    query = entry.queries()["rule_candidates"]
+    few = sorted(tuple(r) for r in query(spark, FOLDER).collect())
+    monkeypatch.setattr(policy, "RULES_BROADCAST", 0)
+    assert sorted(tuple(r) for r in query(spark, FOLDER).collect()) == few
