@@ -9,10 +9,12 @@ Scopes: class_id, cell. Persons: user_id, class_id. Queries: query_id, user_id,
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,7 @@ from sievegate.functions import fixed_values as fixed
 from sievegate.functions import text as tx
 from sievegate.operators import access as ac
 from sievegate.operators import retrieval as rt
-from sievegate.operators.common import salted_join, top_k, unnest
+from sievegate.operators.common import salted_join, small_rows, top_k, unnest
 from sievegate.operators.retrieval import _best_of_block as best_of_block
 from sievegate.operators.retrieval import _by_length as vectors_by_length
 from sievegate.session import shared_dir
@@ -105,21 +107,99 @@ def raw_idf(n: Column | str, df: Column | str) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
+MATRIX = 4_000_000            # numbers of a block of tokens by cells
+
+
+def class_frequencies(pairs: list[tuple[str, str]]):
+    """Document frequencies of every class from those of the cells, token by token in blocks.
+
+    Comes over rows sorted by token: (token, cell, df, total) of the cells, and (token, classes) of the
+    classes somebody asks about. Gives df and total of the classes asked about, and of all others only
+    how many tokens have which df, so that classes times tokens never become rows.
+    """
+    names = sorted({c for c, _ in pairs})
+    cells = {cell: i for i, cell in enumerate(sorted({cell for _, cell in pairs}))}
+    place = {c: i for i, c in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        member = np.zeros((len(cells), len(names)))
+        for c, cell in pairs:
+            member[cells[cell], place[c]] = 1
+        block = max(1, MATRIX // max(1, len(cells)))
+        bins: list[Counter] = [Counter() for _ in names]
+        tokens: list[str] = []
+        at, where, counts, asked, totals = [], [], [], {}, np.zeros(len(cells))
+
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found)) if found else [()] * 5
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds)], names=["class_id", "token", "df", "total", "n"])
+
+        def worked() -> pa.RecordBatch:
+            dense = np.zeros((len(tokens), len(cells)))
+            np.add.at(dense, (at, where), counts)
+            df = dense @ member
+            words = np.array([t != "" for t in tokens], dtype=bool)
+            for c, bin_ in enumerate(bins):
+                for value, n in zip(*np.unique(df[words, c], return_counts=True)):
+                    bin_[int(value)] += int(n)
+            of_corpus = totals @ member
+            return rows([
+                (c, tokens[t], int(df[t, place[c]]), int(of_corpus[place[c]]) if not tokens[t] else 0, None)
+                for t, classes in asked.items() for c in classes if c in place and df[t, place[c]] > 0])
+
+        for batch in batches:
+            columns = (batch.column(n).to_pylist() for n in ("token", "cell", "df", "total", "classes"))
+            for token, cell, df, total, classes in zip(*columns):
+                if not tokens or tokens[-1] != token:
+                    if len(tokens) >= block:
+                        yield worked()
+                        tokens, at, where, counts, asked = [], [], [], [], {}
+                    tokens.append(token)
+                if classes is not None:
+                    asked[len(tokens) - 1] = classes
+                elif cell in cells:
+                    at.append(len(tokens) - 1)
+                    where.append(cells[cell])
+                    counts.append(df)
+                    if not token:
+                        totals[cells[cell]] = total
+        if tokens:
+            yield worked()
+        yield rows([(c, None, df, 0, n) for c, bin_ in zip(names, bins) for df, n in bin_.items() if df])
+
+    return run
+
+
 class ScopeStatistics:
     """Statistics of every person's scope, from those of its class and of the person's own chunks.
 
     The mean idf needs every token of a scope. It depends on a token's df alone, so a class keeps
     a histogram of df, and a person's own chunks move their tokens from one bin to another: a person costs
-    as many rows as there are different df, not as there are tokens.
+    as many rows as there are different df, not as there are tokens. Where the pairs of class and cell
+    can be sent along, frequencies of cells become those of classes as a product of matrices in the task
+    that has the token; beyond `SCOPE_PAIRS` of them they are joined.
     """
 
-    def __init__(self, chunks: DataFrame, own: DataFrame, persons: DataFrame, scopes: DataFrame):
+    def __init__(self, chunks: DataFrame, own: DataFrame, persons: DataFrame, scopes: DataFrame, terms: DataFrame):
         self.persons = persons
         by_cell = cell_vocabulary(chunks, "cell")
-        self.shared = by_cell.join(scopes, "cell").groupBy("class_id", "token").agg(
-            F.sum("df").alias("df"), F.sum("total").alias("total")).checkpoint()
         self.own = cell_vocabulary(own.withColumnRenamed("owner_user_id", "user_id"), "user_id").join(
             persons, "user_id").checkpoint()
+        pairs = small_rows(scopes.select("class_id", "cell"), SCOPE_PAIRS)
+        if pairs is None:
+            self.shared = by_cell.join(scopes, "cell").groupBy("class_id", "token").agg(
+                F.sum("df").alias("df"), F.sum("total").alias("total")).checkpoint()
+            self.bins = self.shared.where("token <> ''").groupBy("class_id", "df").agg(F.count(F.lit(1)).alias("n"))
+        else:
+            asked = self.own.select("class_id", "token").unionByName(terms.join(persons, "user_id").select("class_id", "token")).unionByName(
+                persons.select("class_id", F.lit("").alias("token"))).groupBy("token").agg(F.collect_set("class_id").alias("classes"))
+            rows = by_cell.unionByName(asked, allowMissingColumns=True).select("token", "cell", "df", "total", "classes")
+            found = rows.repartition("token").sortWithinPartitions("token").mapInArrow(
+                class_frequencies([tuple(p) for p in pairs]), "class_id string, token string, df long, total long, n long").checkpoint()
+            self.shared = found.where("token IS NOT NULL").select("class_id", "token", "df", "total")
+            self.bins = found.where("token IS NULL").groupBy("class_id", "df").agg(F.sum("n").alias("n"))
         self.sizes = self._sizes().join(self._floors(), "user_id", "left").checkpoint()
 
     def _corpora(self) -> DataFrame:
@@ -132,8 +212,7 @@ class ScopeStatistics:
 
     def _floors(self) -> DataFrame:
         """user_id, floor: the share of the mean idf that stands in for a negative one."""
-        bins = self.shared.where("token <> ''").groupBy("class_id", "df").agg(F.count(F.lit(1)).alias("n"))
-        whole = self.persons.join(bins, "class_id").select("user_id", "df", "n")
+        whole = self.persons.join(self.bins, "class_id").select("user_id", "df", "n")
         moved = self.own.where("token <> ''").select("user_id", "class_id", "token", F.col("df").alias("more")).join(
             self.shared.select("class_id", "token", "df"), ["class_id", "token"], "left")
         gone = moved.where("df IS NOT NULL").select("user_id", "df", F.lit(-1).cast("long").alias("n"))
@@ -142,10 +221,9 @@ class ScopeStatistics:
         return binned.join(self._sizes().select("user_id", "n_chunks"), "user_id").groupBy("user_id").agg(
             (fixed.BM25_EPSILON * F.sum(F.col("n") * raw_idf("n_chunks", "df")) / F.sum("n")).alias("floor"))
 
-    def weights(self, queries: DataFrame) -> DataFrame:
+    def weights(self, terms: DataFrame) -> DataFrame:
         """query_id, user_id, class_id, token, weight, avg_length of the query terms that the scope has."""
-        terms = rt.query_terms(queries).join(queries.select("query_id", "user_id"), "query_id").join(self.persons, "user_id")
-        known = terms.join(
+        known = terms.join(self.persons, "user_id").join(
             self.shared.select("class_id", "token", F.col("df").alias("df_shared")), ["class_id", "token"], "left").join(
             self.own.select("user_id", "token", F.col("df").alias("df_own")), ["user_id", "token"], "left")
         df = F.coalesce("df_shared", F.lit(0)) + F.coalesce("df_own", F.lit(0))
@@ -183,7 +261,8 @@ def scoped_bm25(chunks: DataFrame, queries: DataFrame, persons: DataFrame, scope
     scopes = scopes.select("class_id", "cell").distinct().checkpoint()
     persons = persons.join(queries.select("user_id"), "user_id", "left_semi").checkpoint()
     own = outside_class(rows, persons, scopes).select("chunk_id", "owner_user_id", "chunk_text").checkpoint()
-    terms = ScopeStatistics(rows, own, persons, scopes).weights(queries).checkpoint()
+    asked = rt.query_terms(queries).join(queries.select("query_id", "user_id"), "query_id").checkpoint()
+    terms = ScopeStatistics(rows, own, persons, scopes, asked).weights(asked).checkpoint()
     weighed = ["query_id", "token", "weight", "avg_length"]
     wanted = terms.select("token").distinct()
     spread = terms.join(scopes, "class_id").select(*weighed, "cell")

@@ -63,6 +63,8 @@ def test_many_queries_and_terms_give_the_same(small, monkeypatch):
     chunks, queries, persons, scopes = small
     scores, near = rows(scp.scoped_bm25(chunks, queries, persons, scopes)), rows(scp.scoped_cosine(chunks, queries, persons, scopes))
     assert rows(scp.scoped_cosine(chunks, queries, persons, scopes, block=1)) == near
+    monkeypatch.setattr(scp, "MATRIX", 6)  # blocks of two tokens
+    assert rows(scp.scoped_bm25(chunks, queries, persons, scopes)) == scores
     monkeypatch.setattr(scp, "TERMS_BROADCAST", 0)
     monkeypatch.setattr(scp, "SCOPE_PAIRS", 3)
     assert rows(scp.scoped_bm25(chunks, queries, persons, scopes)) == scores
