@@ -185,6 +185,14 @@ def hybrid_search(spark, sf):
         "query_id", "chunk_id", "rank", "rrf_score", "score", "sources")
 
 
+@register("search_capped", sql("scored", """SELECT query_id, chunk_id, rank::INT AS rank, rrf_score FROM (
+   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) - 1 rank FROM scored) WHERE rank < 20"""))
+def search_capped(spark, sf):
+    """Fifty results asked for: the search's own cap gives twenty."""
+    chunks, vecs, queries, qv = search_parts(spark, sf)
+    return rt.search(chunks, vecs, queries, qv, k=50).select("query_id", "chunk_id", "rank", "rrf_score")
+
+
 # ---- two collections -------------------------------------------------------------------------
 
 def mail_chunks(spark, sf):

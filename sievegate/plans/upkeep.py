@@ -21,7 +21,7 @@ from sievegate.plans.registry import register
 from sievegate.session import shared_dir
 from sievegate.sources import files as fl
 from sievegate.sources import mail as ml
-from sievegate.sources.sinks import append_log, replace_partitions
+from sievegate.sources.sinks import append_log, replace_partitions, write_texts
 from sievegate.sources.tables import rows_table, table, text_table
 from sievegate.streaming import ingest as ig
 from sievegate.streaming import state as st
@@ -412,6 +412,47 @@ def stream_mail_sync(spark, sf):
     return spark.read.parquet(counts).select(F.col("batch_id").cast("long").alias("arrival"), "user_id", "synced", "skipped")
 
 
+@register("stream_dimension", """
+WITH v AS (SELECT n k, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (4 * n2 + n) valid_from, 'v' || n2 || '-' || n label
+  FROM (SELECT unnest(range(5)) n), (SELECT unnest(range(6)) n2) WHERE n2 <= n + 1),
+s AS (SELECT *, lead(valid_from) OVER (PARTITION BY k ORDER BY valid_from) valid_to FROM v)
+SELECT event_id, coalesce(label, 'none') label FROM events LEFT JOIN s ON user_id % 5 = k AND ts >= valid_from AND (valid_to IS NULL OR ts < valid_to)""")
+def stream_dimension(spark, sf):
+    """Events of all times in two arrivals; late ones meet the version of their own time."""
+    source, dimension, out, checkpoint = (run_dir(spark, n) for n in ("dim-events", "dim-versions", "dim-joined", "cp"))
+    events = table(spark, sf, "events").select("event_id", (F.col("user_id") % 5).alias("k"), "ts")
+    versions = spark.range(30).selectExpr("id % 5 k", "id div 5 n").where("n <= k + 1").selectExpr(
+        "k", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(cast(4 * n + k as int)) valid_from", "concat('v', n, '-', k) label", "n")
+    versions = versions.withColumn("valid_from", F.col("valid_from").cast(events.schema["ts"].dataType))
+    append_log(versions, dimension)
+    write = st.with_valid_dimension(
+        lambda: spark.read.parquet(dimension).select("k", "valid_from", "label"), ["k"], "ts",
+        lambda batch, i: replace_partitions(batch.withColumn("batch_id", F.lit(i)), out, ["batch_id"]))
+    for part in ("event_id % 3 <> 0", "event_id % 3 = 0"):
+        append_log(events.where(part).coalesce(4), source)
+        ig.run_available(spark.readStream.schema(events.schema).parquet(source), write, checkpoint)
+    return spark.read.parquet(out).select("event_id", F.coalesce("label", F.lit("none")).alias("label"))
+
+
+@register("written_texts", "SELECT doc_id, sha256(text) text_hash, doc_id % 2 = 0 AS rewritten FROM documents")
+def written_texts(spark, sf):
+    """Texts in partitions by document; a second write of some documents' partitions replaces whole partitions."""
+    path = run_dir(spark, "texts")
+    docs = table(spark, sf, "documents").select("doc_id", F.lit(False).alias("rewritten"), "text")
+    write_texts(docs, path)
+    write_texts(docs.withColumn("rewritten", F.col("doc_id") % 2 == 0), path)
+    return spark.read.parquet(path).select("doc_id", F.sha2("text", 256).alias("text_hash"), "rewritten")
+
+
+@register("embedded_json", """SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE CAST(doc_id AS VARCHAR) END id_text, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE lang END lang FROM documents""")
+def embedded_json(spark, sf):
+    """The JSON object in an answer with words, and line ends, around it; none in every fourth."""
+    answers = table(spark, sf, "documents").select("doc_id", F.expr("""CASE WHEN doc_id % 4 = 3 THEN 'No object here.' ELSE concat(
+        'Here you are:\n```json\n{"doc": ', doc_id, ', "more": {"x": [1, 2]},\n "lang": ', coalesce(concat('"', lang, '"'), 'null'), '}\n``` Done.') END""").alias("answer"))
+    found = answers.withColumn("o", tx.first_json_object("answer"))
+    return found.select("doc_id", F.get_json_object("o", "$.doc").alias("id_text"), F.get_json_object("o", "$.lang").alias("lang"))
+
+
 @register("stream_grants", sql("requests", """SELECT request_id, 'revoked' AS state
 FROM requests WHERE status = 'approved' AND request_id % 4 <> 2 AND expires_at < TIMESTAMP '2024-03-01'"""))
 def stream_grants(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -84,3 +84,27 @@ def with_fresh_dimension(read_dimension: Callable[[], DataFrame], on: list[str],
         write(batch.join(read_dimension(), on, "left"), batch_id)
 
     return run
+
+
+def valid_spans(snapshots: DataFrame, on: list[str], since: str = "valid_from") -> DataFrame:
+    """Versions of a dimension with the time up to which each holds; null for the newest of its key."""
+    following = F.lead(since).over(Window.partitionBy(*on).orderBy(since))
+    return snapshots.withColumn("valid_to", following)
+
+
+def with_valid_dimension(
+    read_snapshots: Callable[[], DataFrame], on: list[str], event_time: str, write, since: str = "valid_from",
+) -> Callable[[DataFrame, int], None]:
+    """Batch writer that joins each row with the version of the dimension that held at its event time.
+
+    Snapshots are read anew for each batch, so new versions are seen; a late row still meets the
+    version of its own time. Rows before the first version of their key keep nulls.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spans = valid_spans(read_snapshots(), on, since)
+        same = [batch[c] == spans[c] for c in on]
+        within = (batch[event_time] >= spans[since]) & (spans["valid_to"].isNull() | (batch[event_time] < spans["valid_to"]))
+        joined = batch.join(spans, [*same, within], "left").drop(*[spans[c] for c in on])
+        write(joined.drop("valid_to"), batch_id)
+
+    return run
