@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sievegate.functions import fixed_values as fixed
 from sievegate.functions import text as tx
 from sievegate.operators.common import top_k
+from sievegate.session import shared_dir
 
 
 def upsert_latest(current: DataFrame, changes: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -44,6 +45,27 @@ def cascade_delete(tables: dict[str, tuple[DataFrame, str]], keys: dict[str, Dat
     return {name: delete_keys(df, keys[key], key) for name, (df, key) in tables.items()}
 
 
+def cascade_graph(
+    tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]], root: str, gone: DataFrame,
+) -> dict[str, DataFrame]:
+    """Rows to remove from every table when the rows of `root` that match `gone` go.
+
+    `links`: (child, its column, parent, its column) with parents first. A child row goes if any parent row
+    it points to goes. Only keys meet keys; a table that nothing reaches is not in the result.
+    """
+    shared_dir(gone.sparkSession)
+    lost = {root: tables[root].join(gone.distinct(), gone.columns, "left_semi").checkpoint()}
+    for child in dict.fromkeys(c for c, *_ in links):
+        hit = None
+        for _, column, parent, key in (x for x in links if x[0] == child and x[2] in lost):
+            keys = lost[parent].select(F.col(key).alias(column)).distinct()
+            rows = tables[child].join(keys, column, "left_semi")
+            hit = rows if hit is None else hit.unionByName(rows).distinct()
+        if hit is not None:
+            lost[child] = hit.checkpoint()
+    return lost
+
+
 def update_metadata(current: DataFrame, ids: DataFrame, key: str, values: dict[str, str | None]) -> DataFrame:
     """Set metadata entries on the rows named in `ids`; a null becomes an empty text."""
     new = F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, "" if v is None else v)])

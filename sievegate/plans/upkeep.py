@@ -21,7 +21,7 @@ from sievegate.plans.registry import register
 from sievegate.session import shared_dir
 from sievegate.sources import files as fl
 from sievegate.sources import mail as ml
-from sievegate.sources.sinks import append_log, replace_partitions, write_texts
+from sievegate.sources.sinks import append_log, delete_in_place, replace_partitions, with_partition, write_texts
 from sievegate.sources.tables import rows_table, table, text_table
 from sievegate.streaming import ingest as ig
 from sievegate.streaming import state as st
@@ -154,6 +154,60 @@ def cascade_delete(spark, sf):
     return out
 
 
+CTE["linked"] = (["versions", "jobs", "docs"], """SELECT 'documents' t, doc_id, doc_id k FROM docs
+  UNION ALL SELECT 'versions', doc_id, doc_id * 10 + version_no FROM versions UNION ALL SELECT 'snapshots', doc_id, doc_id * 10 + version_no FROM versions
+  UNION ALL SELECT 'chunks', doc_id, (doc_id * 10 + version_no) * 10 + c FROM versions, (SELECT unnest(range(2)) c)
+  UNION ALL SELECT 'vectors', doc_id, (doc_id * 10 + version_no) * 10 + c FROM versions, (SELECT unnest(range(2)) c)
+  UNION ALL SELECT 'jobs', doc_id, job_id FROM jobs UNION ALL SELECT 'steps', doc_id, job_id * 10 + s FROM jobs, (SELECT unnest(range(3)) s)
+  UNION ALL SELECT 'tuples', doc_id, doc_id FROM docs""")
+
+
+def linked_tables(spark, sf):
+    """Documents and all that hangs on them, each row with its key k and the key of what it hangs on."""
+    versions = fx.versions(spark, sf).selectExpr("doc_id * 10 + version_no k", "doc_id")
+    chunks = versions.selectExpr("explode(sequence(0, 1)) c", "k version").selectExpr("version * 10 + c k", "version")
+    jobs = fx.jobs(spark, sf).selectExpr("job_id k", "doc_id")
+    tables = {
+        "documents": fx.documents(spark, sf).selectExpr("doc_id k"), "versions": versions,
+        "snapshots": versions.selectExpr("k", "k version"), "chunks": chunks, "vectors": chunks.selectExpr("k", "k chunk"), "jobs": jobs,
+        "steps": jobs.selectExpr("explode(sequence(0, 2)) s", "k job").selectExpr("job * 10 + s k", "job"),
+        "tuples": fx.documents(spark, sf).selectExpr("doc_id k", "doc_id")}
+    links = [
+        ("tuples", "doc_id", "documents", "k"), ("versions", "doc_id", "documents", "k"), ("chunks", "version", "versions", "k"),
+        ("vectors", "chunk", "chunks", "k"), ("snapshots", "version", "versions", "k"), ("jobs", "doc_id", "documents", "k"),
+        ("steps", "job", "jobs", "k")]
+    return tables, links
+
+
+@register("cascade_tables", sql("linked", """SELECT t table_name, count(*) n, sum(k)::BIGINT key_sum FROM linked
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1"""))
+def cascade_tables(spark, sf):
+    """Deletion through the graph of tables, each rewritten only in the partitions that hold its lost keys."""
+    tables, links = linked_tables(spark, sf)
+    gone = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("k"))
+    lost, out = mt.cascade_graph(tables, links, "documents", gone), None
+    for name, rows in tables.items():
+        path = run_dir(spark, f"table-{name}")
+        replace_partitions(with_partition(rows, "k", 16), path, ["part"])
+        delete_in_place(spark, path, lost[name], "k", 16)
+        part = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("key_sum")).select(
+            F.lit(name).alias("table_name"), "n", "key_sum")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("object_upsert", """SELECT 'raw' bucket, 'doc/' || doc_id object_key, octet_length(encode(text)) + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END size_bytes,
+   sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) checksum, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END put FROM documents""")
+def object_upsert(spark, sf):
+    """The registry after a second put of every third object, and a put of the same bytes of others."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("object_key"), "doc_id", "text")
+    rows = lambda objects, put: mt.registry_rows(objects.withColumn(
+        "content", F.encode("text", "utf-8")), "raw").withColumn("put", F.lit(put))
+    again = docs.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit("!")))
+    changes = rows(again, 2).unionByName(rows(again.withColumn("text", F.lit("an earlier put")), 1))
+    return mt.upsert_latest(rows(docs, 1), changes, "object_key", [F.col("put").desc()])
+
+
 @register("metadata_update", """SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN '4' ELSE (doc_id % 5)::VARCHAR END sensitivity, lang,
   CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'blank' ELSE 'absent' END note FROM documents""")
 def metadata_update(spark, sf):
