@@ -30,6 +30,7 @@ RULE_SCORE_THRESHOLD = 0.4
 MAX_RULES_BEFORE_REVIEW = 8
 LIST_LIMIT = 200
 MAIL_TEXT_CHARS = 8000
+TITLE_CHARS, CLASSIFIER_CHARS, TRACE_CHARS = 40, 800, 2000
 EMBED_BATCH = 64
 
 # --- Fixed values: chunking defaults (max, overlap, min tokens) --------------
@@ -54,6 +55,13 @@ NO_ANSWER_PHRASES = [
     "not enough information",
 ]
 
+# --- Fixed values: headings of a prompt's parts, and what stands for a missing one ---
+PROMPT_QUESTION = "CÂU HỎI HIỆN TẠI (ưu tiên tuyệt đối)"
+PROMPT_CONTEXT, PROMPT_NO_CONTEXT = "NGỮ CẢNH TRUY XUẤT", "[Không có ngữ cảnh truy xuất]"
+PROMPT_HISTORY = "LỊCH SỬ HỘI THOẠI (chỉ để hiểu ngữ cảnh, KHÔNG phải câu hỏi cần trả lời)"
+PROMPT_NO_HISTORY = "[Không có lịch sử]"
+PROMPT_RULES, PROMPT_NOTES = "YÊU CẦU TRẢ LỜI", "GHI CHÚ BỔ SUNG"
+
 # --- Fixed values: stopwords ---------------------------------------------------
 STOPWORDS = [
     "là", "của", "và", "có", "được", "này", "đó", "các", "cho", "với", "tại", "về", "như", "từ",

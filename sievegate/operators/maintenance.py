@@ -6,7 +6,7 @@ the sinks write it partition by partition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegate.functions import fixed_values as fixed
@@ -185,14 +185,60 @@ def job_step(state: Column, event: Column) -> Column:
     return F.struct(after.alias("status"), more.alias("retries"))
 
 
-def fold_jobs(events: DataFrame) -> DataFrame:
-    """Status and retries per job from its events (job_id, event_id, created_at, event)."""
-    ordered = events.groupBy("job_id").agg(
-        F.array_sort(F.collect_list(F.struct("created_at", "event_id", "event"))).alias("_e"))
-    state = F.aggregate(
-        "_e", F.struct(F.lit("new").alias("status"), F.lit(0).alias("retries")),
-        lambda acc, e: job_step(acc, e["event"]))
-    return ordered.select("job_id", state.alias("s"), F.size("_e").alias("n_events")).select(
+JOB_STATES = ["new", "pending_approval", "queued", "running", "succeeded", "failed"]
+
+
+def through(segments: Column, start: Column) -> Column:
+    """(status, retries) after an ordered array of segments, entered in status `start`."""
+    def step(acc: Column, segment: Column) -> Column:
+        end = F.element_at(segment["ends"], F.array_position(F.array(*map(F.lit, JOB_STATES)), acc["status"]).cast("int"))
+        return F.struct(end["status"].alias("status"), (acc["retries"] + end["retries"]).alias("retries"))
+
+    return F.aggregate(segments, F.struct(start.alias("status"), F.lit(0).alias("retries")), step)
+
+
+def in_runs(rows: DataFrame, order: list[str], body: Column, longest: int) -> DataFrame:
+    """(job_id, first, rows of `body` in order) of runs of at most `longest` consecutive rows of a job.
+
+    Rows are sorted in ranges of (job, order), so that a job of any share of the rows lies over many
+    ranges; a run is a job's rows in one block of a range.
+    """
+    keys = ["job_id", *order]
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(
+        "_run", F.expr(f"monotonically_increasing_id() div {longest}"))
+    runs = placed.groupBy("job_id", "_run").agg(
+        F.array_sort(F.collect_list(F.struct(*order, body.alias("_body")))).alias("_rows"))
+    return runs.select("job_id", F.get("_rows", F.lit(0))[order[0]].alias("first"),
+                       F.transform("_rows", lambda r: r["_body"]).alias("_rows"), F.size("_rows").alias("_n"))
+
+
+def fold_jobs(events: DataFrame, longest: int = 1000) -> DataFrame:
+    """Status and retries per job from its events (job_id, event_id, created_at, event).
+
+    A run of at most `longest` events of a job becomes one segment: the end status and the retries for
+    each status it may be entered in. Segments are folded the same way until every job has few; no
+    history is ever in one row. Events with the same time and id go by name; unknown ones, and those
+    that do not fit, change nothing.
+    """
+    shared_dir(events.sparkSession)
+    timed = events.select("job_id", F.struct("created_at", "event_id", "event").alias("first"), "event")
+
+    def ends(fold) -> Column:
+        return F.array(*[fold(F.lit(s)) for s in JOB_STATES]).alias("ends")
+
+    def by_events(start: Column) -> Column:
+        return F.aggregate("_rows", F.struct(start.alias("status"), F.lit(0).alias("retries")), job_step)
+
+    segments = in_runs(timed, ["first"], F.col("event"), longest).select(
+        "job_id", "first", ends(by_events), F.col("_n").cast("long").alias("n_events")).checkpoint()
+    while not segments.groupBy("job_id").count().where(F.col("count") > longest).isEmpty():
+        body = F.struct("ends", "n_events")
+        segments = in_runs(segments, ["first"], body, longest).select(
+            "job_id", "first", ends(lambda start: through(F.col("_rows"), start)),
+            F.aggregate("_rows", F.lit(0).cast("long"), lambda n, r: n + r["n_events"]).alias("n_events")).checkpoint()
+    whole = segments.groupBy("job_id").agg(
+        F.array_sort(F.collect_list(F.struct("first", "ends"))).alias("_rows"), F.sum("n_events").alias("n_events"))
+    return whole.select("job_id", through(F.col("_rows"), F.lit("new")).alias("s"), "n_events").select(
         "job_id", "s.status", "s.retries", "n_events")
 
 
@@ -205,6 +251,40 @@ def job_steps(steps: DataFrame) -> DataFrame:
         F.sum("_ms").alias("total_ms"), F.max("_ms").alias("longest_ms"))
 
 
+def ordered_places(rows: DataFrame, scope: list[Column], order: list[Column]) -> DataFrame:
+    """Rows with their 0-based `place` in the order of their scope, whatever share of them a scope has.
+
+    All rows are sorted in ranges of (scope, order); a row's place is its number in all ranges less that
+    of its scope's first row. Only the ranges' and scopes' counts are added up apart. `order` has to end
+    with a key, else ties fall either way.
+    """
+    shared_dir(rows.sparkSession)
+    scoped = rows.withColumn("_scope", F.struct(*scope, F.lit(0).alias("_")))
+    placed = scoped.orderBy("_scope", *order).withColumn("_id", F.monotonically_increasing_id()).withColumns({
+        "_range": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND((1 << 33) - 1)}).checkpoint()
+    ranges = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(
+            Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = placed.join(F.broadcast(ranges.select("_range", "_before")), "_range").withColumn(
+        "_place", F.col("_before") + F.col("_row"))
+    firsts = numbered.groupBy("_scope").agg(F.min("_place").alias("_first"))
+    return numbered.join(firsts, "_scope").withColumn("place", F.col("_place") - F.col("_first")).drop(
+        "_scope", "_id", "_range", "_row", "_before", "_place", "_first")
+
+
+def backfilled_types(results: DataFrame, types: DataFrame) -> DataFrame:
+    """Results whose `document_type` is still `general` take the registry's type of their document.
+
+    `types`: document_id, document_type. Only documents that such results name are joined.
+    """
+    stale = results.where("document_type = 'general'").select("document_id").distinct()
+    known = types.join(stale, "document_id", "left_semi").where("document_type <> ''").select(
+        "document_id", F.col("document_type").alias("_type"))
+    return results.join(known, "document_id", "left").withColumn("document_type", F.when(
+        F.col("document_type") == "general", F.coalesce("_type", "document_type")).otherwise(F.col("document_type"))
+    ).drop("_type")
+
+
 def jobs_listing(jobs: DataFrame, docs: DataFrame, versions: DataFrame, limit: int = fixed.LIST_LIMIT) -> DataFrame:
     """Newest jobs with document title and version number; cut before the joins."""
     newest = jobs.orderBy(F.col("created_at").desc(), F.col("job_id").desc()).limit(limit)

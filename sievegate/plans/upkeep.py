@@ -15,7 +15,7 @@ from sievegate.operators import conversation as cv
 from sievegate.operators import maintenance as mt
 from sievegate.operators import retrieval as rt
 from sievegate.plans import fixtures as fx
-from sievegate.plans.corpus import BLANKS, PACK, sql_html
+from sievegate.plans.corpus import BLANKS, PACK, sql_html, sql_normalize
 from sievegate.plans.fixtures import CTE, sql
 from sievegate.plans.registry import register
 from sievegate.session import shared_dir
@@ -94,6 +94,53 @@ def ordered_versions(spark, sf):
     return fx.versions(spark, sf).select("doc_id", "version_id", place.alias("place"))
 
 
+def listings(spark, sf):
+    """listing -> rows with scope, key and what they are ordered by."""
+    rules = fx.rules(spark, sf).selectExpr("coalesce(domain_code, '') scope", "rule_code key", "priority")
+    requests = fx.access_requests(spark, sf).selectExpr("cast(user_id as string) scope", "cast(request_id as string) key", "created_at", "request_id")
+    docs = table(spark, sf, "documents").selectExpr("'' scope", "cast(doc_id as string) key", "doc_id", "doc_id * 7919 % 1009 updated")
+    return {
+        "domains": (fx.domains(spark, sf).selectExpr("'' scope", "domain_code key"), [F.col("key")]),
+        "entity_types": (fx.domain_types(spark, sf).selectExpr("domain_code scope", "entity_type key"), [F.col("key")]),
+        "rules": (rules, [F.col("priority").desc(), F.col("key")]),
+        "versions": (fx.versions(spark, sf).selectExpr("cast(doc_id as string) scope", "version_id key", "version_no"), [F.col("version_no")]),
+        "documents": (docs, [F.col("updated").desc(), F.col("doc_id")]),
+        "users": (fx.users(spark, sf).selectExpr("'' scope", "cast(user_id as string) key", "user_name", "user_id"), [F.col("user_name"), F.col("user_id")]),
+        "pages": (fx.pages(spark, sf).selectExpr("cast(doc_id as string) scope", "cast(page_no as string) key", "page_no"), [F.col("page_no")]),
+        "requests": (requests, [F.col("created_at").desc(), F.col("request_id").desc()]),
+        "all_requests": (requests.withColumn("scope", F.lit("")), [F.col("created_at").desc(), F.col("request_id").desc()]),
+    }
+
+
+@register("ordered_listings", sql("domains domain_types rules versions users doc_pages requests", """
+WITH l AS (SELECT 'domains' listing, '' scope, domain_code k, row_number() OVER (ORDER BY domain_code) place FROM domains
+   UNION ALL SELECT 'entity_types', domain_code, entity_type, row_number() OVER (PARTITION BY domain_code ORDER BY entity_type) FROM domain_types
+   UNION ALL SELECT 'rules', coalesce(domain_code, ''), rule_code, row_number() OVER (PARTITION BY coalesce(domain_code, '') ORDER BY priority DESC, rule_code) FROM rules
+   UNION ALL SELECT 'versions', doc_id::VARCHAR, version_id, row_number() OVER (PARTITION BY doc_id ORDER BY version_no) FROM versions
+   UNION ALL SELECT 'documents', '', doc_id::VARCHAR, row_number() OVER (ORDER BY doc_id * 7919 % 1009 DESC, doc_id) FROM documents
+   UNION ALL SELECT 'users', '', user_id::VARCHAR, row_number() OVER (ORDER BY user_name, user_id) FROM users
+   UNION ALL SELECT 'pages', doc_id::VARCHAR, page_no::VARCHAR, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) FROM doc_pages
+   UNION ALL SELECT 'requests', user_id::VARCHAR, request_id::VARCHAR, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, request_id DESC) FROM requests
+   UNION ALL SELECT 'all_requests', '', request_id::VARCHAR, row_number() OVER (ORDER BY created_at DESC, request_id DESC) FROM requests)
+SELECT listing, scope, k AS item, place - 1 place FROM l"""))
+def ordered_listings(spark, sf):
+    """Every listed order, with the place of each row in its list."""
+    out = None
+    for name, (rows, order) in listings(spark, sf).items():
+        part = mt.ordered_places(rows, [F.col("scope")], order).select(
+            F.lit(name).alias("listing"), "scope", F.col("key").alias("item"), "place")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("clipped_inputs", """SELECT doc_id, sha256(text[1:2000]) trace_hash, sha256(text[1:800]) classifier_hash FROM documents""")
+def clipped_inputs(spark, sf):
+    """What a trace and the domain classifier keep of a text: their own limits."""
+    return table(spark, sf, "documents").select(
+        "doc_id", F.sha2(F.substring("text", 1, fixed.TRACE_CHARS), 256).alias("trace_hash"),
+        F.sha2(F.substring("text", 1, fixed.CLASSIFIER_CHARS), 256).alias("classifier_hash"))
+
+
 @register("open_conversations", """SELECT conv_id, conv_id % 150 user_id, max(turn) last_turn FROM conversations WHERE conv_id % 4 <> 0 GROUP BY 1""")
 def open_conversations(spark, sf):
     rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn")).withColumn(
@@ -366,6 +413,48 @@ def run_dir(spark, name: str) -> str:
     return f"{shared_dir(spark)}/sievegate-{name}-{uuid.uuid4().hex}"
 
 
+def document_files(spark, sf):
+    """Documents as files in folders by language, with damaged bytes, extensions of all kinds."""
+    ends = "array('.txt', '.MD', '.pdf', '.docx', '.PNG', '.xyz')"
+    return text_table(spark, sf, "documents").select("doc_id", F.expr(
+        f"concat('lang=', coalesce(lang, 'none'), '/f', doc_id, element_at({ends}, cast(doc_id % 6 as int) + 1))").alias("object_key"),
+        F.concat(F.encode(F.coalesce("text", F.lit("")), "utf-8"), F.unhex(F.lit("FF"))).alias("content"))
+
+
+def file_id():
+    return F.regexp_extract("name", r"^f(\d+)", 1).cast("long").alias("doc_id")
+
+
+CTE["files"] = ([], f"""SELECT doc_id, lang, n_bytes, kind, t, CASE WHEN kind <> 'text' THEN 'needs_reader' WHEN t = '' THEN 'no_text' ELSE 'ok' END outcome FROM (
+   SELECT doc_id, coalesce(lang, 'none') lang, octet_length(encode(coalesce(text, ''))) + 1 n_bytes, coalesce({sql_normalize('text')}, '') t,
+   (['text', 'text', 'pdf', 'docx', 'image', 'text'])[doc_id % 6 + 1] kind FROM documents)""")
+
+
+@register("stored_files", sql("files", "SELECT doc_id, lang, n_bytes, kind, outcome, CASE WHEN outcome = 'ok' THEN sha256(t) ELSE 'none' END text_hash FROM files"))
+def stored_files(spark, sf):
+    """Documents written as files, read back as bytes with their folder's language, decoded and normalised."""
+    path = run_dir(spark, "objects")
+    fl.write_objects(document_files(spark, sf), path)
+    files = fl.read_objects(spark, path, "lang string").withColumns({"doc_id": file_id(), "n_bytes": F.col("length")})
+    rows = fl.parsed_rows(files, ["doc_id", "lang", "n_bytes"])
+    return rows.select("doc_id", "lang", "n_bytes", "kind", "outcome", F.when(
+        F.col("outcome") == "ok", F.sha2("text", 256)).otherwise("none").alias("text_hash"))
+
+
+@register("stream_files", sql("files", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END arrival, lang, kind, outcome, CASE WHEN outcome = 'ok' THEN sha256(t) ELSE 'none' END text_hash FROM files"))
+def stream_files(spark, sf):
+    """Files arrive twice in one tree; each is parsed once, rejects beside the texts with their reason."""
+    path, out, checkpoint = run_dir(spark, "tree"), run_dir(spark, "parsed"), run_dir(spark, "cp")
+    files = document_files(spark, sf)
+    for part in ("doc_id % 3 = 0", "doc_id % 3 <> 0"):
+        fl.write_objects(files.where(part), path)
+        stream = fl.stream_objects(spark, path, "lang string", per_trigger=10_000_000).withColumn("doc_id", file_id())
+        ig.run_available(stream, fl.store_parsed(out, ["doc_id", "lang"]), checkpoint)
+    return spark.read.parquet(out).select(
+        "doc_id", F.col("batch_id").alias("arrival"), "lang", "kind", "outcome",
+        F.when(F.col("outcome") == "ok", F.sha2("text", 256)).otherwise("none").alias("text_hash"))
+
+
 @register("clean_rerun", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END run, n_chars FROM documents WHERE NOT (doc_id % 3 = 0 AND doc_id % 2 = 0)""")
 def clean_rerun(spark, sf):
     """A second run of some partitions replaces exactly those partitions."""
