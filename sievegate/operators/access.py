@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegate.functions import fixed_values as fixed
+from sievegate.operators import detection as dt
 from sievegate.operators.common import salted_join, top_k, unnest
 from sievegate.session import shared_dir
 
@@ -301,6 +302,16 @@ def effective_clearance(
     )
 
 
+def content_gate(found: DataFrame, clearance: DataFrame, stored: str, text: str) -> DataFrame:
+    """Results (user_id, ...) whose own `level` is within their user's clearance; 1 for users without one.
+
+    The level is the stored one where it is valid, else the highest whose patterns the whole text has.
+    """
+    levelled = found.withColumn("level", dt.classify_sensitivity(F.col(stored), F.col(text)))
+    return levelled.join(clearance.select("user_id", "max_clearance"), "user_id", "left").where(
+        F.col("level") <= F.coalesce("max_clearance", F.lit(1))).drop("max_clearance")
+
+
 def max_chunk_sensitivity(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     own = F.coalesce(F.nullif("chunk_sensitivity", F.lit(0)), F.nullif("sensitivity", F.lit(0)), F.lit(1))
     return chunks.groupBy(key).agg(F.greatest(F.lit(1), F.max(own)).alias("max_sensitivity"))

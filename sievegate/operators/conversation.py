@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegate.functions import fixed_values as fixed
+from sievegate.functions import scoring as sc
 from sievegate.functions import text as tx
 from sievegate.operators.common import top_k, unnest
 
@@ -72,6 +73,29 @@ def relevant_pairs(
     return top_k(scored, ["conv_id"], [F.col("overlap").desc(), F.col("pair_no").asc()], k)
 
 
+def relevant_by_vector(
+    pairs: DataFrame, asked: DataFrame, asked_vectors: DataFrame, question_vectors: DataFrame,
+    k: int = fixed.RELEVANT_PAIRS,
+) -> DataFrame:
+    """Older pairs nearest to the asked text by cosine; by shared words where it has no vector.
+
+    `asked`: conv_id, query; `asked_vectors`: conv_id, embedding; `question_vectors`: message_id,
+    embedding. A question without a vector has similarity 0. Ties go to the earlier pair.
+    """
+    wanted = asked_vectors.select("conv_id", F.col("embedding").alias("_asked"))
+    older = split_pairs(pairs).where("NOT is_recent").join(wanted, "conv_id")
+    own = question_vectors.select(F.col("message_id").alias("user_message_id"), F.col("embedding").alias("_own"))
+    similarity = F.coalesce(F.round(sc.cosine("_asked", "_own"), 9), F.lit(0.0))
+    near = top_k(
+        older.join(own, "user_message_id", "left").withColumn("relevance", similarity),
+        ["conv_id"], [F.col("relevance").desc(), F.col("pair_no").asc()], k)
+    without = asked.join(wanted, "conv_id", "left_anti")
+    words = relevant_pairs(pairs, without, k).withColumn("relevance", F.col("overlap").cast("double"))
+    columns = ["conv_id", "pair_no", "question", "answer", "relevance", "rank"]
+    return near.select(*columns, F.lit("vector").alias("by")).unionByName(
+        words.select(*columns, F.lit("words").alias("by")))
+
+
 def history(pairs: DataFrame, asked: DataFrame, summaries: DataFrame) -> DataFrame:
     """conv_id, turn_no, role, content: summary, relevant older pairs, recent pairs.
 
@@ -239,6 +263,45 @@ def prompt_rows(queries: DataFrame, contexts: DataFrame, histories: DataFrame) -
         F.coalesce("history", F.lit("")).alias("history"))
 
 
+def prompt_texts(rows: DataFrame, rules: str, notes: str = "") -> DataFrame:
+    """query_id, prompt: the parts of `prompt_rows` under their headings, the caller's rules and notes."""
+    def part(name: str, missing: str) -> Column:
+        return F.when(F.col(name) == "", missing).otherwise(F.col(name))
+
+    sections = [
+        (fixed.PROMPT_QUESTION, F.col("question")), (fixed.PROMPT_CONTEXT, part("context", fixed.PROMPT_NO_CONTEXT)),
+        (fixed.PROMPT_HISTORY, part("history", fixed.PROMPT_NO_HISTORY)), (fixed.PROMPT_RULES, F.lit(rules.strip()))]
+    if notes.strip():
+        sections.append((fixed.PROMPT_NOTES, F.lit(notes.strip())))
+    texts = [F.concat(F.lit(head + "\n"), body) for head, body in sections]
+    return rows.select("query_id", F.array_join(F.array(*texts), "\n\n").alias("prompt"))
+
+
+def source_entry(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep` and the entry that a client is shown of a result: `rows` has document_id, title, version_id,
+    section, score, relevance, document_text, excerpt, doc_restricted; any may be null.
+    """
+    def filled(name: str) -> Column:
+        return F.nullif(F.col(name), F.lit(""))
+
+    return rows.select(
+        *keep, F.struct(
+            "document_id", F.coalesce(filled("title"), F.col("document_id").cast("string")).alias("document_title"),
+            "version_id", F.col("section").alias("section_path"),
+            F.coalesce("score", "relevance").alias("relevance"),
+            F.coalesce(filled("document_text"), "excerpt").alias("excerpt"),
+            F.coalesce("doc_restricted", F.lit(False)).alias("doc_restricted")).alias("entry"))
+
+
+def conversation_titles(first_texts: DataFrame) -> DataFrame:
+    """conv_id, title: the model's title (`proposed`) without blanks and quotes around it, else the head of `text`."""
+    quoted = tx.strip("proposed")
+    for mark in ('"', "'"):
+        quoted = F.btrim(quoted, F.lit(mark))
+    return first_texts.select("conv_id", F.coalesce(
+        F.nullif(quoted, F.lit("")), F.substring("text", 1, fixed.TITLE_CHARS)).alias("title"))
+
+
 def latest(rows: DataFrame, order: list[Column], limit: int = fixed.LIST_LIMIT) -> DataFrame:
     """Newest rows of a log."""
     return rows.orderBy(*order).limit(limit)

@@ -387,6 +387,24 @@ def chunk_mode_fallback(spark, sf):
     return out.select("doc_id", "chunker_mode").distinct()
 
 
+fx.CTE["grouped_fallback"] = (["pieces"], fx.CTE["grouped_pieces"][1].replace("tokens >= 10", f"tokens >= {fixed.FALLBACK_MIN_TOKENS}"))
+MODE = "CASE WHEN doc_id % 4 = 0 THEN 'legacy' ELSE 'llm_structured' END mode"
+
+
+@register("mode_chunks", sql("packed_chunks grouped_fallback", EXTERNAL_SQL.replace("<= 80", "<= 120").replace("> 80", "> 120").replace("* 32", "* 48").replace("/ 32.0", "/ 48.0").replace(
+    "+ 40]", "+ 60]").replace("len(ws) - 40", "len(ws) - 60") + f""",
+m AS (SELECT doc_id, {MODE} FROM documents),
+f AS (SELECT doc_id, (g - 1)::INT chunk_index, sum(tokens)::INT token_count, sha256(arg_min(text, o)) chunk_hash FROM grouped_fallback GROUP BY doc_id, g)
+SELECT doc_id, chunk_index, token_count, chunk_hash, 'legacy' chunker_mode FROM packed_chunks JOIN m USING (doc_id) WHERE mode = 'legacy'
+UNION ALL SELECT doc_id, chunk_index, (length(t) + 3) // 4, sha256(t), 'llm_structured' FROM x JOIN m USING (doc_id) WHERE mode <> 'legacy'
+UNION ALL SELECT doc_id, chunk_index, token_count, chunk_hash, 'legacy' FROM f JOIN m USING (doc_id) WHERE mode <> 'legacy' AND doc_id NOT IN (SELECT doc_id FROM x)"""))
+def mode_chunks(spark, sf):
+    """All chunks of a corpus in two modes; documents without a usable outside list are packed by sentences."""
+    docs = heading_text(spark, sf).selectExpr("*", MODE)
+    return ch.chunk_by_mode(docs, external_lists(spark, sf), PACK).select(
+        "doc_id", "chunk_index", "token_count", "chunk_hash", "chunker_mode")
+
+
 @register("chunk_settings", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'llm_structured' WHEN 1 THEN 'legacy' WHEN 2 THEN 'odd' ELSE 'hybrid' END AS mode,
   CASE WHEN doc_id % 4 IN (1, 3) THEN 32 * (doc_id % 100) ELSE 1500 END::INT max_tokens,
   CASE WHEN doc_id % 4 = 3 THEN 100 * (doc_id % 8) ELSE 80 END::INT overlap_tokens,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievegate.functions import fixed_values as fixed
 from sievegate.functions import text as tx
 from sievegate.operators import conversation as cv
+from sievegate.operators import maintenance as mt
 from sievegate.operators import retrieval as rt
 from sievegate.plans import fixtures as fx
 from sievegate.plans.corpus import BLANKS, sql_words
@@ -261,3 +262,78 @@ def source_entries(spark, sf):
     return retrieved(spark, sf).join(docs, "chunk_id").select(
         "query_id", F.col("chunk_id").alias("document_id"), "title", F.col("score").alias("relevance"),
         F.sha2("document_text", 256).alias("excerpt_hash"))
+
+
+# One in three threads asks without a vector; so do some questions.
+CTE["asked_vectors"] = ([], "SELECT vec_id conv_id, embedding FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id IN (SELECT conv_id // 12 FROM conversations)")
+CTE["question_vectors"] = ([], """SELECT 't' || (conv_id // 12) || '-' || (conv_id % 12) || '-' || turn message_id, embedding
+   FROM conversations JOIN embeddings ON vec_id = (conv_id * 8 + turn) % 600""")
+
+
+@register("relevant_by_vector", sql("pairs2 relevant asked_vectors question_vectors", """
+WITH v AS (SELECT conv_id, pair_no, coalesce(round(list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))
+     / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 9), 0) relevance
+   FROM pairs2 JOIN asked_vectors a USING (conv_id) LEFT JOIN question_vectors q ON message_id = user_message_id WHERE NOT is_recent),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY relevance DESC, pair_no) - 1 rank FROM v)
+SELECT conv_id, pair_no, round(relevance, 4) relevance, rank::INT AS rank, 'vector' AS found_by FROM r WHERE rank < 3
+UNION ALL SELECT conv_id, pair_no, overlap, rank::INT, 'words' FROM relevant WHERE conv_id NOT IN (SELECT conv_id FROM asked_vectors)"""))
+def relevant_by_vector(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    turns = table(spark, sf, "conversations")
+    asked_vectors = vectors.where("vec_id % 3 <> 0").join(
+        turns.selectExpr("conv_id div 12 vec_id").distinct(), "vec_id", "left_semi").selectExpr("vec_id conv_id", "embedding")
+    questions = turns.selectExpr(
+        "concat('t', conv_id div 12, '-', conv_id % 12, '-', turn) message_id", "(conv_id * 8 + turn) % 600 vec_id").join(vectors, "vec_id")
+    found = cv.relevant_by_vector(pairs(spark, sf), asked(spark, sf), asked_vectors, questions.select("message_id", "embedding"))
+    return found.select("conv_id", "pair_no", F.round("relevance", 4).alias("relevance"), "rank", F.col("by").alias("found_by"))
+
+
+CTE["proposed"] = (["messages"], """SELECT conv_id, first(content ORDER BY created_s, message_id) AS text,
+   CASE conv_id % 4 WHEN 0 THEN ' "Plan ' || conv_id || '" ' WHEN 1 THEN chr(39) || 'Note' || chr(39) || ' ' WHEN 2 THEN ' "" ' END proposed FROM messages GROUP BY conv_id""")
+
+
+@register("conversation_titles", sql("proposed", """SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN 'Plan ' || conv_id WHEN 1 THEN 'Note' ELSE text[1:40] END title FROM proposed"""))
+def conversation_titles(spark, sf):
+    """Titles from a model, some quoted, some empty or missing."""
+    first = fx.messages(spark, sf).groupBy("conv_id").agg(F.min_by("content", F.struct("created_s", "message_id")).alias("text"))
+    return cv.conversation_titles(first.withColumn("proposed", F.expr(
+        """CASE cast(conv_id % 4 as int) WHEN 0 THEN concat(' "Plan ', conv_id, '" ') WHEN 1 THEN "'Note' " WHEN 2 THEN ' "" ' END""")))
+
+
+PROMPT_RULES = "Answer from the contexts only.\nName each context you use by its number."
+
+
+@register("prompts", sql("top5 hist queries", f"""
+WITH c AS (SELECT query_id, string_agg('[Context ' || (rank + 1) || '] | chunk_id=' || chunk_id || ' | score=' || score || CASE WHEN chunk_id % 2 = 0 THEN ' | page=' || (chunk_id % 9) ELSE '' END
+     || chr(10) || trim(document_text, {BLANKS}), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) ctx FROM top5 WHERE trim(document_text, {BLANKS}) <> '' GROUP BY 1),
+t AS (SELECT conv_id query_id, string_agg(role || ': ' || trim(content, {BLANKS}), chr(10) ORDER BY turn_no) past FROM (
+     SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn_no DESC) r FROM hist) WHERE r <= 6 AND trim(content, {BLANKS}) <> '' GROUP BY 1)
+SELECT query_id, sha256({quote(fixed.PROMPT_QUESTION)} || chr(10) || trim(text, {BLANKS}) || chr(10) || chr(10) || {quote(fixed.PROMPT_CONTEXT)} || chr(10) || coalesce(ctx, {quote(fixed.PROMPT_NO_CONTEXT)})
+   || chr(10) || chr(10) || {quote(fixed.PROMPT_HISTORY)} || chr(10) || coalesce(past, {quote(fixed.PROMPT_NO_HISTORY)}) || chr(10) || chr(10) || {quote(fixed.PROMPT_RULES)} || chr(10)
+   || {quote(PROMPT_RULES)} || chr(10) || chr(10) || {quote(fixed.PROMPT_NOTES)} || chr(10) || 'Be short.') prompt_hash FROM queries LEFT JOIN c USING (query_id) LEFT JOIN t USING (query_id)"""))
+def prompts(spark, sf):
+    """Whole prompts: question, numbered contexts with their scores, the last turns, the caller's rules."""
+    turns = history_rows(spark, sf).withColumnRenamed("conv_id", "query_id")
+    rows = cv.prompt_rows(fx.queries(spark, sf), cv.prompt_contexts(retrieved(spark, sf)), turns)
+    return cv.prompt_texts(rows, PROMPT_RULES, "Be short.").select("query_id", F.sha2("prompt", 256).alias("prompt_hash"))
+
+
+@register("shown_sources", sql("top5 docs versions", """SELECT query_id, rank::INT AS rank, CASE WHEN chunk_id % 4 = 0 THEN chunk_id::VARCHAR ELSE title END document_title, coalesce(version_id, 'none') version_id,
+   CASE WHEN chunk_id % 3 = 0 THEN 'Part ' || chunk_id END section_path, CASE WHEN chunk_id % 5 = 0 THEN 0.5 ELSE score END relevance,
+   sha256(CASE WHEN chunk_id % 6 = 1 THEN 'excerpt ' || chunk_id ELSE document_text END) excerpt_hash, chunk_id % 7 = 0 doc_restricted, document_type
+   FROM (SELECT *, chunk_id document_id FROM top5) JOIN (SELECT doc_id, title, CASE WHEN document_type = 'general' AND file_name IS NOT NULL THEN lower(split_part(file_name, '.', 2)) ELSE document_type END document_type, version_id
+     FROM docs LEFT JOIN (SELECT doc_id, arg_max(file_name, version_no) file_name, arg_max(version_id, version_no) version_id FROM versions GROUP BY 1) USING (doc_id)) ON doc_id = document_id"""))
+def shown_sources(spark, sf):
+    """Results as a client is shown them, with the registry's type in place of `general`."""
+    versions = fx.versions(spark, sf)
+    newest = versions.groupBy("doc_id").agg(F.max_by("version_id", "version_no").alias("version_id"))
+    docs = fx.documents(spark, sf).join(newest, "doc_id", "left").selectExpr(
+        "doc_id document_id", "CASE WHEN doc_id % 4 = 0 THEN '' ELSE title END title", "version_id", "document_type")
+    rows = retrieved(spark, sf).withColumn("document_id", F.col("chunk_id")).join(docs, "document_id").selectExpr(
+        "query_id", "rank", "document_id", "document_type", "title", "version_id", "CASE WHEN chunk_id % 3 = 0 THEN concat('Part ', chunk_id) END section",
+        "CASE WHEN chunk_id % 5 <> 0 THEN score END score", "0.5D relevance", "CASE WHEN chunk_id % 6 = 1 THEN '' ELSE document_text END document_text",
+        "concat('excerpt ', chunk_id) excerpt", "CASE WHEN chunk_id % 7 = 0 THEN true WHEN chunk_id % 7 = 1 THEN false END doc_restricted")
+    known = mt.document_types(fx.documents(spark, sf), mt.current_versions(versions)).withColumnRenamed("doc_id", "document_id")
+    return cv.source_entry(mt.backfilled_types(rows, known), ["query_id", "rank", "document_type"]).select(
+        "query_id", "rank", "entry.document_title", F.coalesce("entry.version_id", F.lit("none")).alias("version_id"), "entry.section_path",
+        "entry.relevance", F.sha2("entry.excerpt", 256).alias("excerpt_hash"), "entry.doc_restricted", "document_type")

@@ -230,11 +230,11 @@ def chunk_sensitivity(spark, sf):
     return rows.select("doc_id", dt.chunk_sensitivity(F.col("sensitivity")).alias("chunk_sensitivity"))
 
 
-_LEVELS = " ".join(
+LEVELS_SQL = " ".join(
     f"WHEN regexp_matches(text, {quote('|'.join(f'(?:{p})' for p in fixed.LEVEL_PATTERNS[lv]))}, 'i') THEN {lv}" for lv in (4, 3, 2))
 
 
-@register("sensitivity_classes", sql("annotated", f"""SELECT doc_id, CASE WHEN doc_id % 7 BETWEEN 1 AND 5 AND doc_id % 2 = 0 THEN doc_id % 7 ELSE CASE {_LEVELS} ELSE 1 END END::INT "level" FROM annotated"""))
+@register("sensitivity_classes", sql("annotated", f"""SELECT doc_id, CASE WHEN doc_id % 7 BETWEEN 1 AND 5 AND doc_id % 2 = 0 THEN doc_id % 7 ELSE CASE {LEVELS_SQL} ELSE 1 END END::INT "level" FROM annotated"""))
 def sensitivity_classes(spark, sf):
     stored = F.expr("CASE WHEN doc_id % 2 = 0 THEN cast(doc_id % 7 as string) WHEN doc_id % 3 = 0 THEN 'x' END")
     return fx.annotated(spark, sf).select("doc_id", dt.classify_sensitivity(stored, F.col("text")).alias("level"))

@@ -13,6 +13,7 @@ from sievegate.operators.common import top_k
 from sievegate.plans import fixtures as fx
 from sievegate.plans.corpus import BLANKS, sql_tokens
 from sievegate.plans.fixtures import CTE, NOW, sql
+from sievegate.plans.governance import LEVELS_SQL
 from sievegate.plans.registry import ORACLE, register
 from sievegate.session import shared_dir
 from sievegate.sources.tables import table, text_table
@@ -474,6 +475,45 @@ def sensitivity_gate(spark, sf):
         F.count("*").alias("n_kept"), F.sum("chunk_id").alias("id_sum"))
 
 
+# The mode is part of the query's number, so that all modes pass the gate in one go.
+CTE["mode_scored"] = (["scored"], f"""SELECT query_id * 3 + m query_id, chunk_id, score, CASE m WHEN 0 THEN rrf_score WHEN 1 THEN {SIM} ELSE greatest(0, 1 - lexical_distance) END rrf_score
+   FROM scored, (SELECT unnest(range(3)) m) WHERE m = 0 OR (m = 1 AND semantic_distance IS NOT NULL) OR (m = 2 AND lexical_distance IS NOT NULL)""")
+CTE["mode_queries"] = (["queries"], "SELECT query_id * 3 + m query_id, user_id FROM queries, (SELECT unnest(range(3)) m)")
+CTE["mode_gated"] = (["mode_scored", "mode_queries", "chunk_index", "profiles", "viewable", "grants"],
+                     CTE["gated"][1].replace("FROM scored s", "FROM mode_scored s").replace("JOIN queries q", "JOIN mode_queries q"))
+
+
+@register("gated_search_modes", sql("mode_gated", """SELECT (['hybrid', 'semantic', 'keyword'])[query_id % 3 + 1] AS mode, query_id // 3 query_id, chunk_id, rank::INT AS rank, doc_restricted, chunk_blurred FROM (
+   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) - 1 rank FROM mode_gated) WHERE rank < 5"""))
+def gated_search_modes(spark, sf):
+    """The gate behind each mode of ranking; candidates of all modes are checked together."""
+    chunks, vecs, queries, qv = search_parts(spark, sf)
+    semantic, lexical = rt.cosine_top(vecs, qv), rt.bm25_top(chunks, queries)
+    modes, out = ("hybrid", "semantic", "keyword"), None
+    for number, mode in enumerate(modes):
+        rows = rt.with_scores(rt.by_mode(semantic, lexical, mode)).withColumn("query_id", F.col("query_id") * 3 + number)
+        out = rows if out is None else out.unionByName(rows)
+    asked = queries.select(F.explode(F.array(*[F.col("query_id") * 3 + n for n in range(3)])).alias("query_id"), "user_id")
+    rows = top_k(gated_rows(spark, sf, asked, out), ["query_id"], rt.fused_order(), 5)
+    return rows.select(
+        F.element_at(F.array(*map(F.lit, modes)), (F.col("query_id") % 3).cast("int") + 1).alias("mode"),
+        F.expr("query_id div 3").alias("query_id"), "chunk_id", "rank", "doc_restricted", "chunk_blurred")
+
+
+@register("content_gate", sql("scored queries profiles annotated", f"""
+WITH l AS (SELECT doc_id chunk_id, CASE WHEN doc_id % 7 BETWEEN 1 AND 5 AND doc_id % 2 = 0 THEN doc_id % 7 ELSE CASE {LEVELS_SQL} ELSE 1 END END "level" FROM annotated)
+SELECT query_id, chunk_id, "level"::INT "level" FROM scored JOIN queries USING (query_id) JOIN l USING (chunk_id) LEFT JOIN profiles USING (user_id) WHERE "level" <= coalesce(max_clearance, 1)"""))
+def content_gate(spark, sf):
+    """The gate by each candidate's own level: the stored one where it is valid, else what its text says."""
+    _, vecs, queries, qv = search_parts(spark, sf)
+    fused = rt.fuse(rt.cosine_top(vecs, qv), rt.bm25_top(chunk_index(spark, sf), queries)).select("query_id", "chunk_id")
+    stored = F.expr("CASE WHEN doc_id % 2 = 0 THEN cast(doc_id % 7 as string) WHEN doc_id % 3 = 0 THEN 'x' END")
+    found = fused.join(queries.select("query_id", "user_id"), "query_id").join(
+        fx.annotated(spark, sf).select(F.col("doc_id").alias("chunk_id"), stored.alias("stored"), "text"), "chunk_id")
+    profile = ac.profiles(fx.user_positions(spark, sf), fx.nodes(spark, sf), fx.org_types(spark, sf))
+    return ac.content_gate(found, profile, "stored", "text").select("query_id", "chunk_id", "level")
+
+
 @register("normalized_results", sql("scored", """
 WITH s AS (SELECT query_id, chunk_id, CASE WHEN chunk_id % 11 = 0 THEN NULL ELSE score END score FROM scored WHERE chunk_id % 9 <> 0),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, chunk_id) r FROM s WHERE score IS NULL OR score >= 0.9),
