@@ -118,6 +118,14 @@ def given_back(df: DataFrame, names: dict[str, str], added: list[str], drop=())
     return df.select(*kept, *added)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, longer by underscores until no column is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hashed_sample(df: DataFrame, key: str, size: int) -> DataFrame:
     """At most `size` rows: those whose hashed key comes first.
 

@@ -192,16 +192,18 @@ def fit(
     """Fit on a bounded sample of labelled rows that are not held out.
 
     The sample is, of each class, the `per_class` labelled ids whose hash comes first, with texts
-    of up to `longest` bytes: 200 MB at most with the defaults. Null labels, ids and texts teach
-    nothing; an id with both labels is toxic. The classes' weights are their counts over all labels.
+    of up to `longest` bytes: 200 MB at most with the defaults. Of rows with one id the text that sorts
+    first teaches. Null labels, ids and texts teach nothing; an id with both labels is toxic. The classes' weights are their counts over all labels.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy(
         "doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     drawn = [hashed_sample(known.where(F.col("toxic") == kind), "doc_id", per_class) for kind in (0, 1)]
     sample = drawn[0].unionByName(drawn[1])
-    rows = docs.where(F.octet_length("text") <= longest).select("doc_id", as_bytes().alias("text")).join(
-        F.broadcast(sample), "doc_id").collect()  # at most 2 * per_class ids
+    found = docs.where(F.octet_length("text") <= longest).select("doc_id", as_bytes().alias("text")).join(
+        F.broadcast(sample), "doc_id")
+    # Rows of one id are brought down to one before the shuffle: 2 * per_class rows reach the driver.
+    rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     texts = {0: [], 1: []}
     for _, text, toxic in sorted((r["doc_id"], bytes(r["text"]), r["toxic"]) for r in rows):
         texts[toxic].append(text)

@@ -146,6 +146,18 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_toxicity_of_repeated_ids(spark):
+    """Many rows of one id teach as the one whose text sorts first."""
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    text = {i: f"text {i} of plain words " * 3 + ("vile filth " * 3 if i % 2 else "") for i in ids}
+    once = spark.createDataFrame([(i, text[i]) for i in ids], "doc_id long, text string")
+    more = once.unionByName(once).unionByName(spark.createDataFrame([(i, "zzz later " + str(k)) for i in ids for k in range(20)], once.schema))
+    a, b = fit(once, labels), fit(more.repartition(7), labels)
+    probe = spark.createDataFrame([(1, "some vile filth here"), (2, "some plain words here")], once.schema)
+    assert [r["score"] for r in score_toxicity(probe, a).collect()] == [r["score"] for r in score_toxicity(probe, b).collect()]
+
+
 def test_toxicity_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["predicted"] for r in score_toxicity(odd, fit(odd, none)).collect()} == {0}
