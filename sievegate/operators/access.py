@@ -14,6 +14,8 @@ from sievegate.operators import detection as dt
 from sievegate.operators.common import salted_join, top_k, unnest
 from sievegate.session import shared_dir
 
+PROFILES_BROADCAST = 100_000  # profiles that go to every task
+
 
 # ---- graph -----------------------------------------------------------------------
 
@@ -103,6 +105,18 @@ def profiles(
         {"max_clearance": 1, "is_corp_member": False, "n_positions": 0})
 
 
+def with_profiles(rows: DataFrame, profile: DataFrame, id_col: str) -> DataFrame:
+    """Rows (user_id, `id_col`) that have a profile, with it, in the tasks where the rows lie.
+
+    Few users may have most rows, so rows are not dealt by user: profiles of the users that occur go to
+    every task when they are counted to be few, else rows and profiles meet in salted parts.
+    """
+    asked = profile.join(rows.select("user_id").distinct(), "user_id", "left_semi")
+    if asked.limit(PROFILES_BROADCAST + 1).count() <= PROFILES_BROADCAST:
+        return rows.join(F.broadcast(asked), "user_id")
+    return salted_join(rows, profile, ["user_id"], id_col)
+
+
 def corp_members(held: DataFrame, nodes: DataFrame, types: DataFrame) -> DataFrame:
     """Users with a place in a top-level organisation type."""
     top = nodes.join(types.where("parent_ou_id IS NULL"), "ou_id", "left_semi")

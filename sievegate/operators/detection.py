@@ -97,6 +97,19 @@ def pii_spans(text: Column) -> Column:
     return tx.let(F.array_sort(F.flatten(F.array(*found))), first_of_equal)
 
 
+def has_pii(text: Column) -> Column:
+    """Whether a text has a span of `pii_spans`, known at the first match."""
+    hit = F.lit(False)
+    for kind, pattern, _ in fixed.PII_PATTERNS:
+        found = text.rlike("(?iuU)" + pattern)
+        if kind in _NEEDS_AT:
+            found = text.contains("@") & found
+        elif kind in _NEEDS_DIGITS:
+            found = text.rlike(r"(?U)\d{3}") & found
+        hit = hit | F.coalesce(found, F.lit(False))
+    return hit
+
+
 def apart(spans: Column) -> Column:
     """Spans without overlaps: leftmost first, then the longest, then the earliest pattern."""
     return F.aggregate(
@@ -187,18 +200,21 @@ def secret_hits(text: Column, words: list[str]) -> Column:
 
 
 def scan_responses(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """Personal data and secrets in answers, with the reason that would trigger a judge."""
+    """Personal data and secrets in answers, with the reason that would trigger a judge.
+
+    The reason asks only whether there is a match, so who wants it alone does not pay for the spans.
+    """
     blank = tx.strip(text_col) == ""
     out = rows.withColumn(
         "_spans", F.when(blank, F.array().cast(_SPAN)).otherwise(pii_spans(F.col(text_col)))
     ).withColumn("hard_secrets", secret_hits(F.col(text_col), fixed.HARD_SECRETS)).withColumn(
         "soft_secrets", secret_hits(F.col(text_col), fixed.SOFT_SECRETS))
-    return out.withColumn("has_pii", F.size("_spans") > 0).withColumn(
+    hard, soft = (F.col(text_col).rlike(any_of(words)) for words in (fixed.HARD_SECRETS, fixed.SOFT_SECRETS))
+    return out.withColumn("has_pii", ~F.coalesce(blank, F.lit(False)) & has_pii(F.col(text_col))).withColumn(
         "has_secret", (F.size("hard_secrets") > 0) | (F.size("soft_secrets") > 0)
     ).withColumn(
         "trigger",
-        F.when(F.col("has_pii"), "pii").when(F.size("hard_secrets") > 0, "hard_secret")
-        .when(F.size("soft_secrets") > 0, "soft_secret").otherwise("none"),
+        F.when(F.col("has_pii"), "pii").when(hard, "hard_secret").when(soft, "soft_secret").otherwise("none"),
     ).withColumn("redacted_text", redact(F.col(text_col), F.col("_spans"))).drop("_spans")
 
 

@@ -248,7 +248,7 @@ def annotated(spark: SparkSession, sf: str) -> DataFrame:
     """Document text followed by one planted line, so each rule meets some rows."""
     lines = rows_table(spark, "k bigint, planted string", list(enumerate(PLANTED)))
     docs = text_table(spark, sf, "documents").selectExpr("doc_id", "text", f"doc_id % {len(PLANTED)} k")
-    return docs.join(lines, "k").selectExpr("doc_id", "concat(text, '\\n', planted) text")
+    return docs.join(F.broadcast(lines), "k").selectExpr("doc_id", "concat(text, '\\n', planted) text")
 
 
 CTE["annotated"] = ([], f"""SELECT doc_id, text || chr(10) || planted AS text FROM documents

@@ -95,7 +95,8 @@ _sql_redact("mask_spans", "masked")
 def readers(spark, sf):
     profile = ac.profiles(fx.user_positions(spark, sf), fx.nodes(spark, sf), fx.org_types(spark, sf))
     docs = fx.annotated(spark, sf).withColumn("user_id", F.expr("doc_id % 4 * 50 % 150 + doc_id % 2"))
-    return docs.join(profile.select("user_id", "is_corp_member", "max_clearance"), "user_id").withColumn(
+    held = ac.with_profiles(docs, profile.select("user_id", "is_corp_member", "max_clearance"), "doc_id")
+    return held.withColumn(
         "max_clearance", F.when(F.col("doc_id") % 3 == 0, 4).otherwise(F.col("max_clearance")))
 
 
