@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sievegate.functions import fixed_values as fixed
 from sievegate.functions import scoring as sc
@@ -25,6 +27,7 @@ from sievegate.session import shared_dir
 QUERY_TERMS_BROADCAST = 200_000  # rows of (query, token)
 QUERY_VECTORS_BROADCAST = 4_096  # query vectors per broadcast block
 SCORE_DIGITS = 9                 # so that equal texts get equal scores in any order of addition
+SCORED_TERMS = 2_000_000         # (chunk, term of a query) pairs that a task scores at once
 SHARD_ROWS = 20_000              # chunk vectors per grid cell
 
 
@@ -83,31 +86,189 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "token").agg(F.count("*").alias("times"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, text_col: str = "chunk_text") -> DataFrame:
+def weighted_terms(chunks: DataFrame, terms: DataFrame, text_col: str = "chunk_text") -> tuple[DataFrame, float]:
+    """query_id, token, weight (idf by times) of the terms that occur, and the mean length of the chunks.
+
+    The vocabulary is summed once and kept; counts, mean idf and weights are read from it.
+    """
+    shared_dir(chunks.sparkSession)
+    words = vocabulary(chunks, text_col).checkpoint()
+    corpus = words.where("token = ''").select("df", "total").first()
+    n_chunks = corpus["df"] if corpus else 0
+    average = corpus["total"] / n_chunks if n_chunks else 1.0
+    raw = words.where("token <> ''").select(
+        "token", (F.log(F.lit(n_chunks) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    floor = raw.select(fixed.BM25_EPSILON * F.avg("idf")).first()[0]
+    idf = F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf"))
+    return raw.join(terms, "token").select("query_id", "token", (idf * F.col("times")).alias("weight")), average
+
+
+def _counted_terms(vocabulary: pa.Array, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk_id, dl, terms, counts: places in the vocabulary of the words of a chunk that are in it."""
+    for batch in batches:
+        tokens = batch.column("_t")
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = pc.fill_null(pc.index_in(tokens.flatten(), vocabulary), -1).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(found >= 0)
+        keys, counts = np.unique(
+            np.repeat(np.arange(len(sizes)), sizes)[at] * len(vocabulary) + found[at], return_counts=True)
+        rows, starts = np.unique(keys // len(vocabulary), return_index=True)
+        ends = pa.array(np.append(starts, len(keys)), pa.int32())
+        yield pa.RecordBatch.from_arrays([
+            batch.column("chunk_id").take(pa.array(rows)), pa.array(sizes[rows], pa.int32()),
+            pa.ListArray.from_arrays(ends, pa.array(keys % len(vocabulary), pa.int32())),
+            pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))], names=["chunk_id", "dl", "terms", "counts"])
+
+
+def _whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of chunks, and place, length, term, count of their terms, from rows sorted by chunk_id.
+
+    Rows of one chunk with the same length count as one text. The last chunk of a batch waits for the
+    next one, with its counts summed.
+    """
+    def merged(place, length, term, count):
+        order = np.lexsort((term, length, place))
+        place, length, term, count = place[order], length[order], term[order], count[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(place) != 0) | (np.diff(length) != 0) | (np.diff(term) != 0)
+        first = np.flatnonzero(new)
+        return place[first], length[first], term[first], np.add.reduceat(count, first) if len(first) else count
+
+    last, waiting = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("chunk_id")
+        if last is not None:
+            ids = pa.concat_arrays([last, ids])
+        listed = ids.to_pylist()
+        place = np.cumsum([0, *(a != b for a, b in zip(listed, listed[1:]))])
+        firsts = ids.take(pa.array(np.flatnonzero(np.diff(place, prepend=-1))))
+        own = place[len(ids) - batch.num_rows:]
+        sizes = pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False)
+        rows = (np.repeat(own, sizes), np.repeat(batch.column("dl").to_numpy(), sizes),
+                batch.column("terms").flatten().to_numpy(), batch.column("counts").flatten().to_numpy())
+        if waiting is not None:
+            rows = tuple(np.concatenate(pair) for pair in zip(waiting, rows))
+        rows = merged(*rows)
+        cut = np.searchsorted(rows[0], place[-1])
+        if place[-1]:
+            yield firsts.slice(0, len(firsts) - 1), *(r[:cut] for r in rows)
+        last = firsts.slice(len(firsts) - 1)
+        waiting = (np.zeros(len(rows[0]) - cut, np.int64), *(r[cut:] for r in rows[1:]))
+    if last is not None:
+        yield last, *waiting
+
+
+def _scored_chunks(
+    asked: pa.Array, pointers: np.ndarray, query_of: np.ndarray, weights: np.ndarray, average: float, k: int | None,
+    batches: Iterator[pa.RecordBatch],
+) -> Iterator[pa.RecordBatch]:
+    """query_id, chunk_id, raw_score > 0 of a task's chunks, or the `k` best of them per query.
+
+    `query_of` and `weights` list the queries of each term, between its `pointers`. Chunks come by id, so
+    of equal scores the earlier one stays.
+    """
+    k1, b = fixed.BM25_K1, fixed.BM25_B
+    step = max(1, SCORED_TERMS // max(1, len(weights)))
+    least = np.zeros(len(asked))
+    kept: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+    held = 0
+
+    def batch_of(query, score, ids):
+        return pa.RecordBatch.from_arrays(
+            [asked.take(pa.array(query)), ids, pa.array(score)], names=["query_id", "chunk_id", "raw_score"])
+
+    def best():
+        query, score = (np.concatenate([part[i] for part in kept]) for i in (0, 1))
+        order = np.lexsort((np.arange(len(query)), -score, query))
+        starts = np.searchsorted(query[order], np.arange(len(asked)))
+        place = np.arange(len(order)) - starts[query[order]]
+        ended = order[place == k - 1]
+        least[query[ended]] = score[ended]
+        keep = np.sort(order[place < k])
+        ids = pa.concat_arrays([part[2] for part in kept]).take(pa.array(keep))
+        return query[keep], score[keep], ids
+
+    for ids, place, length, term, count in _whole_chunks(batches):
+        for start in range(0, len(ids), step):
+            n = min(step, len(ids) - start)
+            low, high = np.searchsorted(place, [start, start + n])
+            t, tf = term[low:high], count[low:high].astype(float)
+            below = tf + k1 * (1 - b + b * length[low:high] / average)
+            times = pointers[t + 1] - pointers[t]
+            ends = np.cumsum(times)
+            each = np.repeat(np.arange(len(t)), times)
+            at = np.arange(len(each)) - np.repeat(ends - times, times) + pointers[t][each]
+            part = weights[at] * tf[each] * (k1 + 1) / below[each]
+            cell = (place[low:high][each] - start) * len(asked) + query_of[at]
+            scores = np.round(np.bincount(cell, part, n * len(asked)), SCORE_DIGITS).reshape(n, len(asked))
+            row, query = np.nonzero((scores > 0) & ((scores > least) | (least == 0)))
+            if not len(row):
+                continue
+            found = (query, scores[row, query], ids.take(pa.array(row + start)))
+            if k is None:
+                yield batch_of(*found)
+                continue
+            kept.append(found)
+            held += len(row)
+            if held > max(SCORED_TERMS, 2 * k * len(asked)):
+                kept = [best()]
+                held = len(kept[0][0])
+    if kept:
+        yield batch_of(*best())
+
+
+def _scored_terms(chunks: DataFrame, queries: DataFrame, rows: list, average: float, text_col: str, k: int | None) -> DataFrame:
+    """query_id, chunk_id, raw_score by `rows` (query_id, token, weight); with `k` the best of every task."""
+    if not rows:
+        return chunks.limit(0).select(
+            F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "chunk_id", F.lit(0.0).alias("raw_score"))
+    words = sorted({r["token"] for r in rows})
+    places = {word: i for i, word in enumerate(words)}
+    ids = list(dict.fromkeys(r["query_id"] for r in rows))
+    numbers = {query: i for i, query in enumerate(ids)}
+    term, query = (np.array([known[r[name]] for r in rows]) for known, name in ((places, "token"), (numbers, "query_id")))
+    order = np.lexsort((query, term))
+    pointers = np.searchsorted(term[order], np.arange(len(words) + 1))
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
+    sent = chunks.sparkSession.sparkContext.broadcast((
+        pa.array(words, pa.string()), pa.array(ids, kind), pointers, query[order], np.array([r["weight"] for r in rows])[order]))
+    of_id = chunks.schema["chunk_id"].dataType
+    counted = T.StructType([
+        T.StructField("chunk_id", of_id), T.StructField("dl", T.IntegerType()),
+        T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+    scored = T.StructType([
+        T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", of_id),
+        T.StructField("raw_score", T.DoubleType())])
+    met = token_rows(chunks, text_col).mapInArrow(lambda batches: _counted_terms(sent.value[0], batches), counted)
+    return met.repartition("chunk_id").sortWithinPartitions("chunk_id").mapInArrow(
+        lambda batches: _scored_chunks(*sent.value[1:], average, k, batches), scored)
+
+
+def bm25_scores(
+    chunks: DataFrame, queries: DataFrame, text_col: str = "chunk_text", k: int | None = None,
+) -> DataFrame:
     """query_id, chunk_id, raw_score > 0 over the given chunks.
 
     Statistics come from exactly these chunks, so filter them first to score a
-    scope. Query terms are sent to every task when they are few; otherwise terms
-    and tokens meet in a salted join, because one token may be in a third of all
-    chunks.
+    scope. When the query terms are few, they go to every task: a chunk becomes one
+    row of its own counts of them, and no pair of chunk and query is a row before it is scored. With `k`
+    a task keeps the best of its chunks per query, and the few rows that are left are kept as a checkpoint;
+    chunks with the same id lie in one task, as one chunk. Otherwise terms and tokens
+    meet in a salted join, because one token may be in a third of all chunks.
     """
-    stats = corpus_stats(chunks, text_col).select(F.struct("n_chunks", "avg_length")).scalar()
-    n_chunks, avg_length = stats["n_chunks"], stats["avg_length"]
     terms = query_terms(queries)
     few = terms.limit(QUERY_TERMS_BROADCAST + 1).count() <= QUERY_TERMS_BROADCAST
-    idf = token_idf(chunks, n_chunks, text_col)
-    weighted = idf.join(F.broadcast(terms) if few else terms, "token").select(
-        "query_id", "token", (F.col("idf") * F.col("times")).alias("weight")
-    )
-    tokens = token_table(chunks, text_col, terms.select("token").distinct() if few else None)
-    hits = (
-        tokens.join(F.broadcast(weighted), "token") if few
-        else salted_join(tokens, weighted, ["token"], "chunk_id")
-    )
+    weighted, average = weighted_terms(chunks, F.broadcast(terms) if few else terms, text_col)
+    if few:
+        found = _scored_terms(chunks, queries, small_rows(weighted, QUERY_TERMS_BROADCAST), average, text_col, k)
+        return found if k is None else found.checkpoint()
+    hits = salted_join(token_table(chunks, text_col), weighted, ["token"], "chunk_id")
     k1, b = fixed.BM25_K1, fixed.BM25_B
     part = (
         F.col("weight") * F.col("tf") * (k1 + 1)
-        / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avg_length))
+        / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
     )
     return (
         hits.groupBy("chunk_id", "query_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("raw_score"))
@@ -121,7 +282,7 @@ def bm25_top(
 ) -> DataFrame:
     """Ranked lexical list per query with the distance relative to its best row."""
     order = [F.col("raw_score").desc(), F.col("chunk_id").asc()]
-    best = top_k(bm25_scores(chunks, queries, text_col), ["query_id"], order, k)
+    best = top_k(bm25_scores(chunks, queries, text_col, k), ["query_id"], order, k)
     lead = F.max("raw_score").over(Window.partitionBy("query_id"))
     return best.select(
         "query_id", "chunk_id", "rank", "raw_score",
@@ -307,8 +468,9 @@ def cosine_top(
         local = slim.mapInPandas(scan, schema)
     else:
         local = _grid_scan(slim, wanted, k, block, schema)
+    shared_dir(slim.sparkSession)
     order = [F.col("similarity").desc(), F.col("chunk_id").asc()]
-    return top_k(local, ["query_id"], order, k).select(
+    return top_k(local.checkpoint(), ["query_id"], order, k).select(
         "query_id", "chunk_id", "rank", "similarity", (1.0 - F.col("similarity")).alias("distance")
     )
 
