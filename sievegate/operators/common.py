@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+FEW_KEYS = 200_000  # keys sent to every task
+
 
 def unnest(df: DataFrame, keep: list, array: Column | str, value: str, position: str = "_pos") -> DataFrame:
     """One row per array element, with its 0-based position.
@@ -44,6 +46,16 @@ def small_rows(df: DataFrame, limit: int) -> list | None:
     return rows if len(rows) <= limit else None
 
 
+def rows_of(large: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of `large` whose `key` is among the rows of `wanted` (kept, as it is read again to count its keys).
+
+    Keys that are counted to be few go to every task, so nothing of the other rows is shuffled or sorted.
+    """
+    keys = wanted.select(key).distinct()
+    few = keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    return large.join(F.broadcast(keys) if few else keys, key, "left_semi")
+
+
 def spread(df: DataFrame, id_col: str, buckets: int) -> DataFrame:
     """Add a salt in [0, buckets) that depends on the row only."""
     return df.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int"))

@@ -9,11 +9,13 @@ from sievegate.functions import text as tx
 from sievegate.operators import conversation as cv
 from sievegate.operators import maintenance as mt
 from sievegate.operators import retrieval as rt
+from sievegate.operators.common import rows_of
 from sievegate.plans import fixtures as fx
 from sievegate.plans.corpus import BLANKS, sql_words
 from sievegate.plans.fixtures import CTE, quote, sql
 from sievegate.plans.registry import register
 from sievegate.plans.search import search_parts
+from sievegate.session import shared_dir
 from sievegate.sources.tables import table, text_table
 
 DONE = ", ".join(f"'{s}'" for s in fixed.DONE_STATUSES)
@@ -231,8 +233,9 @@ def markdown_wrap(spark, sf):
 
 def retrieved(spark, sf):
     chunks, vecs, queries, qv = search_parts(spark, sf)
-    found = rt.search(chunks, vecs, queries, qv)
-    texts = chunks.select("chunk_id", F.col("chunk_text").alias("document_text"))
+    shared_dir(spark)
+    found = rt.search(chunks, vecs, queries, qv).checkpoint()  # a few rows per query
+    texts = rows_of(chunks.select("chunk_id", F.col("chunk_text").alias("document_text")), found, "chunk_id")
     return found.join(texts, "chunk_id").withColumn("page", F.when(F.col("chunk_id") % 2 == 0, F.col("chunk_id") % 9))
 
 

@@ -9,7 +9,7 @@ from sievegate.functions import text as tx
 from sievegate.operators import access as ac
 from sievegate.operators import retrieval as rt
 from sievegate.operators import scoped as scp
-from sievegate.operators.common import top_k
+from sievegate.operators.common import rows_of, top_k
 from sievegate.plans import fixtures as fx
 from sievegate.plans.corpus import BLANKS, sql_tokens
 from sievegate.plans.fixtures import CTE, NOW, sql
@@ -308,10 +308,11 @@ def gated_rows(spark, sf, queries, scored):
     held, nodes, pairs, profile = access_inputs(spark, sf)
     index = chunk_index(spark, sf).select("chunk_id", "document_id", "sensitivity", F.expr(
         "CASE chunk_id % 7 WHEN 3 THEN NULL WHEN 5 THEN 0 ELSE chunk_sensitivity END").alias("chunk_sensitivity"))
+    index = rows_of(index, scored, "chunk_id")
     wanted = scored.join(queries, "query_id").join(index, "chunk_id").select(
-        "user_id", F.col("document_id").alias("doc_id"))
-    view = ac.access_of_pairs(wanted, fx.documents(spark, sf), fx.document_nodes(spark, sf), nodes,
-                              fx.node_parents(spark, sf), pairs, held, profile)
+        "user_id", F.col("document_id").alias("doc_id")).distinct().checkpoint()
+    docs, doc_nodes = (rows_of(rows, wanted, "doc_id") for rows in (fx.documents(spark, sf), fx.document_nodes(spark, sf)))
+    view = ac.access_of_pairs(wanted, docs, doc_nodes, nodes, fx.node_parents(spark, sf), pairs, held, profile)
     grants = ac.active_grants(fx.access_requests(spark, sf), F.lit(NOW).cast("timestamp_ntz"))
     return rt.gate_results(
         scored, index, queries, profile,
