@@ -610,10 +610,12 @@ def stream_grants(spark, sf):
     clock = rows.limit(1).withColumns({
         "request_id": F.lit(-1).cast(rows.schema["request_id"].dataType), "status": F.lit("pending"),
         "created_at": F.expr("TIMESTAMP '2024-03-01 00:00:00'"), "expires_at": F.lit(None).cast("timestamp")})
-    for part in (rows.unionByName(longer).coalesce(4), clock, clock.withColumn("request_id", F.col("request_id") - 1)):
-        append_log(part, source)
+    append_log(rows.unionByName(longer), source)
     # All of the first write in one batch, so that the clock's rows come after it.
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    first = len(spark.read.schema(rows.schema).parquet(source).inputFiles())
+    for part in (clock, clock.withColumn("request_id", F.col("request_id") - 1)):
+        append_log(part, source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", first).parquet(source)
     ig.run_available(st.expire_grants(stream), lambda b, i: replace_partitions(
         b.withColumn("batch_id", F.lit(i)), out, ["batch_id"]), run_dir(spark, "cp"))
     return spark.read.parquet(out).where("status = 'revoked'").select("request_id", F.col("status").alias("state"))

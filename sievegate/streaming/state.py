@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,34 +38,49 @@ def track_jobs(events: DataFrame) -> DataFrame:
         "update", GroupStateTimeout.NoTimeout)
 
 
-def expire_grants(requests: DataFrame, late: str = "0 seconds") -> DataFrame:
+GRANT_BUCKETS = 512  # part of the state: a checkpoint goes on with the number it began with
+ENDLESS = 2**63 - 1
+
+
+def expire_grants(requests: DataFrame, late: str = "0 seconds", buckets: int = GRANT_BUCKETS) -> DataFrame:
     """Revoke approvals when event time passes their end.
 
-    `requests`: request_id, status, created_at (event time), expires_at or null. The
-    timer of a request is its own end; the watermark drives the clock.
+    `requests`: request_id, status, created_at (event time), expires_at or null. The last row of a
+    request decides, and the watermark drives the clock. Requests share groups by a hash of their id, so
+    a batch costs a call of Python for each group and not for each request. The state of a group is the ids and
+    ends of its open grants, its timer the first of these ends.
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"request_id": [key[0]], "status": ["revoked"]})
-            return
-        rows = pd.concat(list(batches)).sort_values("created_at")
-        last = rows.iloc[-1]
-        if state.exists:
+        known = state.get if state.exists else (b"", b"")
+        ids, ends = (np.frombuffer(part, "int64") for part in known)
+        watermark = state.getCurrentWatermarkMs()
+        over = ends < watermark
+        # All requests without an id are one, in a group of its own.
+        named = lambda found: found if key[0] >= 0 else [None] * len(found)
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values("_at", kind="stable").drop_duplicates("request_id", keep="last")
+            yield pd.DataFrame({"request_id": named(rows["request_id"].to_numpy()), "status": rows["status"].to_numpy()})
             # A later row replaces what was known: its end alone decides, or nothing does.
+            other, ending = ~np.isin(ids, rows["request_id"]), rows[rows["_end"] != ENDLESS]
+            over = np.concatenate([over[other], ending["_end"] <= watermark])
+            ids = np.concatenate([ids[other], ending["request_id"]])
+            ends = np.concatenate([ends[other], ending["_end"]])
+        if over.any():
+            yield pd.DataFrame({"request_id": named(ids[over]), "status": "revoked"})
+        if over.all():
             state.remove()
-        yield pd.DataFrame({"request_id": [key[0]], "status": [last["status"]]})
-        if last["status"] == "approved" and not pd.isna(last["expires_at"]):
-            state.update((str(last["status"]),))
-            end = int(pd.Timestamp(last["expires_at"]).timestamp() * 1000)
-            if end > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(end)
-            else:
-                state.remove()
-                yield pd.DataFrame({"request_id": [key[0]], "status": ["revoked"]})
-
-    return requests.withWatermark("created_at", late).groupBy("request_id").applyInPandasWithState(
-        step, "request_id long, status string", "status string", "append",
+        else:
+            state.update((ids[~over].tobytes(), ends[~over].tobytes()))
+            state.setTimeoutTimestamp(int(ends[~over].min()))
+
+    key, end = F.col("request_id").cast("long"), F.unix_millis(F.col("expires_at").cast("timestamp"))
+    rows = requests.withWatermark("created_at", late).select(
+        F.when(key.isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int").alias("_bucket"),
+        F.coalesce(key, F.lit(0)).alias("request_id"), "status", "created_at",
+        F.coalesce(F.unix_micros("created_at"), F.lit(ENDLESS)).alias("_at"),
+        F.coalesce(F.when(F.col("status") == "approved", end), F.lit(ENDLESS)).alias("_end"))
+    return rows.groupBy("_bucket").applyInPandasWithState(
+        step, "request_id long, status string", "ids binary, ends binary", "append",
         GroupStateTimeout.EventTimeTimeout)
 
 

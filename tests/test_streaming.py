@@ -1,11 +1,13 @@
 """Streams against batch results and a test clock."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from sievegate.operators import access as ac
 from sievegate.operators.chunking import ChunkSettings
+from sievegate.plans import upkeep
 from sievegate.plans.upkeep import run_dir
 from sievegate.sources.sinks import append_log, replace_partitions
 from sievegate.streaming import ingest as ig
@@ -45,6 +47,89 @@ def test_extended_and_shortened_grants(spark):
     assert [r["request_id"] for r in spark.read.parquet(out).where("status = 'revoked'").collect()] == [2]
 
 
+def expired_by_request(parts):
+    """(request, status) rows of each batch, request by request: data of a batch first, then what ran out."""
+    open_ends, clock, out, seen = {}, 0, [], 0
+    for part in [*parts, []]:
+        rows, last = [r for r in part if ms(r[2]) > clock or not clock], {}
+        for r in sorted(rows, key=lambda r: r[2]):
+            last[r[0]] = r
+        for key, (_, status, _, end) in last.items():
+            out.append((key, status))
+            open_ends.pop(key, None)
+            if status == "approved" and end is not None:
+                if ms(end) <= clock:
+                    out.append((key, "revoked"))
+                else:
+                    open_ends[key] = ms(end)
+        for key in [k for k, end in open_ends.items() if k not in last and end < clock]:
+            out.append((key, "revoked"))
+            del open_ends[key]
+        seen = max([seen, *(ms(r[2]) for r in part)])
+        clock = seen
+    return out
+
+
+def ms(moment):
+    return int((moment - datetime(1970, 1, 1)).total_seconds() * 1000)
+
+
+def by_text(rows):
+    return sorted((str(key), str(status)) for key, status in rows)
+
+
+def test_grants_of_many_requests_share_groups(spark):
+    """Histories over several batches, in three groups: ids too long for a float, and no id."""
+    draw, hour, big = random.Random(3), timedelta(hours=1), 2**60
+    ids = [None, big + 1, big + 2, -7, *range(40)]
+    parts = []
+    for at in range(6):
+        times = draw.sample(range(24 * 60), 70)  # no two rows of a batch at one time
+        parts.append([(draw.choice(ids), draw.choice(["approved", "approved", "rejected", None]), T0 + at * 24 * hour + timedelta(minutes=m),
+                       draw.choice([None, T0 + draw.randrange(150) * hour])) for m in times])
+    parts.append([(-1, "pending", T0 + 400 * hour, None)])
+    want = by_text(expired_by_request(parts))
+    schema = "request_id long, status string, created_at timestamp, expires_at timestamp"
+    source = run_dir(spark, "many")
+    for part in parts:
+        append_log(spark.createDataFrame(part, schema).coalesce(1), source)
+    out = run_dir(spark, "many-out")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    ig.run_available(st.expire_grants(stream, buckets=3), lambda b, i: append_log(b, out), run_dir(spark, "cp"))
+    assert by_text(spark.read.parquet(out).collect()) == want
+    assert sum(status == "revoked" for _, status in want) >= 20
+
+
+def test_calls_do_not_grow_with_requests(spark):
+    schema = "request_id long, status string, created_at timestamp, expires_at timestamp"
+    source, out = run_dir(spark, "crowd"), run_dir(spark, "crowd-out")
+    rows = spark.range(6000).selectExpr(
+        "id request_id", "'approved' status", "TIMESTAMP '2024-01-01' created_at", "TIMESTAMP '2024-01-02' + make_dt_interval(0, id % 5) expires_at")
+    append_log(rows, source)
+    stream = st.expire_grants(spark.readStream.schema(schema).parquet(source))
+    query = stream.writeStream.foreachBatch(lambda b, i: append_log(b, out)).option(
+        "checkpointLocation", run_dir(spark, "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) <= st.GRANT_BUCKETS + 1
+    assert spark.read.parquet(out).where("status = 'approved'").select("request_id").distinct().count() == 6000
+
+
+def test_stream_grants_takes_its_first_write_whole(spark, tmp_path):
+    """Any number of files: rows of the first write are never later than the clock."""
+    events = spark.range(600).selectExpr(
+        "id event_id", "CAST(TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(cast(id * 37 % 30 as int)) AS TIMESTAMP_NTZ) ts", "id % 9 user_id",
+        "'view' event_type", "1.0 value", "'{}' props")
+    events.repartition(9).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(5).selectExpr("id doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = sorted(r["request_id"] for r in upkeep.stream_grants(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    assert got == [i for i in range(600) if i % 3 == 1 and i % 2]
+
+
 def test_versions_do_not_depend_on_batches(spark):
     """Two versions of a document in one micro-batch or in two, one delivered twice: the same rows."""
     schema = "doc_id long, version_no int, text string"
